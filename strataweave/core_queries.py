@@ -1,20 +1,10 @@
-"""Registry of the queries over the core operators and their SQL."""
+"""All queries over the core operators and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from strataweave.operators import snapshots
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    return snapshots.snapshot_changes(t("kg_snapshots"), t("version_metadata"))
-
+from strataweave.queries import analytics, confidence, evaluation, graph, resolve, texts, views  # noqa: F401
+from strataweave.queries.registry import ORACLES, QUERIES, Query, expand, query
 
 P6_SQL = """
 WITH v AS (SELECT version_id, lead(version_id) OVER (ORDER BY created_at, version_id) AS nxt FROM (SELECT DISTINCT version_id, created_at FROM version_metadata)),
@@ -30,9 +20,19 @@ WHERE a.entity_id IS NULL OR b.entity_id IS NULL OR a.s IS DISTINCT FROM b.s
 """
 
 
+@query("p6_found", P6_SQL)
+def p6_found(t):
+    return snapshots.snapshot_changes(t.kg_snapshots, t.version_metadata)
+
+
+@query("p6_version_diff", f"SELECT version_from, version_to, count(*) FILTER (change_kind = 'added') AS n_added, count(*) FILTER (change_kind = 'removed') AS n_removed, count(*) FILTER (change_kind = 'changed') AS n_changed FROM ({P6_SQL}) q GROUP BY 1, 2")
+def p6_version_diff(t):
+    return snapshots.version_diff(snapshots.snapshot_changes(t.kg_snapshots, t.version_metadata))
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_found": p6_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6_SQL}
+    return {k: expand(v) for k, v in ORACLES.items()}

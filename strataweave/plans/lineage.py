@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strataweave.plans.session import ship
+
 _KEY = "spark.checkpoint.dir"
 
 
@@ -43,6 +45,7 @@ def write_stage(df: DataFrame, tag: str) -> Stage:
     """Write ``df`` to the shared folder and read it back: a lineage cut that
     survives the loss of any executor. An empty input gives an empty table."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_root(spark)}/strataweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return Stage(spark.read.schema(df.schema).parquet(path), path)
