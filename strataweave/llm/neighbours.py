@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Rotations, each giving one base hash: the direction in which a vector is most extreme.
-ROTATIONS = 18
-#: Index tables; each joins the base hashes of one triple of rotations.
-TABLES = 40
+ROTATIONS = 40
 #: Base hashes of ROTATIONS in which two vectors must collide to be verified.
-COLLISIONS = 6
+COLLISIONS = 11
 #: Half-width of the query-centred window on a table's sorted projection, in units of the
 #: standard deviation of the difference of two vectors at the radius searched.
-WINDOW = 3.5
+WINDOW = 3.0
+#: A cell joins as many base hashes as keep the vectors expected in it by chance few: the
+#: logarithm of their number to this base, three at least; and tables by that number.
+CELL_BASE, TABLES = 120, {3: 24, 4: 64, 5: 160}
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = 64) -> DataFrame:
@@ -38,10 +38,13 @@ def rotations(dim: int, seed: int = 7) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)]).astype(np.float32)
 
 
-def table_triples(seed: int = 7) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    every = np.array(list(combinations(range(ROTATIONS), 3)))
-    return every[rng.permutation(len(every))[:TABLES]]
+def tables(k: int, seed: int = 7) -> list[tuple[int, ...]]:
+    """Groups of ``k`` rotations, one per table; every rotation is used about as often."""
+    rng, out = np.random.default_rng(seed), []
+    while len(out) < TABLES[k]:
+        p = rng.permutation(ROTATIONS)
+        out += [tuple(sorted(map(int, p[i : i + k]))) for i in range(0, ROTATIONS - k + 1, k)]
+    return out[: TABLES[k]]
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -51,39 +54,54 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def base_hashes(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Base hashes of each row, and its first-projection values, by rotation."""
-    sig, pos = np.empty((len(x), len(rot)), np.uint8), np.empty((len(x), len(rot)), np.float32)
-    dim = x.shape[1]
+def base_hashes(x: np.ndarray, rot: np.ndarray) -> np.ndarray:
+    """Base hashes of each row by rotation: the direction of the rotated axes, with sign, in
+    which the row is most extreme."""
+    sig = np.empty((len(x), len(rot)), np.uint8)
     for i, r in enumerate(rot):
         y = x @ r
         top = np.abs(y).argmax(1)
-        sign = y[np.arange(len(x)), top] < 0
-        sig[:, i] = top + dim * sign
-        pos[:, i] = y[:, 0]
-    return sig, pos
+        sig[:, i] = top + x.shape[1] * (y[np.arange(len(x)), top] < 0)
+    return sig
+
+
+def centre(vectors: DataFrame, dim: int = 64) -> tuple[np.ndarray, int]:
+    """Mean direction and number of all vectors, from one partial sum per partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(dim), 0
+        for b in batches:
+            if b.num_rows:
+                total += _matrix(b.column(0)).sum(0, dtype=np.float64)
+                n += b.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "s"])
+
+    rows = vectors.select("v").mapInArrow(run, "n long, s array<double>").collect()  # one row per partition
+    n = sum(r["n"] for r in rows)
+    return (np.sum([r["s"] for r in rows], axis=0) / max(n, 1)).astype(np.float32) if rows else np.zeros(dim, np.float32), n
 
 
-def hashed(vectors: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, sig, v) with the base hashes as bytes and the normalised vector as float bytes."""
+def hashed(vectors: DataFrame, mean: np.ndarray, dim: int = 64) -> DataFrame:
+    """(id, sig, v): the base hashes of the vector seen from the mean, as bytes, and the
+    normalised vector as float bytes."""
     rot = rotations(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = _matrix(b.column(1))
-                sig, pos = base_hashes(x, rot)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(bytes, sig)), pa.binary()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in pos], pa.binary())], names=["id", "sig", "v", "pos"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(bytes, base_hashes(x - mean, rot))), pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "sig", "v"])
 
-    return vectors.mapInArrow(run, "id long, sig binary, v binary, pos binary")
+    return vectors.mapInArrow(run, "id long, sig binary, v binary")
 
 
-def index_rows(h: DataFrame, radius: float) -> DataFrame:
-    """(cell, bin, at, id, sig): a row per table. The cell is the table and its triple of base
-    hashes; within a cell, rows are placed on the sorted projection of its first rotation in
-    bins of one window half-width."""
-    triples = table_triples()
-    width = np.float32(WINDOW * radius / 8.0)
+def index_rows(h: DataFrame, mean: np.ndarray, radius: float, k: int, dim: int = 64) -> DataFrame:
+    """(cell, at, id): a row per table and vector, few bytes each. The cell is the table, its
+    base hashes, and a stretch of eight windows of the sorted projection ``at``; rows
+    within one window of the next stretch are in both."""
+    groups = tables(k)
+    first = rotations(dim)[:, :, 0].T.copy()  # one projection per rotation
+    width = np.float32(WINDOW * radius / np.sqrt(dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,13 +109,22 @@ def index_rows(h: DataFrame, radius: float) -> DataFrame:
             if not n:
                 continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
-            pos = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(n, -1)
-            cell = np.concatenate([((t << 24) | (sig[:, a] << 16) | (sig[:, c] << 8) | sig[:, d]) for t, (a, c, d) in enumerate(triples)])
-            at = np.concatenate([pos[:, a] for a, _, _ in triples])
-            take = pa.array(np.tile(np.arange(n), len(triples)))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.floor(at / width).astype(np.int32)), pa.array(at), b.column(0).take(take), b.column(1).take(take)], names=["cell", "bin", "at", "id", "sig"])
-
-    return h.select("id", "sig", "pos").mapInArrow(run, "cell long, bin int, at float, id long, sig binary")
+            pos = (np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(n, -1) - mean) @ first
+            cells, places = [], []
+            for t, g in enumerate(groups):
+                c = np.full(n, t, np.int64)
+                for r in g:
+                    c = (c << 7) | sig[:, r]
+                cells.append(c)
+                places.append(pos[:, g[0]])
+            cell, at, take = np.concatenate(cells), np.concatenate(places), np.tile(np.arange(n), len(groups))
+            stretch = np.floor(at / (8 * width)).astype(np.int64)
+            again = np.flatnonzero(at >= (stretch + 1) * 8 * width - width)
+            cell = (np.concatenate((cell, cell[again])) << 10) | (np.concatenate((stretch, stretch[again] + 1)) & 1023)
+            rows = pa.array(np.concatenate((take, take[again])))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate((at, at[again]))), b.column(0).take(rows)], names=["cell", "at", "id"])
+
+    return h.select("id", "sig", "v").mapInArrow(run, "cell long, at float, id long")
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95, dim: int = 64) -> DataFrame:
@@ -106,43 +133,49 @@ def similar_pairs(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95
     Collision counting: every vector has ROTATIONS base hashes. Pairs that share the cell of
     a table and lie within the window centred on the query in the table's sorted projection
     have their collisions over all base hashes counted; those with COLLISIONS or more are
-    verified by the exact cosine in double precision. Vectors of equal direction are indexed
-    once (their links follow from their class), so copies of one vector never fill a cell.
-    Unusable vectors and null ids are left out; repeated rows count once; an empty table
-    gives no pairs.
+    verified by the exact cosine in double precision. Of copies of one vector only the
+    first is indexed (links follow from the class), so copies never fill a cell. Unusable
+    vectors and null ids are left out; repeated rows count once; an empty table gives no
+    pairs.
     """
     from strataweave.plans.lineage import write_stage
 
     radius = float(np.sqrt(2 * (1 - min_cosine)))
-    h = write_stage(hashed(usable(df, key, vector, dim), dim), "hashed").df
-    reps = write_stage(h.groupBy("v").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("pos").alias("pos")), "reps").df
-    members = h.select("id", "v").join(reps.select("v", F.col("id").alias("rep")), "v").select("id", "rep").distinct()
-    rows = index_rows(reps, radius)
-    width = float(np.float32(WINDOW * radius / 8.0))
-    a = rows.select("cell", "bin", F.col("at").alias("at_a"), F.col("id").alias("a"), F.col("sig").alias("sa"))
-    b = rows.select("cell", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("at").alias("at_b"), F.col("id").alias("b"), F.col("sig").alias("sb"))
-    near = a.join(b, ["cell", "bin"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("at_a") - F.col("at_b")) <= width))
+    u = usable(df, key, vector, dim)
+    mean, n = centre(u, dim)
+    k = min(max(TABLES), max(3, int(np.ceil(np.log(max(n, 2)) / np.log(CELL_BASE)))))
+    h = write_stage(hashed(u, mean, dim), "hashed").df
+    per = u.select("id", F.xxhash64("v").alias("same")).distinct()
+    copies = per.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = write_stage(per.join(copies, "same").select("rep", "id"), "copies").df
+    lone = h.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    width = float(np.float32(WINDOW * radius / np.sqrt(dim)))
+    idx = index_rows(lone, mean, radius, k, dim).repartition("cell")
+    a, b = (idx.select("cell", F.col("id").alias(s), F.col("at").alias("at_" + s)) for s in "ab")
+    pairs = a.join(b, "cell").where(f"a < b and abs(at_a - at_b) <= {width!r}").select("a", "b").distinct()
+    sig = h.select("id", "sig").groupBy("id").agg(F.first("sig").alias("sig"))
+    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     hits = F.lit(0)
     for i in range(1, ROTATIONS + 1):
-        hits = hits + (F.expr(f"substring(sa, {i}, 1) = substring(sb, {i}, 1)")).cast("int")
-    pairs = near.where(hits >= COLLISIONS).select("a", "b").distinct()
-    va, vb = reps.select(F.col("id").alias("a"), F.col("v").alias("va")), reps.select(F.col("id").alias("b"), F.col("v").alias("vb"))
-    both = pairs.join(va, "a").join(vb, "b")
+        hits = hits + F.expr(f"substring(sa, {i}, 1) = substring(sb, {i}, 1)").cast("int")
+    chosen = write_stage(both.where(hits >= COLLISIONS).select("a", "b"), "chosen").df
+    ends = chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    v = h.select("id", "v").join(ends, "id").groupBy("id").agg(F.first("v").alias("v"))
+    full = chosen.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            n = x.num_rows
-            if n:
-                p, q = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.float32).reshape(n, -1).astype(np.float64) for i in (2, 3))
+            m = x.num_rows
+            if m:
+                p, q = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.float32).reshape(m, -1).astype(np.float64) for i in (2, 3))
                 c = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1))
-                keep = c >= min_cosine - 1e-7
-                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(c)], names=["a", "b", "cosine"]).filter(pa.array(keep))
-
-    linked = both.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cosine double")
-    across = linked.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y", "cosine")
-    within = members.select("rep", F.col("id").alias("x")).join(members.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
-    out = across.unionByName(within)
-    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
+                yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(c)], names=["a", "b", "cosine"]).filter(pa.array(c >= min_cosine - 1e-7))
+
+    linked = full.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cosine double")
+    side = lambda s, to: members.select(F.col("rep").alias(s), F.col("id").alias(to))
+    across = linked.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "cosine")
+    within = side("r", "x").join(side("r", "y"), "r").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
+    return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
 
 
 def top_k(df: DataFrame, key: str, vector: str, queries: str = "id % 20 = 0", k: int = 10, dim: int = 64, query_block: int = 1024, row_block: int = 32_768) -> DataFrame:
