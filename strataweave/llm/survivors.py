@@ -64,21 +64,30 @@ def prepared(df: DataFrame) -> DataFrame:
     ).where(F.col("record_id").isNotNull())
 
 
+def with_text(df: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """``df`` (entity_id, ...) with the description whose hash is ``value`` in its place."""
+    t = rows.where("real").select("entity_id", F.hex(F.xxhash64("description")).alias("__h"), F.col("description").alias("__t"))
+    need = df.where(F.col(value).isNotNull()).select("entity_id", F.col(value).alias("__h"))
+    text = t.join(need, ["entity_id", "__h"], "left_semi").groupBy("entity_id", "__h").agg(F.max("__t").alias("__t"))
+    return df.withColumn("__h", F.col(value)).join(text, ["entity_id", "__h"], "left").withColumn(value, F.col("__t")).drop("__h", "__t")
+
+
 def facts(rows: DataFrame) -> DataFrame:
     """A row per distinct value of a field of an entity: the sources that assert it, those
     that cover the field but don't, whether it is usable, and its completeness."""
     f = lambda name, value, ok, measure: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), ok.alias("ok"), measure.cast("double").alias("measure"))
     one = F.lit(1.0)
     fields = F.array(
-        f("description", F.col("description"), F.col("real"), F.length("description")),
+        f("description", F.hex(F.xxhash64("description")), F.col("real"), F.length("description")),
         f("discovery_confidence", F.col("conf"), F.col("conf_ok"), F.col("conf")),
         f("evidence_count", F.col("n"), F.col("n_ok"), F.col("n")),
         f("label", F.col("label"), F.col("label") != "", one),
         f("entity_type", F.col("entity_type"), F.col("entity_type") != "", one),
     )
-    claims = rows.select("entity_id", "source", "at", F.explode(fields).alias("f")).where("f.value is not null").select("entity_id", "source", "at", "f.*")
+    # a description goes through the shuffles as its hash; ``with_text`` puts the text back
+    claims = rows.where("record_id is not null").select("entity_id", "source", "at", F.explode(fields).alias("f")).where("f.value is not null").select("entity_id", "source", "at", "f.*")
     values = claims.groupBy("entity_id", "field", "value").agg(F.max("ok").alias("ok"), F.max("measure").alias("measure"), F.array_sort(F.collect_set("source")).alias("yes"), F.max("at").alias("at"))
-    values = values.withColumn("covered", F.concat_ws("|", "field", "entity_id"))
+    values = write_stage(values, "values").df.withColumn("covered", F.concat_ws("|", "field", "entity_id"))
     cover = values.select("covered", F.explode("yes").alias("s")).groupBy("covered").agg(F.collect_set("s").alias("all"))
     return join_unique(values, cover, "covered").withColumn("no", F.array_sort(F.array_except("all", "yes"))).drop("covered", "all")
 
@@ -161,19 +170,22 @@ def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     per = judged.groupBy("entity_id", "field").agg(best.alias("b"), F.count(F.when(F.col("p") >= threshold, 1)).alias("k"))
     wide = per.groupBy("entity_id").agg(F.sum("k").alias("n_values"), *(pick(x) for x in ("description", "discovery_confidence", "evidence_count", "label", "entity_type")))
     dom = dominant_records(rows)
-    whole = (F.length("description.value") == F.col("d")) & (F.col("discovery_confidence.measure") == F.col("c")) & (F.col("evidence_count.measure") == F.col("n"))
-    return dom.join(wide, "entity_id", "left").select(
+    whole = (F.col("description.measure") == F.col("d")) & (F.col("discovery_confidence.measure") == F.col("c")) & (F.col("evidence_count.measure") == F.col("n"))
+    out = dom.join(wide, "entity_id", "left").select(
         "entity_id", "n_values", F.col("description.value").alias("description"), F.col("discovery_confidence.measure").alias("discovery_confidence"), F.col("evidence_count.measure").cast("int").alias("evidence_count"),
         F.col("label.value").alias("label"), F.col("entity_type.value").alias("entity_type"), F.round("description.p", 6).alias("p_description"), F.round("discovery_confidence.p", 6).alias("p_confidence"), F.round("evidence_count.p", 6).alias("p_evidence"),
         "grouped", F.when(whole, F.col("record_id")).alias("record_id"),
     )
+    return with_text(out, rows, "description")
 
 
 def values_judged_true(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(entity_id, field, value, probability): every value of every field judged true."""
-    f = write_stage(facts(prepared(df)), "facts").df
+    rows = prepared(df)
+    f = write_stage(facts(rows), "facts").df
     p, _ = infer_quality(f)
-    return f.where("ok").select("entity_id", "field", "value", F.round(p, 6).alias("probability")).where(F.col("probability") >= threshold)
+    true = f.where("ok").select("entity_id", "field", "value", F.round(p, 6).alias("probability")).where(F.col("probability") >= threshold)
+    return with_text(true.where("field = 'description'"), rows, "value").unionByName(true.where("field <> 'description'")).select("entity_id", "field", "value", "probability")
 
 
 def source_quality(df: DataFrame) -> DataFrame:
