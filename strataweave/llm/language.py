@@ -33,7 +33,7 @@ NOTATIONS = {
 
 _QUOTED = re.compile(r"„[^“”\"\n]{1,80}[“”\"]|«[^»\n]{1,80}»|“[^”\n]{1,80}”|\"[^\"\n]{1,80}\"")
 _BREAK = re.compile(r"(?<=[a-zß-ÿ])-\n(?=[a-zß-ÿ])")
-_CUT = re.compile(r"(?<=[.!?…:;])[\s]+(?=[\"„«“(¿¡A-ZÀ-Þ0-9])|\n+|\t+")
+_CUT = re.compile(r"[\n\t]+|[.!?…:;]\s+(?=[\"„«“(¿¡A-ZÀ-Þ0-9])")
 
 
 def declared(lang: Column) -> Column:
@@ -49,8 +49,9 @@ def segments(text: str) -> list[tuple[int, int]]:
     """Stretches between sentence ends and line ends, as offsets."""
     out, at = [], 0
     for m in _CUT.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
+        end = m.start() if text[m.start()] in "\n\t" else m.start() + 1
+        if end > at:
+            out.append((at, end))
         at = m.end()
     if at < len(text):
         out.append((at, len(text)))
@@ -99,24 +100,23 @@ class Model:
         return np.stack((mix(h3), mix(h5) + np.uint32(FEATURES // 2)), 1)
 
     def score(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Sums over byte ranges; places without letters say nothing."""
+        """Sums over byte ranges in ascending order; places without letters say nothing."""
         out = np.zeros((len(starts), self.table.shape[1]))
-        step = 1 << 20
-        total = np.zeros(self.table.shape[1])
-        sums = np.zeros((len(b) + 1, self.table.shape[1]), np.float32) if len(b) <= step else None
-        if sums is not None:
-            f = self.features(b)
-            live = (b != 32)[:, None]
-            np.cumsum((self.table[f[:, 0]] + self.table[f[:, 1]]) * live, axis=0, dtype=np.float32, out=sums[1:])
-            return (sums[ends] - sums[starts]).astype(np.float64)
-        for s in range(0, len(b), step):  # long input: part by part
-            e = min(len(b), s + step)
-            f = self.features(b[max(0, s - 4) : e])[s - max(0, s - 4) :]
-            part = np.zeros((e - s + 1, self.table.shape[1]))
-            np.cumsum((self.table[f[:, 0]] + self.table[f[:, 1]]) * (b[s:e] != 32)[:, None], axis=0, out=part[1:])
-            lo, hi = np.clip(starts - s, 0, e - s), np.clip(ends - s, 0, e - s)
-            out += part[hi] - part[lo]
-        del total
+        step, first = 1 << 18, 0
+        while first < len(starts):  # a stretch of ranges at a time, to stay in the cache
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + step)))
+            lo, hi = int(starts[first]), int(ends[last - 1])
+            x = b[max(0, lo - 4) : hi]
+            f = self.features(x)[lo - max(0, lo - 4) :]
+            live = np.flatnonzero(x[lo - max(0, lo - 4) :] != 32)
+            w = self.table[f[live, 0]]
+            w += self.table[f[live, 1]]
+            total = np.zeros((len(live) + 1, w.shape[1]), np.float32)
+            np.cumsum(w, axis=0, out=total[1:])
+            at = np.searchsorted(live, np.concatenate((starts[first:last], ends[first:last])) - lo)
+            k = last - first
+            out[first:last] = total[at[k:]] - total[at[:k]]
+            first = last
         return out
 
 
@@ -126,7 +126,10 @@ def fold_bytes(text: str) -> np.ndarray:
 
 def lower_marks(text: str) -> str:
     """Lower case of letters beyond ASCII (ASCII is folded by the byte table)."""
-    return text if text.isascii() else text.lower() if len(text.lower()) == len(text) else text
+    if text.isascii():
+        return text
+    low = text.lower()
+    return low if len(low) == len(text) else text
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
@@ -186,6 +189,9 @@ def train(docs: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE_
 
 def viterbi(s: np.ndarray, cost: float = SWITCH_COST) -> np.ndarray:
     """Languages of consecutive segments: the best sum less ``cost`` for every change."""
+    lead = s.argmax(1)
+    if (lead == lead[0]).all():
+        return lead
     best, back = s[0].copy(), []
     for row in s[1:]:
         top = int(best.argmax())
@@ -217,36 +223,27 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)
                 texts = x.column(len(keep) + 1).to_pylist()
-                bufs, where, at = [], [], 0
+                bufs, doc, seg, at = [], [], [], 0  # offsets are in characters of all texts of the part
                 for i, t in enumerate(texts):
                     if t:
-                        p = lower_marks(prepare(t))
-                        raw = p.encode("utf-8", "replace")
-                        bufs.append(raw)
-                        segs = segments(prepare(t))
-                        if p.isascii():
-                            where += [(i, s, e, at + s, at + e) for s, e in segs]
-                        else:
-                            cs, last, pos = [], 0, 0
-                            for s, e in segs:
-                                pos += len(p[last:s].encode("utf-8", "replace"))
-                                a = pos
-                                pos += len(p[s:e].encode("utf-8", "replace"))
-                                cs.append((i, s, e, at + a, at + pos))
-                                last = e
-                            where += cs
-                        at += len(raw) + 1
-                        bufs.append(b" ")
+                        p = prepare(t)
+                        s = segments(p)
+                        doc += [i] * len(s)
+                        seg += [(at + a, at + e, a, e) for a, e in s]
+                        bufs.append(lower_marks(p))
+                        at += len(p) + 1
                 total, runs = [[0.0] * n for _ in texts], [[] for _ in texts]
-                if where:
-                    buf = _LOW[np.frombuffer(b"".join(bufs), np.uint8)]
-                    w = np.array(where, np.int64)
-                    sc = m.score(buf, w[:, 3], w[:, 4])
+                if seg:
+                    raw = np.frombuffer(" ".join(bufs).encode("utf-8", "replace"), np.uint8)
+                    char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+                    buf, c, w = _LOW[raw], np.array(seg, np.int64), np.array(doc)
+                    lo, hi = char[c[:, 0]], char[c[:, 1]]
+                    sc = m.score(buf, lo, hi)
                     letters = np.concatenate(([0], np.cumsum(buf != 32)))
-                    nl = letters[w[:, 4]] - letters[w[:, 3]]
-                    cuts = np.flatnonzero(np.diff(w[:, 0])) + 1
+                    nl = letters[hi] - letters[lo]
+                    cuts = np.flatnonzero(np.diff(w)) + 1
                     for idx in np.split(np.arange(len(w)), cuts):
-                        d = int(w[idx[0], 0])
+                        d = int(w[idx[0]])
                         s = sc[idx]
                         total[d] = s.sum(0).tolist()
                         path = viterbi(s)
@@ -254,7 +251,7 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
                             k = idx[g]
                             own = s[g]
                             clear = (nl[k] >= SENTENCE_LETTERS) & (own.argmax(1) == path[g[0]])
-                            runs[d].append({"lang": int(path[g[0]]), "start_char": int(w[k[0], 1]), "end_char": int(w[k[-1], 2]), "letters": int(nl[k].sum()), "whole": int(clear.sum()), "score": own.sum(0).tolist()})
+                            runs[d].append({"lang": int(path[g[0]]), "start_char": int(c[k[0], 2]), "end_char": int(c[k[-1], 3]), "letters": int(nl[k].sum()), "whole": int(clear.sum()), "score": own.sum(0).tolist()})
                 yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(keep) + 1)), pa.array(total, pa.list_(pa.float64())), pa.array(runs, run_t)], names=["k", *keep, "total", "runs"])
 
     return slim.mapInArrow(run, schema)
