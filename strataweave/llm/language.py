@@ -189,18 +189,16 @@ def train(docs: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE_
 
 def viterbi(s: np.ndarray, cost: float = SWITCH_COST) -> np.ndarray:
     """Languages of consecutive segments: the best sum less ``cost`` for every change."""
-    lead = s.argmax(1)
-    if (lead == lead[0]).all():
-        return lead
-    best, back = s[0].copy(), []
-    for row in s[1:]:
-        top = int(best.argmax())
-        stay = best >= best[top] - cost
-        back.append(np.where(stay, np.arange(len(best)), top))
-        best = np.where(stay, best, best[top] - cost) + row
-    path = [int(best.argmax())]
+    rows = s.tolist()
+    best, back, every = rows[0], [], range(s.shape[1])
+    for row in rows[1:]:
+        top = best.index(max(best))
+        least = best[top] - cost
+        back.append([i if best[i] >= least else top for i in every])
+        best = [(x if x >= least else least) + y for x, y in zip(best, row)]
+    path = [best.index(max(best))]
     for b in reversed(back):
-        path.append(int(b[path[-1]]))
+        path.append(b[path[-1]])
     return np.array(path[::-1])
 
 
@@ -212,7 +210,6 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.table)  # FEATURES x languages, of fixed size
     slim = docs.select(F.col(key).alias("k"), *keep, F.col(text).alias("t"))
-    run_t = pa.list_(pa.struct([("lang", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("letters", pa.int64()), ("whole", pa.int32()), ("score", pa.list_(pa.float64()))]))
     types = {c: slim.schema[c].dataType for c in ["k", *keep]}
     schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in types.items()) + ", total array<double>, runs array<struct<lang:int,start_char:bigint,end_char:bigint,letters:bigint,whole:int,score:array<double>>>"
 
@@ -232,7 +229,8 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
                         seg += [(at + a, at + e, a, e) for a, e in s]
                         bufs.append(lower_marks(p))
                         at += len(p) + 1
-                total, runs = [[0.0] * n for _ in texts], [[] for _ in texts]
+                total = np.zeros((len(texts), n))
+                owner, fields, score = np.empty(0, np.int64), [np.empty(0, np.int64)] * 5, np.empty((0, n))
                 if seg:
                     raw = np.frombuffer(" ".join(bufs).encode("utf-8", "replace"), np.uint8)
                     char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
@@ -241,18 +239,25 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
                     sc = m.score(buf, lo, hi)
                     letters = np.concatenate(([0], np.cumsum(buf != 32)))
                     nl = letters[hi] - letters[lo]
-                    cuts = np.flatnonzero(np.diff(w)) + 1
-                    for idx in np.split(np.arange(len(w)), cuts):
-                        d = int(w[idx[0]])
-                        s = sc[idx]
-                        total[d] = s.sum(0).tolist()
-                        path = viterbi(s)
-                        for g in np.split(np.arange(len(idx)), np.flatnonzero(np.diff(path)) + 1):
-                            k = idx[g]
-                            own = s[g]
-                            clear = (nl[k] >= SENTENCE_LETTERS) & (own.argmax(1) == path[g[0]])
-                            runs[d].append({"lang": int(path[g[0]]), "start_char": int(c[k[0], 2]), "end_char": int(c[k[-1], 3]), "letters": int(nl[k].sum()), "whole": int(clear.sum()), "score": own.sum(0).tolist()})
-                yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(keep) + 1)), pa.array(total, pa.list_(pa.float64())), pa.array(runs, run_t)], names=["k", *keep, "total", "runs"])
+                    first = np.flatnonzero(np.diff(w, prepend=-1))
+                    sums = np.add.reduceat(sc, first)
+                    total[w[first]] = sums
+                    size = np.diff(np.append(first, len(w)))
+                    path = np.repeat(sums.argmax(1), size)
+                    # no change of language pays unless all that other languages gain exceeds its cost
+                    gain = np.add.reduceat(sc.max(1) - sc[np.arange(len(sc)), path], first)
+                    for d in np.flatnonzero(gain > SWITCH_COST):
+                        path[first[d] : first[d] + size[d]] = viterbi(sc[first[d] : first[d] + size[d]])
+                    r = np.flatnonzero(np.diff(w, prepend=-1) | np.diff(path, prepend=-1))  # starts of the runs
+                    end = np.append(r[1:], len(w)) - 1
+                    clear = (nl >= SENTENCE_LETTERS) & (sc.argmax(1) == path)
+                    owner, score = w[r], np.add.reduceat(sc, r)
+                    fields = [path[r], c[r, 2], c[end, 3], np.add.reduceat(nl, r), np.add.reduceat(clear.astype(np.int64), r)]
+                six = pa.array(np.arange(len(score) + 1, dtype=np.int32) * n)
+                items = pa.StructArray.from_arrays([*(pa.array(v, t) for v, t in zip(fields, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))), pa.ListArray.from_arrays(six, pa.array(score.ravel()))], names=["lang", "start_char", "end_char", "letters", "whole", "score"])
+                runs = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)), items)
+                totals = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * n), pa.array(total.ravel()))
+                yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(len(keep) + 1)), totals, runs], names=["k", *keep, "total", "runs"])
 
     return slim.mapInArrow(run, schema)
 
