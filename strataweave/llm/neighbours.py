@@ -178,7 +178,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
 
 
-def top_k(df: DataFrame, key: str, vector: str, queries: str = "id % 20 = 0", k: int = 10, dim: int = 64, query_block: int = 1024, row_block: int = 32_768) -> DataFrame:
+def top_k(df: DataFrame, key: str, vector: str, queries: str = "id % 20 = 0", k: int = 10, dim: int = 64, query_block: int = 32_768, row_block: int = 32_768) -> DataFrame:
     """(id, rank, neighbour, cosine): exact k nearest rows of the stated query set.
 
     Queries meet all rows in blocks: one matrix product per pair of blocks, of which only
@@ -187,7 +187,11 @@ def top_k(df: DataFrame, key: str, vector: str, queries: str = "id % 20 = 0", k:
     """
     u = usable(df, key, vector, dim).dropDuplicates(["id"])
     n = u.agg(F.count(F.lit(1)), F.count(F.when(F.expr(queries), 1))).first()
-    nb, nq = max(1, -(-int(n[0]) // row_block)), max(1, -(-int(n[1]) // query_block))
+    # every row goes to each block of queries and every query to each block of rows, so both
+    # blocks are as large as a task's memory allows; only small inputs are cut finer, to
+    # occupy the cluster
+    rows_per = min(row_block, max(2048, -(-int(n[0]) // df.sparkSession.sparkContext.defaultParallelism)))
+    nb, nq = max(1, -(-int(n[0]) // rows_per)), max(1, -(-int(n[1]) // query_block))
     side = lambda d, m: d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
     rows = side(u, nb).select("block", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "id", "v", F.lit(False).alias("q"))
     asks = side(u.where(F.expr(queries)), nq).select(F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("block"), F.col("block").alias("qb"), "id", "v", F.lit(True).alias("q"))
