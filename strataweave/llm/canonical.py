@@ -40,10 +40,10 @@ def plain(value: str) -> tuple[str, bool]:
     return " ".join(kept), cut
 
 
-def tokens(text: str) -> list[str]:
-    """Pairs of neighbouring letters of the words, ends marked: free of word order."""
-    found = dict.fromkeys(p for w in text.split() for p in (f"^{w}$"[i : i + 2] for i in range(len(w) + 1)))
-    return list(found)
+def tokens(text: str) -> list[int]:
+    """Pairs of neighbouring letters of the words, ends marked, as numbers: free of word order."""
+    marked = (f"^{w}$" for w in text.split())
+    return list(dict.fromkeys((ord(a) << 16 | ord(b)) & 0x7FFFFFFF for w in marked for a, b in zip(w, w[1:])))
 
 
 def edits(value: str, cut: bool, entry: str) -> int | None:
@@ -76,7 +76,7 @@ def _forms(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _with_tokens(df: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<int>")
     def tok(s: pd.Series) -> pd.Series:
         return s.map(tokens)
 
@@ -111,11 +111,15 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
 
     def prefixed(d: DataFrame, keys: list[str], side: str) -> DataFrame:
         d = ordered(d, keys).withColumn("m", F.size("ts"))
+        if side == "_v":
+            d = d.repartition(spread)
         p = (F.col("m") - F.ceil(F.col("m") * t) + 1).cast("int")
         d = d.withColumn("pre", F.slice("ts", F.lit(1), p))
         d = d.select(*keys, "m", "ts", "pre", F.posexplode("pre").alias("i", "t"))
         return d.select(*(F.col(k).alias(k + side) for k in keys), *(F.col(c).alias(c + side) for c in ("m", "ts", "pre", "i")), "t")
 
+    # the work per form is large against its bytes, which is all that adaptive partitioning sees
+    spread = 3 * values.sparkSession.sparkContext.defaultParallelism
     left, right = prefixed(distinct, ["plain", "cut"], "_v"), prefixed(r, ["entry_id", "plain"], "_r")
     if r.count() <= BROADCAST_FORMS:
         right = F.broadcast(right)
