@@ -151,18 +151,22 @@ def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
     if not bufs:
         return Model(np.zeros((FEATURES, n), np.float32))
     b = np.concatenate(bufs)
-    f = Model.features(b)
-    keep = b != 32
     lens = np.array(ends) - np.array(starts)
     lab = np.array(lab)
     doc = lab.copy()
     model = Model(np.zeros((FEATURES, n), np.float32))
+    step = 1 << 20
     for _ in range(rounds):
-        place = np.repeat(lab, lens)
-        ok = keep & (place >= 0)
-        count = np.zeros((FEATURES, n))
-        for c in range(2):
-            np.add.at(count, (f[ok, c], place[ok]), 1)
+        place = np.repeat(lab, lens).astype(np.int8)
+        count = np.zeros(FEATURES * n)
+        for at in range(0, len(b), step):  # part by part, to keep the driver small
+            x = b[max(0, at - 4) : at + step]
+            skip = at - max(0, at - 4)
+            ok = np.flatnonzero((x[skip:] != 32) & (place[at : at + step] >= 0))
+            f, y = Model.features(x)[skip:][ok].astype(np.int64) * n, place[at : at + step][ok]
+            for c in range(2):
+                count += np.bincount(f[:, c] + y, minlength=FEATURES * n)
+        count = count.reshape(FEATURES, n)
         half = FEATURES // 2
         table = np.zeros((FEATURES, n))
         for lo in (0, half):
@@ -315,7 +319,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     seen = likelihoods(d, key, text, model, ["decl", lang, host, group]).dropDuplicates(["k"])
     seen = write_stage(seen, "likelihoods").df
     f = fuse(seen.withColumnRenamed(lang, "raw_lang"), host, group)
-    full = F.filter("runs", lambda r: r["whole"] > 0)
+    full = F.filter("runs", lambda r: (r["whole"] > 0) | ((r["letters"] >= 2 * SENTENCE_LETTERS) & (r["letters"] >= 0.6 * (r["end_char"] - r["start_char"]))))
     r = f.select("k", "raw_lang", "decl", "prior", F.posexplode_outer(F.when(F.size(full) > 0, full)).alias("segment_no", "r"))
     post = F.zip_with(F.transform("r.score", lambda x: x * 0.5), F.col("prior"), lambda a, b: a + b)
     top = F.array_max(post)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.llm import canonical, components, language, mixing, names, neighbours, packing, splitting, survivors, tokens
+from strataweave.plans.session import ship
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
