@@ -21,6 +21,8 @@ BROADCAST_FORMS = 100_000
 
 # Words that carry no meaning in a label.
 FILLERS = frozenset("der die das des dem den von vom of the for an a".split())
+# Those looked for with a typing error between other words.
+INNER_FILLERS = ("of", "for", "der")
 
 
 def plain(value: str) -> tuple[str, bool]:
@@ -36,7 +38,8 @@ def plain(value: str) -> tuple[str, bool]:
     v = re.sub(r"(?<=[^\W\d_])\d+$", "", v.strip())
     cut = v.endswith(".")
     words = [w for w in re.split(r"[^a-z0-9]+", fold(v)) if w]
-    kept = [w for w in words if w not in FILLERS] or words
+    inner = range(1, len(words) - 1)
+    kept = [w for i, w in enumerate(words) if not (w in FILLERS or i in inner and 2 <= len(w) <= 4 and any(osa(w, f, 1) <= 1 for f in INNER_FILLERS))] or words
     return " ".join(kept), cut
 
 
@@ -46,20 +49,45 @@ def tokens(text: str) -> list[int]:
     return list(dict.fromkeys((ord(a) << 16 | ord(b)) & 0x7FFFFFFF for w in marked for a, b in zip(w, w[1:])))
 
 
+def damerau(a: str, b: str) -> int:
+    """Edits between two words where an exchange may enclose further edits."""
+    last: dict[str, int] = {}
+    big = len(a) + len(b)
+    d = {(-1, j): big for j in range(-1, len(b) + 1)} | {(i, -1): big for i in range(-1, len(a) + 1)} | {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i in range(1, len(a) + 1):
+        same = 0
+        for j in range(1, len(b) + 1):
+            k, m = last.get(b[j - 1], 0), same
+            if a[i - 1] == b[j - 1]:
+                same = j
+            d[i, j] = min(d[i - 1, j - 1] + (a[i - 1] != b[j - 1]), d[i, j - 1] + 1, d[i - 1, j] + 1, d[k - 1, m - 1] + (i - k - 1) + 1 + (j - m - 1))
+        last[a[i - 1]] = i
+    return d[len(a), len(b)]
+
+
+def _short_vowels(t: str) -> str:
+    """Written-out umlauts as one letter, so that an error in one is one error."""
+    return t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+
+
 def edits(value: str, cut: bool, entry: str) -> int | None:
     """Typing errors between a plain value and a plain list entry in the better word order;
     None if there are more than a name of that length is typed with."""
-    n = len(value.replace(" ", ""))
-    limit = 0 if n < 3 else 1 if n < 5 else 2 if n < 16 else 3
+    v = value.replace(" ", "")
+    n = len(v)
+    limit = 0 if n < 3 else 1 if n < 5 else 2 if n < 12 else 3
     words = entry.split()
     orders = permutations(words) if 1 < len(words) <= 3 else [tuple(words)]
-    best = limit + 1
-    v = value.replace(" ", "")
+    best, vs = limit + 1, _short_vowels(v)
     for o in orders:
         e = "".join(o)
         d = osa(v, e, limit)
-        if cut and len(v) >= 3 and d > 0 and len(v) < len(e) and len(v) >= 0.4 * len(e):
-            d = min(d, osa(v, e[: len(v)], 1))
+        if d > 0:
+            es = _short_vowels(e)
+            x = osa(vs, es, limit + 1)
+            d = min(d, damerau(vs, es) if x == limit + 1 and abs(len(vs) - len(es)) <= limit else x)
+        if cut and n >= 3 and d > 0 and 0.4 * len(e) <= n < len(e):
+            d = min(d, osa(v, e[:n], 1))
         best = min(best, d)
     return best if best <= limit else None
 

@@ -93,7 +93,7 @@ def person(text: str) -> tuple[str, str, str]:
         last, _, t = t.partition(",")
         last = last.strip()
     words = [w for w in re.split(r"[\s/]+", t.replace(".", ". ")) if w.strip(".-'")]
-    words = [w for w in words if w.strip(".-") not in TITLES]
+    words = [w for w in words if w.strip(".-") not in TITLES or w == "phil"]  # the pet name, not the degree
     if last:
         lw = [w.strip(".-") for w in last.split() if w.strip(".-") and w.strip(".-") not in TITLES]
         last = "".join(lw)
@@ -129,11 +129,14 @@ def organisation(text: str) -> tuple[str, str, str]:
         hit = [f for f in FORMS if len(f) > 6 and osa(tail, f, 2) <= 2]
         if hit:
             words, form = words[:-1], FORMS[hit[0]]
+    cut = {w for w in re.split(r"[\s\-&]+|(?<=\.)(?=[a-z])", " ".join(words)) if w.endswith(".")}
     kinds, proper = [], []
     for w in (x.strip(".'()\"") for x in re.split(r"[\s\-&]+|(?<=\.)(?=[a-z])", " ".join(words))):
         if not w:
             continue
         k = KINDS.get(w, w)
+        if k == w and w + "." in cut and len(w) >= 4:  # a typing error in an abbreviation
+            k = KINDS.get(next((x for x in KINDS if len(x) >= 4 and osa(w, x, 1) <= 1), w), w)
         if k in ("entsorgungs", "ingenieur"):
             k += "werk" if k == "entsorgungs" else "buero"
         elif k in ("werk", "buero") and kinds and kinds[-1].startswith(("entsorgungs", "ingenieur")):
