@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 
 #: A key is hot above this share of the rows; so at most 1/HOT_SHARE keys are.
 HOT_SHARE = 1 / 256
+#: A key with fewer rows than this is no burden for a task, whatever its share.
+HOT_ROWS = 100_000
 
 
-def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def join_unique(big: DataFrame, small: DataFrame, key: str, how: str = "inner", rows: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join ``big`` with ``small``, where ``key`` is unique in ``small``.
 
     Keys with more than HOT_SHARE of the rows of ``big`` (at most 1/HOT_SHARE by
     arithmetic, so their rows of ``small`` may be broadcast) are joined map-side; the
     rest by shuffle. ``how`` is ``inner`` or ``left``. Null keys match nothing.
-    Columns besides ``key`` must differ between the sides.
+    Columns besides ``key`` must differ between the sides. Where the caller knows that
+    ``big`` has no more than ``hot_rows`` rows, no key can be hot and none is looked for.
     """
+    rest = [c for c in small.columns if c != key]
+    if rows is not None and rows <= hot_rows:
+        return big.join(small, key, how).select(*big.columns, *rest)
     counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__t"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.greatest(F.col("__t") * HOT_SHARE, F.lit(1000))).select(key)
-    rest = [c for c in small.columns if c != key]
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("__n") > F.greatest(F.col("__t") * HOT_SHARE, F.lit(hot_rows))).select(key)
     hot_small = small.join(F.broadcast(hot), key, "left_semi").withColumn("__hot", F.lit(True))
     tagged = big.join(F.broadcast(hot_small), key, "left")
     done = tagged.where("__hot").select(*big.columns, *rest)

@@ -187,4 +187,5 @@ def test_skewed_join(spark):
     big = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
     small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
     for how in ("inner", "left"):
-        assert sorted(map(tuple, join_unique(big, small, "k", how).collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("k", "id", "v").collect()), key=str)
+        assert join_unique(big, small, "k", how, rows=6000).count() == big.join(small, "k", how).count()
+        assert sorted(map(tuple, join_unique(big, small, "k", how, hot_rows=500).collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("k", "id", "v").collect()), key=str)
