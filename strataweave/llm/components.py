@@ -26,17 +26,18 @@ def link_groups(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
     cur = write_stage(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     label = write_stage(all_nodes.withColumn("label", F.col("node")), "labels")
     old: list[Stage] = []
-    while not cur.df.isEmpty():
+    n_nodes = label.df.count()
+    while n_edges := cur.df.count():
         both = cur.df.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")))).alias("x"))
         parent = write_stage(both.groupBy("x.v").agg(F.min("x.u").alias("u")).select("v", F.least("v", "u").alias("p")), "parent")
         for _ in range(2):  # pointer jumping
             up = parent.df.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            parent, done = write_stage(join_unique(parent.df, up, "p").select("v", F.col("pp").alias("p")), "parent"), parent
+            parent, done = write_stage(join_unique(parent.df, up, "p", rows=min(n_nodes, 2 * n_edges)).select("v", F.col("pp").alias("p")), "parent"), parent
             old.append(done)
-        moved = join_unique(cur.df, parent.df.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
-        moved = join_unique(moved, parent.df.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        moved = join_unique(cur.df, parent.df.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a", rows=n_edges)
+        moved = join_unique(moved, parent.df.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b", rows=n_edges)
         nxt = write_stage(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        lifted = join_unique(label.df, parent.df.select(F.col("v").alias("label"), F.col("p").alias("up")), "label", "left")
+        lifted = join_unique(label.df, parent.df.select(F.col("v").alias("label"), F.col("p").alias("up")), "label", "left", rows=n_nodes)
         new = write_stage(lifted.select("node", F.coalesce("up", "label").alias("label")), "labels")
         old += [cur, label, parent]
         cur, label = nxt, new

@@ -98,6 +98,7 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
         right = (old if old is not None else keys).select("block", F.col("pid").alias("q"))
         return left.join(right, "block").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
+    n_profiles, n_records = base.count(), recs.count()
     pairs = write_stage(pairs_of(blocking_keys(base)), "pairs")
     assign = write_stage(base.select("pid", F.col("pid").alias("cid")), "assign")
     for r in range(max_rounds):
@@ -129,7 +130,7 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
         last = edges.isEmpty()
         if not last:
             g = link_groups(edges)
-            moved = join_unique(assign.df, g.select(F.col("node").alias("cid"), F.col("group_id").alias("to")), "cid", "left")
+            moved = join_unique(assign.df, g.select(F.col("node").alias("cid"), F.col("group_id").alias("to")), "cid", "left", rows=n_profiles)
             new = write_stage(moved.select("pid", F.coalesce("to", "cid").alias("cid")), "assign")
             # profiles with new combinations of initial and spelling enter blocking again
             grown = base.join(new.df, "pid")
@@ -144,7 +145,7 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
         if last and r > 0:
             break
     pairs.drop()
-    return join_unique(recs.select("key", "pid"), assign.df, "pid").select("key", F.col("cid").alias("group_id")).distinct()
+    return join_unique(recs.select("key", "pid"), assign.df, "pid", rows=n_records).select("key", F.col("cid").alias("group_id")).distinct()
 
 
 def linked_pairs(groups: DataFrame) -> DataFrame:
