@@ -160,7 +160,7 @@ def test_top_k(spark):
 # 5 -------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_groups(spark, seed):
     r = random.Random(seed)
     e = [(f"n{r.randint(0, 300)}", f"n{r.randint(0, 300)}") for _ in range(220)] + [(f"p{i}", f"p{i + 1}") for i in range(60)] + [("hub", f"h{i}") for i in range(100)] + [(None, "q"), ("s", "s"), ("p3", "p2")]
