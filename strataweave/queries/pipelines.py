@@ -180,3 +180,113 @@ def m2(t):
 def m6(t):
     e = t.g_edges.select("source_id", "target_id", "edge_type").distinct()
     return e.groupBy("edge_type", "source_id").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("edge_type").alias("property")).agg((F.max("n") == 1).alias("functional"))
+
+
+@query("E4b_tiered_relations", "WITH c AS (SELECT predicate, count(*) AS n FROM $relations WHERE ord % 2 = 0 GROUP BY 1) SELECT r.ord, CASE WHEN c.n >= 100 THEN 'rules' ELSE 'model' END AS tier FROM $relations r LEFT JOIN c USING (predicate) WHERE (c.n >= 100 AND ord % 2 = 0) OR (coalesce(c.n, 0) < 100 AND ord % 2 = 1)")
+def e4b(t):
+    r = t.relations.select("ord", "predicate")
+    rules, model = r.where("ord % 2 = 0"), r.where("ord % 2 = 1")
+    enough = rules.groupBy("predicate").count().where("count >= 100")
+    return rules.join(enough, "predicate", "left_semi").select("ord", F.lit("rules").alias("tier")).unionByName(model.join(enough, "predicate", "left_anti").select("ord", F.lit("model").alias("tier")))
+
+
+@query("V6_rules_from_ontology", "SELECT 'functional' AS rule, edge_type AS property FROM (SELECT edge_type, source_id, count(DISTINCT target_id) AS n FROM $g_edges GROUP BY 1, 2) q GROUP BY edge_type HAVING max(n) = 1")
+def v6(t):
+    per = t.g_edges.groupBy("edge_type", "source_id").agg(F.count_distinct("target_id").alias("n"))
+    return per.groupBy(F.col("edge_type").alias("property")).agg(F.max("n").alias("m")).where("m = 1").select(F.lit("functional").alias("rule"), "property")
+
+
+@query("A25_analytics_pipeline", """
+WITH e AS (SELECT DISTINCT source_id, target_id, edge_type FROM $g_edges), i AS (SELECT target_id AS s, source_id AS t FROM e WHERE edge_type = 'supplies')
+SELECT 'before' AS stage, count(*) AS n_edges FROM e UNION ALL SELECT 'after', (SELECT count(*) FROM e) + (SELECT count(*) FROM i)""")
+def a25(t):
+    from strataweave.operators.inference import full_inference
+
+    e = t.g_edges.select("source_id", "target_id", "edge_type").distinct()
+    new = full_inference(e, ["near"], [("supplies", "suppliedBy")], [])
+    one = lambda d, s: d.agg(F.lit(s).alias("stage"), F.count(F.lit(1)).alias("n_edges"))
+    return one(e, "before").unionByName(one(e.unionByName(new), "after"))
+
+
+@query("B7_embedding_suite")
+def b7(t):
+    from strataweave.operators import embeddings as B
+    from strataweave.operators import structural as A
+
+    c = B.kmeans(t.embeddings, "vec_id", "embedding", 10)
+    j = t.embeddings.select("vec_id", "label", "embedding").join(c, "vec_id")
+    return A.pair_counts(j, "label", "cluster").crossJoin(A.mutual_information(j, "label", "cluster")).crossJoin(B.coherence(j, "cluster", "embedding", 64).agg(F.round(F.avg("coherence"), 5).alias("coherence")))
+
+
+@query("R6_resolution_pass")
+def r6(t):
+    from strataweave.operators.structural import components
+
+    p = M.resolve_by_vector(t.enriched_relations, "record_id", "predicate", "semantic_embedding")
+    return components(p.select(F.col("a").cast("string").alias("source_id"), F.col("b").cast("string").alias("target_id")))
+
+
+@query("R7_triples_of_node", "SELECT 'rdf:type' AS p, node_type AS o FROM $g_nodes WHERE id = 'S3' UNION ALL SELECT 'rdfs:label', label FROM $g_nodes WHERE id = 'S3' UNION ALL SELECT ':' || edge_type, target_id FROM $g_edges WHERE source_id = 'S3'")
+def r7(t):
+    from strataweave.operators.graph import to_triples
+
+    return to_triples(t.g_nodes, t.g_edges).where("s = 'S3'").select("p", "o")
+
+
+@query("R8_nodes_by_type", "SELECT id AS s FROM $g_nodes WHERE node_type = 'Nation'")
+def r8(t):
+    from strataweave.operators.graph import to_triples
+
+    return to_triples(t.g_nodes, t.g_edges).where("p = 'rdf:type' and o = 'Nation'").select("s")
+
+
+@query("R9_quality_phrases", "SELECT variant AS setting, CASE WHEN avg(value) > 60 THEN 'strong' WHEN avg(value) > 40 THEN 'moderate' ELSE 'weak' END AS phrase FROM $runs GROUP BY 1")
+def r9(t):
+    from strataweave.operators.experiments import setting_profile
+
+    p = setting_profile(t.runs, None).where("metric = 'mean'")
+    return p.select("setting", F.when(F.col("value") > 60, "strong").when(F.col("value") > 40, "moderate").otherwise("weak").alias("phrase"))
+
+
+@query("R19_rate_limit", "SELECT count(*) AS over_limit FROM (SELECT count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS n FROM events) q WHERE n > 1")
+def r19(t):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-60_000_000, 0)
+    return t.events.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").agg(F.count(F.lit(1)).alias("over_limit"))
+
+
+@query("R20_validation_report", "SELECT 'shape' AS kind, count(*) FILTER (confidence IS NOT NULL AND (isnan(confidence) OR confidence < 0 OR confidence > 1)) AS n FROM $k_edges UNION ALL SELECT 'functional', (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY source_id ORDER BY id) AS r FROM $g_edges WHERE edge_type = 'supplies') q WHERE r > 1)")
+def r20(t):
+    from strataweave.operators import validation as V
+
+    one = lambda d, k: d.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"))
+    shape = V.shape_violations(t.g_nodes.where("false").select("id", "node_type", "label"), t.k_edges).where("reason = 'confidence out of range'")
+    return one(shape, "shape").unionByName(one(V.functional_violations(t.g_edges, "supplies"), "functional"))
+
+
+@query("G15_batched_build", "SELECT count(*) AS n_nodes, (SELECT count(*) FROM $g_edges) AS n_edges FROM $g_nodes")
+def g15(t):
+    from strataweave.operators.graph import with_known_ends
+    from strataweave.plans.lineage import materialize
+
+    n = materialize(t.g_nodes, "nodes")
+    e = materialize(with_known_ends(t.g_edges, n), "edges")
+    return n.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(e.agg(F.count(F.lit(1)).alias("n_edges")))
+
+
+@query("K18_action_json", "SELECT count(*) AS n FROM (SELECT DISTINCT entity_type FROM $entities UNION ALL SELECT DISTINCT predicate FROM $relations) q")
+def k18(t):
+    from strataweave.operators.validation import action_set
+
+    return action_set(t.entities, t.relations, {}).select(F.to_json(F.struct("action", "target")).alias("json")).distinct().agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("K19_vector_upsert", "SELECT count(*) AS n, count(*) FILTER (vec_id >= 100000) AS added FROM (SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 100000 FROM embeddings WHERE vec_id % 5 = 0) q")
+def k19(t):
+    from strataweave.operators.graph import upsert
+
+    v = t.embeddings.select("vec_id", "embedding")
+    kept = v.join(v.where("vec_id % 7 = 0").select("vec_id"), "vec_id", "left_anti")
+    new = v.where("vec_id % 5 = 0").withColumn("vec_id", F.col("vec_id") + 100000)
+    return upsert(kept, new, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") >= 100000, 1)).alias("added"))
