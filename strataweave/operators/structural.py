@@ -48,17 +48,17 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
     w = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).cast("double").alias("w"))
     out = w.groupBy("source_id").agg(F.sum("w").alias("d"))
     arcs = write_stage(join_unique(w, out, "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("w") / F.col("d")).alias("p")), "arcs")
+    n_arcs = arcs.df.count()
     cur = write_stage(ids.join(out.select(F.col("source_id").alias("id"), F.lit(True).alias("live")), "id", "left").withColumn("rank", F.lit(1.0 / n)), "rank")
     for _ in range(most):
         lost = cur.df.where("live is null").agg(F.sum("rank")).first()[0] or 0.0
-        got = join_unique(arcs.df, cur.df.select("id", "rank"), "id").groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
+        got = join_unique(arcs.df, cur.df.select("id", "rank"), "id", rows=n_arcs).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
         base = (1 - alpha) / n + alpha * lost / n
-        new = cur.df.withColumnRenamed("rank", "old").join(got, "id", "left").select("id", "live", "old", (base + alpha * F.coalesce("g", F.lit(0.0))).alias("rank"))
+        new = cur.df.select("id", "live", F.col("rank").alias("old")).join(got, "id", "left").select("id", "live", "old", (base + alpha * F.coalesce("g", F.lit(0.0))).alias("rank"))
         nxt = write_stage(new, "rank")
         change = nxt.df.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         cur.drop()
-        cur = write_stage(nxt.df.drop("old"), "rank")
-        nxt.drop()
+        cur = nxt
         if change < n * tolerance:
             break
     arcs.drop()
@@ -66,20 +66,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
 
 
 def _power(ids: DataFrame, step, most: int, tolerance: float, name: str) -> DataFrame:
-    cur = write_stage(ids.withColumn("x", F.lit(1.0)), name)
+    """Power iteration: one written table a round, scaled on reading."""
+    last = write_stage(ids.withColumn("x", F.lit(1.0)), name)
+    n, cur = last.df.count(), last.df
     for _ in range(most):
-        raw = write_stage(step(cur.df), name)
+        raw = write_stage(step(cur), name)
         norm = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0] or 1.0
-        nxt = write_stage(raw.df.select("id", "x", (F.col("y") / norm).alias("y")), name)
-        change = nxt.df.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] or 0.0
-        n = nxt.df.count()
-        for s in (cur, raw):
-            s.drop()
-        cur = write_stage(nxt.df.select("id", F.col("y").alias("x")), name)
-        nxt.drop()
+        change = raw.df.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0] or 0.0
+        last.drop()
+        last, cur = raw, raw.df.select("id", (F.col("y") / norm).alias("x"))
         if change < n * tolerance:
             break
-    return cur.df
+    return cur
 
 
 def eigenvector(edges: DataFrame, most: int = 50, tolerance: float = 1e-6) -> DataFrame:
@@ -119,16 +117,17 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     only aggregated (minimum) and joined back by key, never collected."""
     cur = write_stage(simple(edges), "stars")
     while True:
+        n = cur.df.count()
         arcs = both_ways(cur.df)
         least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_unique(arcs, least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+        large = join_unique(arcs, least, "u", rows=2 * n).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         one = large.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         big = write_stage(one, "stars")
         down = big.df.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = join_unique(down, small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("s")).select("s.x", "s.y")
+        linked = join_unique(down, small, "u", rows=2 * n).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("s")).select("s.x", "s.y")
         nxt = write_stage(linked.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
-        same = nxt.df.count() == cur.df.count() and nxt.df.exceptAll(cur.df).isEmpty()
+        same = nxt.df.count() == n and nxt.df.exceptAll(cur.df).isEmpty()
         big.drop()
         cur.drop()
         cur = nxt
@@ -145,18 +144,18 @@ def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): every node takes the label most frequent around it, the least of
     equals; synchronous rounds, each written; stops when no label changes."""
     arcs = both_ways(simple(edges))
-    cur = write_stage(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
+    last = write_stage(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
+    cur = last.df
     for _ in range(rounds):
-        votes = arcs.join(cur.df.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id"), "community").agg(F.count(F.lit(1)).alias("c"))
+        votes = arcs.join(cur.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id"), "community").agg(F.count(F.lit(1)).alias("c"))
         top = votes.groupBy("id").agg(F.min(F.struct((-F.col("c")).alias("n"), "community")).alias("b")).select("id", F.col("b.community").alias("new"))
-        nxt = write_stage(cur.df.join(top, "id", "left").select("id", F.coalesce("new", "community").alias("new"), "community"), "labels")
+        nxt = write_stage(cur.join(top, "id", "left").select("id", F.coalesce("new", "community").alias("new"), "community"), "labels")
         changed = not nxt.df.where("new <> community").isEmpty()
-        cur.drop()
-        cur = write_stage(nxt.df.select("id", F.col("new").alias("community")), "labels")
-        nxt.drop()
+        last.drop()
+        last, cur = nxt, nxt.df.select("id", F.col("new").alias("community"))
         if not changed:
             break
-    return cur.df
+    return cur
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> DataFrame:
@@ -416,20 +415,18 @@ def non_backtracking(edges: DataFrame, rounds: int = 60) -> DataFrame:
     greatest scaled to 1. The step uses sums by node less the reverse edge, so its cost is
     the number of edges, not of edge pairs."""
     arcs = both_ways(simple(edges))
-    cur = write_stage(arcs.withColumn("x", F.lit(1.0)), "nb")
+    last = write_stage(arcs.withColumn("x", F.lit(1.0)), "nb")
+    cur = last.df
     for _ in range(rounds):
-        into = cur.df.groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("s"))
-        rev = cur.df.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("x").alias("r"))
-        y = cur.df.select("u", "v").join(into, "v").join(rev, ["u", "v"]).select("u", "v", (F.col("s") - F.col("r")).alias("y"))
-        raw = write_stage(y, "nb")
+        into = cur.groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("s"))
+        rev = cur.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("x").alias("r"))
+        raw = write_stage(cur.select("u", "v").join(into, "v").join(rev, ["u", "v"]).select("u", "v", (F.col("s") - F.col("r")).alias("y")), "nb")
         norm = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
-        cur.drop()
+        last.drop()
         if not norm:
-            cur = raw
-            return cur.df.select(F.col("u").alias("id")).distinct().withColumn("x", F.lit(0.0))
-        cur = write_stage(raw.df.select("u", "v", (F.col("y") / norm).alias("x")), "nb")
-        raw.drop()
-    s = cur.df.groupBy(F.col("u").alias("id")).agg(F.sum("x").alias("x"))
+            return raw.df.select(F.col("u").alias("id")).distinct().withColumn("x", F.lit(0.0))
+        last, cur = raw, raw.df.select("u", "v", (F.col("y") / norm).alias("x"))
+    s = cur.groupBy(F.col("u").alias("id")).agg(F.sum("x").alias("x"))
     return s.crossJoin(F.broadcast(s.agg(F.max("x").alias("m")))).select("id", F.when(F.col("m") > 0, F.col("x") / F.col("m")).otherwise(0.0).alias("x"))
 
 
