@@ -122,19 +122,22 @@ def node_similarity(label_a, label_b, same_type, props_a=None, props_b=None):
     return F.round(F.when(same_type, 0.3).otherwise(0.0) + 0.4 * positional_similarity(label_a, label_b) + 0.3 * over, 4)
 
 
-def duplicate_pairs(nodes: DataFrame, threshold: float = 0.85) -> DataFrame:
+def duplicate_pairs(nodes: DataFrame, threshold: float = 0.85, width: int = 3) -> DataFrame:
     """Pairs of one type with a node similarity of at least ``threshold``.
 
-    With equal property names the labels must agree in at least (threshold - .6)/.4 of the
-    places; such labels share their length class and, by the pigeonhole principle, one of
-    the blocks of places: the join is on these, and loses no pair."""
+    With equal property names the labels must agree in a share of their places, so all but
+    a few of a label's blocks of ``width`` places are shared: a prefix filter over the
+    blocks, the rarest first, joins every such pair and few others."""
     need = (threshold - 0.6) / 0.4
-    parts = 8 if need > 7 / 8 else max(2, int(1 / max(1e-9, 1 - need)) + 1)
     n = F.length("label")
-    block = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.struct(i.alias("i"), F.substr(F.rpad("label", 64, "\u0001"), i * 64 / parts + 1, F.lit(64 // parts)).alias("s")))
-    x = nodes.where(n <= 64).select("id", "node_type", "label", F.explode(block).alias("b"))
-    a, b = (x.select(F.col("id").alias(f"id_{s}"), "node_type", F.col("label").alias(f"label_{s}"), "b") for s in "ab")
-    p = a.join(b, ["node_type", "b"]).where("id_a < id_b").drop("b").distinct()
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / width) - 1, F.lit(0)).cast("int")), lambda i: F.concat_ws("|", "node_type", i.cast("string"), F.substr("label", i * width + 1, F.lit(width))))
+    x = nodes.select("id", "node_type", "label", F.explode(blocks).alias("b"))
+    rare = x.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    keep = (F.floor(F.length("label") * ((1 - need) / need) + 1e-9) + 1).cast("int")
+    per = x.join(rare, "b").groupBy("id", "node_type", "label").agg(F.array_sort(F.collect_list(F.struct("c", "b"))).alias("bs"))  # the blocks of one label
+    pre = per.select("id", "label", F.explode(F.slice("bs", F.lit(1), keep)).alias("p")).select("id", "label", "p.b")
+    one, two = (pre.select(F.col("id").alias(f"id_{s}"), F.col("label").alias(f"label_{s}"), "b") for s in "ab")
+    p = one.join(two, "b").where("id_a < id_b").drop("b").distinct()
     return p.withColumn("similarity", node_similarity(F.col("label_a"), F.col("label_b"), F.lit(True))).where(F.col("similarity") >= threshold).select("id_a", "id_b", "similarity")
 
 

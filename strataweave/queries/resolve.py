@@ -115,7 +115,7 @@ def d6(t):
 
 
 @query("D10_duplicate_pairs", """
-WITH x AS (SELECT id, node_type, label FROM $k_nodes WHERE length(label) <= 64),
+WITH x AS (SELECT id, node_type, label FROM $k_nodes),
 p AS (SELECT a.id AS id_a, b.id AS id_b, a.label AS la, b.label AS lb FROM x a JOIN x b ON a.node_type = b.node_type AND a.id < b.id)
 SELECT id_a, id_b, round(0.3::DOUBLE + 0.4::DOUBLE * (len(list_filter(range(1, least(length(la), length(lb)) + 1), lambda i: la[i] = lb[i])) / greatest(length(la), length(lb))) + 0.3::DOUBLE, 4) AS similarity FROM p
 WHERE round(0.6::DOUBLE + 0.4::DOUBLE * (len(list_filter(range(1, least(length(la), length(lb)) + 1), lambda i: la[i] = lb[i])) / greatest(length(la), length(lb))), 4) >= 0.95""")
