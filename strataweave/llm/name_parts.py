@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import combinations
+
+import numpy as np
 
 # Titles and forms of address.
 TITLES = frozenset("dr prof dipl ing med jur rer nat phil habil herr frau hr fr mr mrs ms miss sir mag msc bsc phd univ pd priv doz hon h c dres".split()) - {"h", "c"}
@@ -80,6 +84,31 @@ def osa(a: str, b: str, limit: int) -> int:
     return min(one[lb], limit + 1)
 
 
+def osa_all(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """``osa`` of many pairs of words at once; above a pair's limit only that it is above.
+    Words whose lengths differ by more than the limit are not compared."""
+    la, lb = np.array([len(x) for x in a], int), np.array([len(x) for x in b], int)
+    out = np.asarray(limits) + 1
+    todo = np.flatnonzero(abs(la - lb) <= limits)
+    for n in np.unique(la[todo]):
+        rows = todo[la[todo] == n]
+        m = lb[rows].max()
+        x = np.array([list(map(ord, a[r])) for r in rows], np.int32).reshape(len(rows), n)
+        y = np.array([list(map(ord, b[r].ljust(m, "\0"))) for r in rows], np.int32).reshape(len(rows), m)
+        two, one = None, np.tile(np.arange(m + 1), (len(rows), 1))
+        for i in range(1, n + 1):
+            cur = np.full_like(one, i)
+            for j in range(1, m + 1):
+                d = np.minimum(one[:, j - 1] + (x[:, i - 1] != y[:, j - 1]), np.minimum(one[:, j], cur[:, j - 1]) + 1)
+                if i > 1 and j > 1:
+                    swap = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
+                    d = np.where(swap, np.minimum(d, two[:, j - 2] + 1), d)
+                cur[:, j] = d
+            two, one = one, cur
+        out[rows] = one[np.arange(len(rows)), lb[rows]]
+    return out
+
+
 def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
@@ -164,10 +193,34 @@ def given_alike(a: str, b: str) -> int:
     return d if d <= lim and SequenceMatcher(None, a, b).ratio() >= 0.6 else 9
 
 
-def deletions(word: str, most: int = 2) -> set[str]:
-    """The word with up to ``most`` letters left out: words within ``most`` edits share one."""
-    found = last = {word}
-    for _ in range(most):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        found = found | last
-    return found
+#: Words of more letters have no keys of all their letters, but of their ends.
+LONG, _END = 20, 10
+
+
+@lru_cache(maxsize=200)
+def _kept(n: int, left_out: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), n - left_out)), np.intp)
+
+
+def _hashes(word: str, most: int, salt: int) -> list[np.ndarray]:
+    """Hashes of the word with up to ``most`` letters left out."""
+    codes, n = np.array(list(map(ord, word)), np.uint64) * np.uint64(0x9E3779B97F4A7C15), len(word)
+    codes ^= codes >> np.uint64(29)
+    powers = np.cumprod(np.full(n + 1, 0xBF58476D1CE4E5B9, np.uint64)) + np.uint64(salt)
+    return [np.unique((codes[_kept(n, i)] * powers[: n - i]).sum(1, dtype=np.uint64) + powers[n - i]) for i in range(min(most, n) + 1)]
+
+
+def edit_keys(word: str, most: int, kind: str = "") -> np.ndarray:
+    """Keys of which any two words within min(most, max(1, letters of the shorter // 3)) edits
+    share one, for ``most`` up to 4.
+
+    Words within k edits become equal by leaving out up to k letters of each. Of words over
+    LONG letters the first and the last _END letters can't both have more than two of up to
+    four edits, and what an end turns into has up to two letters more or less; the shorter
+    of such a pair may have LONG + 1 - most letters."""
+    n, salt = len(word), sum(map(ord, kind)) * 8
+    found = _hashes(word, min(most, max(1, n // 3)), salt) if n <= LONG else []
+    if n > LONG - most:
+        for j in range(_END - 2, _END + 3):
+            found += _hashes(word[:j], 2, salt + 2) + _hashes(word[-j:], 2, salt + 4)
+    return np.unique(np.concatenate(found)).astype(np.int64)

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from strataweave.llm.components import link_groups
-from strataweave.llm.name_parts import deletions, given_alike, organisation, osa, person
+from strataweave.llm.name_parts import edit_keys, given_alike, organisation, osa, osa_all, person
 from strataweave.plans.lineage import write_stage
 from strataweave.plans.skew import join_unique
 
@@ -39,23 +41,42 @@ def profiles(records: DataFrame) -> DataFrame:
     return p.withColumn("pid", F.sha1(F.concat_ws("|", "kind", "a", "b", "core")))
 
 
-def blocking_keys(p: DataFrame) -> DataFrame:
-    """(block, pid) of profiles (pid, kind, a, b, core): the core with up to two letters left
-    out beside the initial (persons) or the kind (organisations), and for persons the core
-    with up to one left out beside the end of the given name."""
+def widest(kind: str) -> int:
+    """The most edits between two cores that ``compare`` takes for one name."""
+    return 4 if kind == PERSON else 3
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def cores_alike(base: DataFrame) -> DataFrame:
+    """(kind, core, like): every two cores of profiles (kind, core) that ``compare`` can take for
+    one, either way round and each with itself.
+
+    ``edit_keys`` gives any two of them a common key, whatever the other parts of the names
+    are, so also parts that profiles gain by merging need no further blocking. What shares
+    a key is verified by its edits."""
+    cores = write_stage(base.select("kind", "core").distinct().withColumn("id", F.monotonically_increasing_id()), "cores").df
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            ids, keys = [], []
-            for pid, kind, a, b, core in zip(x["pid"], x["kind"], x["a"], x["b"], x["core"]):
-                found = {f"{kind}{b if kind == PERSON else a}|{w}" for w in deletions(core, 2 if len(core) >= 6 else 1)}
-                if kind == PERSON and len(a) > 3:
-                    found |= {f"{kind}~{a[-3:]}|{w}" for w in deletions(core, 1)}
-                ids += [pid] * len(found)
-                keys += found
-            yield pd.DataFrame({"key": keys, "pid": ids})
+            for at in range(0, len(x), 500):
+                part = x.iloc[at : at + 500]
+                found = [edit_keys(core, widest(kind), kind) for kind, core in zip(part["kind"], part["core"])]
+                yield pd.DataFrame({"block": np.concatenate(found), "id": np.repeat(part["id"].to_numpy(), [len(f) for f in found])})
 
-    return p.select("pid", "kind", "a", "b", "core").mapInPandas(run, "key string, pid string").select(F.xxhash64("key").alias("block"), "pid")
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for _, t in x.groupby("kind"):
+                n = np.minimum(t["core"].str.len(), t["like"].str.len()).to_numpy()
+                limit = np.minimum(widest(t["kind"].iloc[0]), np.maximum(1, n // 3))
+                yield t.loc[osa_all(t["core"].tolist(), t["like"].tolist(), limit) <= limit, ["kind", "core", "like"]]
+
+    parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = cores.repartition(parts).mapInPandas(keys, "block long, id long")
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("block"))).where("n > 1")  # most keys are of one core only
+    blocks = shared.groupBy("block").agg(F.collect_list("id").alias("ids"))
+    two = blocks.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y").distinct()
+    named = two.join(cores.select(F.col("id").alias("x"), "kind", "core"), "x").join(cores.select(F.col("id").alias("y"), F.col("kind").alias("kind2"), F.col("core").alias("like")), "y").where("kind = kind2")
+    one = write_stage(named.select("kind", "core", "like").mapInPandas(verify, "kind string, core string, like string"), "alike").df
+    return one.unionByName(one.select("kind", F.col("like").alias("core"), F.col("core").alias("like"))).unionByName(cores.select("kind", "core", F.col("core").alias("like")))
 
 
 def compare(kind: str, a1, b1, c1, a2, b2, c2) -> int:
@@ -84,7 +105,7 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
 
     Merge and rematch: profiles that match are merged, a merged profile has the union of
     spellings, given names, initials and legal forms of its parts, and merged profiles are
-    blocked and matched again until no merge occurs. In the first round only full matches
+    matched again until no merge occurs. In the first round only full matches
     merge; then a profile that lacks the telling part joins the one best of the richer
     profiles, so it can't chain two of them. Names are typed with up to two errors beside a
     common spelling. Null or blank names and null keys are left out; equal names link;
@@ -93,21 +114,17 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
     recs = write_stage(profiles(records).distinct(), "names").df
     base = write_stage(recs.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", "a", "b", "core")), F.count(F.lit(1)).alias("n")), "profiles").df
 
-    def pairs_of(keys: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        left = keys.select("block", F.col("pid").alias("p"))
-        right = (old if old is not None else keys).select("block", F.col("pid").alias("q"))
-        return left.join(right, "block").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-
     n_profiles, n_records = base.count(), recs.count()
-    pairs = write_stage(pairs_of(blocking_keys(base)), "pairs")
+    alike = write_stage(cores_alike(base), "alike")
     assign = write_stage(base.select("pid", F.col("pid").alias("cid")), "assign")
     for r in range(max_rounds):
         member = base.join(assign.df, "pid")
         some = lambda c: F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c))))
         rich = member.groupBy("cid").agg(F.first("kind").alias("kind"), some("a").alias("a"), some("b").alias("b"), some("core").alias("c"), F.sum("n").alias("n"))
         rich = write_stage(rich, "rich")
-        cp = pairs.df.join(assign.df.select(F.col("pid").alias("p"), F.col("cid").alias("x")), "p").join(assign.df.select(F.col("pid").alias("q"), F.col("cid").alias("y")), "q")
-        cp = cp.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        held = rich.df.select("cid", "kind", F.explode("c").alias("core"))
+        near = held.select(F.col("cid").alias("x"), "kind", "core").join(alike.df, ["kind", "core"]).select("x", "kind", F.col("like").alias("core"))
+        cp = near.join(held.withColumnRenamed("cid", "y"), ["kind", "core"]).where("x < y").select("x", "y").distinct()
         side = lambda s: rich.df.select(F.col("cid").alias(s), *(F.col(c).alias(c + s) for c in ("kind", "a", "b", "c", "n")))
         both = cp.join(side("x"), "x").join(side("y"), "y")
 
@@ -132,19 +149,13 @@ def link_names(records: DataFrame, max_rounds: int = 10) -> DataFrame:
             g = link_groups(edges)
             moved = join_unique(assign.df, g.select(F.col("node").alias("cid"), F.col("group_id").alias("to")), "cid", "left", rows=n_profiles)
             new = write_stage(moved.select("pid", F.coalesce("to", "cid").alias("cid")), "assign")
-            # profiles with new combinations of initial and spelling enter blocking again
-            grown = base.join(new.df, "pid")
-            wide = grown.where(F.col("kind") == PERSON).groupBy("cid").agg(F.collect_set("b").alias("bs"), F.collect_set("core").alias("cs"), F.min("pid").alias("pid")).where("size(bs) > 1")
-            combos = wide.select("pid", F.lit(PERSON).alias("kind"), F.lit("").alias("a"), F.explode("bs").alias("b"), "cs").select("pid", "kind", "a", "b", F.explode("cs").alias("core"))
-            more = write_stage(pairs.df.unionByName(pairs_of(blocking_keys(combos), blocking_keys(base))).distinct(), "pairs")
-            for s in (pairs, assign):
-                s.drop()
-            pairs, assign = more, new
+            assign.drop()
+            assign = new
         for s in (rich, scored):
             s.drop()
         if last and r > 0:
             break
-    pairs.drop()
+    alike.drop()
     return join_unique(recs.select("key", "pid"), assign.df, "pid", rows=n_records).select("key", F.col("cid").alias("group_id")).distinct()
 
 

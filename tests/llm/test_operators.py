@@ -218,6 +218,27 @@ def test_names(spark):
     assert names.link_names(d.limit(0)).count() == 0
 
 
+def test_names_three_and_four_edits_apart(spark):
+    rows = [("a1", "P", "Theodora Ankbakgiskoetter"), ("a2", "P", "Theodora Onkbokgoskoettor"), ("b1", "O", "Stadtwerke Quanbakkaried AG"), ("b2", "O", "Stadtwerke Quonbokkoried AG"), ("c1", "P", "Walter " + "Vodwiduzian" * 3), ("c2", "P", "Walter " + "Vodwiduzian" * 2 + "Vudwuduzuun"), ("d1", "P", "Theodora Ankbakzumeyer")]
+    d = spark.createDataFrame(rows, "key string, kind string, text string")
+    assert {tuple(r) for r in names.linked_pairs(names.link_names(d)).collect()} == {("a1", "a2"), ("b1", "b2"), ("c1", "c2")}
+
+
+def test_edit_keys_and_edits_of_many():
+    rng = random.Random(9)
+    for _ in range(2000):
+        a = "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + 2] = rng.choice([b[i : i + 2][::-1], b[i : i + 1], ["h"], [*b[i : i + 2], "a"]])
+        b = "".join(b) or "a"
+        limit = min(4, max(1, min(len(a), len(b)) // 3))
+        edits = name_parts.osa(a, b, limit)
+        assert min(name_parts.osa_all([a], [b], np.array([limit]))[0], limit + 1) == edits
+        assert edits > limit or set(name_parts.edit_keys(a, 4)) & set(name_parts.edit_keys(b, 4))
+
+
 # 8 -------------------------------------------------------------------------------------
 
 
