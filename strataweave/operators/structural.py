@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -66,7 +68,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
 
 
 def _power(ids: DataFrame, step, most: int, tolerance: float, name: str) -> DataFrame:
-    """Power iteration: one written table a round, scaled on reading."""
+    """Power iteration: one written table a round, scaled on reading. If the sum of changes is
+    not under n * tolerance after ``most`` rounds, that is an error."""
     last = write_stage(ids.withColumn("x", F.lit(1.0)), name)
     n, cur = last.df.count(), last.df
     for _ in range(most):
@@ -76,13 +79,15 @@ def _power(ids: DataFrame, step, most: int, tolerance: float, name: str) -> Data
         last.drop()
         last, cur = raw, raw.df.select("id", (F.col("y") / norm).alias("x"))
         if change < n * tolerance:
-            break
-    return cur
+            return cur
+    if n == 0:
+        return cur
+    raise RuntimeError(f"{name}: not within tolerance after {most} rounds")
 
 
-def eigenvector(edges: DataFrame, most: int = 50, tolerance: float = 1e-6) -> DataFrame:
+def eigenvector(edges: DataFrame, most: int = 500, tolerance: float = 1e-6) -> DataFrame:
     """(id, x): power iteration with A + I on the simple undirected graph."""
-    arcs = both_ways(simple(edges))
+    arcs = write_stage(both_ways(simple(edges)), "arcs").df
     ids = arcs.select(F.col("u").alias("id")).distinct()
 
     def step(d: DataFrame) -> DataFrame:
@@ -92,9 +97,9 @@ def eigenvector(edges: DataFrame, most: int = 50, tolerance: float = 1e-6) -> Da
     return _power(ids, step, most, tolerance, "eigen")
 
 
-def hits(edges: DataFrame, most: int = 50, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+def hits(edges: DataFrame, most: int = 500, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """(hubs, authorities), each summing to 1: one step is authority from hub, hub from authority."""
-    w = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w"))
+    w = write_stage(edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("w")), "arcs").df
     ids = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
 
     def auth(d: DataFrame) -> DataFrame:
@@ -142,7 +147,8 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
 def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community): every node takes the label most frequent around it, the least of
-    equals; synchronous rounds, each written; stops when no label changes."""
+    equals; synchronous rounds, each written; stops when no label changes, and warns if some
+    still do after the last round (labels may alternate for ever)."""
     arcs = both_ways(simple(edges))
     last = write_stage(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
     cur = last.df
@@ -155,6 +161,8 @@ def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
         last, cur = nxt, nxt.df.select("id", F.col("new").alias("community"))
         if not changed:
             break
+    else:
+        warnings.warn(f"labels still change after {rounds} rounds", stacklevel=2)
     return cur
 
 
@@ -410,22 +418,29 @@ def bridges(edges: DataFrame, most: int = 50) -> DataFrame:
     return edges.sparkSession.createDataFrame(sorted(out)[:most], "a string, b string")
 
 
-def non_backtracking(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def non_backtracking(edges: DataFrame, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
     """(id, x): leading eigenvector of the non-backtracking matrix summed by edge source, the
     greatest scaled to 1. The step uses sums by node less the reverse edge, so its cost is
-    the number of edges, not of edge pairs."""
+    the number of edges, not of edge pairs. If the sum of changes is not under the number of
+    arcs * tolerance after ``rounds`` rounds, that is an error."""
     arcs = both_ways(simple(edges))
     last = write_stage(arcs.withColumn("x", F.lit(1.0)), "nb")
     cur = last.df
+    n = cur.count()
     for _ in range(rounds):
         into = cur.groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("s"))
         rev = cur.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("x").alias("r"))
-        raw = write_stage(cur.select("u", "v").join(into, "v").join(rev, ["u", "v"]).select("u", "v", (F.col("s") - F.col("r")).alias("y")), "nb")
+        raw = write_stage(cur.join(into, "v").join(rev, ["u", "v"]).select("u", "v", "x", (F.col("s") - F.col("r")).alias("y")), "nb")
         norm = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
         last.drop()
         if not norm:
             return raw.df.select(F.col("u").alias("id")).distinct().withColumn("x", F.lit(0.0))
+        change = raw.df.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
         last, cur = raw, raw.df.select("u", "v", (F.col("y") / norm).alias("x"))
+        if change < n * tolerance:
+            break
+    else:
+        raise RuntimeError(f"nb: not within tolerance after {rounds} rounds")
     s = cur.groupBy(F.col("u").alias("id")).agg(F.sum("x").alias("x"))
     return s.crossJoin(F.broadcast(s.agg(F.max("x").alias("m")))).select("id", F.when(F.col("m") > 0, F.col("x") / F.col("m")).otherwise(0.0).alias("x"))
 

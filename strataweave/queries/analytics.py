@@ -21,12 +21,12 @@ def a2(t):
 
 @query("A3_eigenvector")
 def a3(t):
-    return A.eigenvector(t.k_edges, most=20).select("id", F.round("x", 4).alias("x"))
+    return A.eigenvector(t.k_edges).select("id", F.round("x", 4).alias("x"))
 
 
 @query("A4_hits")
 def a4(t):
-    h, a = A.hits(t.k_edges, most=20)
+    h, a = A.hits(t.k_edges)
     return h.withColumnRenamed("x", "hub").join(a.withColumnRenamed("x", "authority"), "id").select("id", F.round("hub", 4).alias("hub"), F.round("authority", 4).alias("authority"))
 
 
@@ -37,7 +37,7 @@ def a5(t):
 
 @query("A6_non_backtracking")
 def a6(t):
-    return A.non_backtracking(t.k_edges, rounds=10).select("id", F.round("x", 4).alias("x"))
+    return A.non_backtracking(t.k_edges).select("id", F.round("x", 4).alias("x"))
 
 
 @query("A7_centrality_summary", _DEG + ", r AS (SELECT in_degree + out_degree AS x, row_number() OVER (ORDER BY in_degree + out_degree) AS k FROM d) SELECT count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 5) AS std, round(max(x)::DOUBLE, 6) AS hi, round(2 * sum(x * k) / (count(*) * sum(x)) - (count(*) + 1) / count(*), 6) AS gini FROM r")
@@ -47,7 +47,7 @@ def a7(t):
 
 @query("A8_label_propagation")
 def a8(t):
-    return A.propagate_labels(t.k_edges, 5).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return A.propagate_labels(t.k_edges).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CC = "WITH RECURSIVE arcs AS (SELECT a, b FROM $k_simple UNION SELECT b, a FROM $k_simple), ids AS (SELECT source_id AS id FROM $k_edges UNION SELECT target_id FROM $k_edges), r(id, c) AS (SELECT id, id FROM ids UNION SELECT arcs.b, r.c FROM r JOIN arcs ON arcs.a = r.id)"
@@ -129,7 +129,7 @@ def a19b(t):
 
 @query("A20_baseline_modularity")
 def a20(t):
-    return A.baseline_modularity(t.k_edges, t.k_nodes.select("id", F.col("node_type").alias("community")), 20)
+    return A.baseline_modularity(t.k_edges, t.k_nodes.select("id", F.col("node_type").alias("community")))
 
 
 @query("A21_small_world")
@@ -139,7 +139,7 @@ def a21(t):
 
 @query("A22_bootstrap")
 def a22(t):
-    return A.bootstrap_density(t.k_edges, 50)
+    return A.bootstrap_density(t.k_edges)
 
 
 @query("A23_type_degrees", _DEG + " SELECT node_type, count(*) AS n, round(avg(in_degree + out_degree), 6) AS mean, round(quantile_cont(in_degree + out_degree, 0.5), 6) AS median, round(stddev_pop(in_degree + out_degree), 6) AS std, min(in_degree + out_degree) AS lo, max(in_degree + out_degree) AS hi FROM d JOIN $g_nodes USING (id) GROUP BY node_type")
@@ -206,7 +206,7 @@ def b6(t):
 
 @query("B8_walk_embedding")
 def b8(t):
-    return B.walk_cooccurrence(t.k_edges, walks=2, length=6, window=3).groupBy("u").agg(F.count(F.lit(1)).alias("n_contexts"))
+    return B.walk_cooccurrence(t.k_edges).groupBy("u").agg(F.count(F.lit(1)).alias("n_contexts"))
 
 
 @query("B9_structural_vs_semantic")

@@ -1,8 +1,11 @@
-"""Queries without SQL that must cover all of their input."""
+"""Queries and operators that must do the whole of their job."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataweave import core_queries
+from strataweave.operators import embeddings, structural
+from strataweave.queries import registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -16,3 +19,23 @@ def test_all_labels_are_clustered(spark):
     d1 = run(spark, "D1_synthesis_clusters")
     assert d1.count() == d1.select("id").distinct().count() == n
     assert run(spark, "D5_dedup_map").agg(F.sum("n_members")).first()[0] == n
+
+
+@pytest.fixture(scope="module")
+def path(spark):
+    return spark.createDataFrame([(f"e{i}", f"n{i}", f"n{i + 1}", "t") for i in range(6)] + [("e9", "n0", "n2", "t")], "id string, source_id string, target_id string, edge_type string")
+
+
+def test_iterations_end_within_tolerance_or_fail(path):
+    for call in (lambda: structural.eigenvector(path, most=2), lambda: structural.hits(path, most=1), lambda: structural.non_backtracking(path, rounds=2)):
+        with pytest.raises(RuntimeError, match="tolerance"):
+            call()
+    with pytest.warns(UserWarning, match="labels still change"):
+        structural.propagate_labels(path, 1)
+
+
+def test_trials_and_walks_of_the_survey(spark):
+    assert run(spark, "A22_bootstrap").first()["trials"] == 100
+    edges = registry.Tables(spark, DATA).k_edges
+    want = embeddings.walk_cooccurrence(edges, walks=10, length=20, window=5).groupBy("u").count()
+    assert {tuple(r) for r in run(spark, "B8_walk_embedding").collect()} == {tuple(r) for r in want.collect()}
