@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strataweave.operators import snapshots
-from strataweave.queries import analytics, confidence, evaluation, graph, pipelines, resolve, texts, views  # noqa: F401
+from strataweave.queries import analytics, confidence, evaluation, graph, pipelines, resolve, texts, views, whole  # noqa: F401
 from strataweave.queries.registry import ORACLES, QUERIES, Query, expand, query
 
 P6_SQL = """

@@ -1,0 +1,30 @@
+"""The queries over evidence and concepts on all rows. Their namesakes without ``_all`` keep
+the subsets that their SQL names (first line items, concepts without a broader one)."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from strataweave.operators import extraction as X
+from strataweave.queries import confidence, graph
+from strataweave.queries.registry import ORACLES, query
+
+
+class _AllEvidence:
+    """Tables whose evidence is of all line items."""
+
+    def __init__(self, tables):
+        self._tables = tables
+
+    def __getattr__(self, name):
+        return getattr(self._tables, "evidence_all" if name == "evidence" else name)
+
+
+for _name, _f in (("G16_assemble", graph.g16), ("G17_assembler_statistics", graph.g17), ("F5_boost", confidence.f5), ("F12_quality_filter", confidence.f12), ("F13_quality_report", confidence.f13), ("F14_tuning_pipeline", confidence.f14)):
+    query(f"{_name}_all", re.sub(r"\$evidence\b", "$evidence_all", ORACLES[_name]))(lambda t, f=_f: f(_AllEvidence(t)))
+
+
+@query("E24_cooccurrence_all", "WITH d AS (SELECT DISTINCT doc_id, text FROM gold_documents WHERE text IS NOT NULL), c AS (SELECT concept_id, pref_label AS l FROM skos_concepts UNION SELECT concept_id, unnest(alt_labels) FROM skos_concepts) SELECT DISTINCT doc_id, concept_id FROM d, c WHERE length(trim(l)) > 0 AND contains(lower(text), lower(l))")
+def e24_all(t):
+    labels = t.skos_concepts.select("concept_id", F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("l"))
+    return X.label_mentions(t.gold_documents.select("doc_id", "text").distinct(), labels, "doc_id", "text", "concept_id", "l").distinct()

@@ -39,3 +39,13 @@ def test_trials_and_walks_of_the_survey(spark):
     edges = registry.Tables(spark, DATA).k_edges
     want = embeddings.walk_cooccurrence(edges, walks=10, length=20, window=5).groupBy("u").count()
     assert {tuple(r) for r in run(spark, "B8_walk_embedding").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_evidence_of_all_line_items(spark):
+    l = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_partkey", F.expr("l_suppkey % 7")).distinct()
+    parts = spark.read.parquet(f"{DATA}/part.parquet").select(F.col("p_partkey").alias("l_partkey"))
+    assert run(spark, "G16_assemble_all").agg(F.sum("evidence_count")).first()[0] == l.join(parts, "l_partkey").count()
+
+
+def test_all_labels_of_all_concepts(spark):
+    assert run(spark, "E24_cooccurrence_all").join(spark.read.parquet(f"{DATA}/skos_concepts.parquet").where("broader_id is not null"), "concept_id").count() > 0
