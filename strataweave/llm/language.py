@@ -34,6 +34,10 @@ NOTATIONS = {
 _QUOTED = re.compile(r"„[^“”\"\n]{1,80}[“”\"]|«[^»\n]{1,80}»|“[^”\n]{1,80}”|\"[^\"\n]{1,80}\"")
 _BREAK = re.compile(r"(?<=[a-zß-ÿ])-\n(?=[a-zß-ÿ])")
 _CUT = re.compile(r"[\n\t]+|[.!?…:;]\s+(?=[\"„«“(¿¡A-ZÀ-Þ0-9])")
+# Abbreviations that end no sentence before a number, and those that never do.
+_NUMBERED = frozenset("abs art nr no tab anh kap abb fig sec ziff par cap vol pp p s rn bd".split())
+_NEVER_LAST = frozenset("bzw ca vgl dr prof dipl cf".split())
+_LAST_WORD = re.compile(r"[^\W\d_]*$")
 
 
 def declared(lang: Column) -> Column:
@@ -46,9 +50,14 @@ def declared(lang: Column) -> Column:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Stretches between sentence ends and line ends, as offsets."""
+    """Stretches between sentence ends and line ends, as offsets. The stop of a known
+    abbreviation is no end."""
     out, at = [], 0
     for m in _CUT.finditer(text):
+        if text[m.start()] == ".":
+            word = _LAST_WORD.search(text, max(at, m.start() - 8), m.start())[0].lower()
+            if word in _NEVER_LAST or word in _NUMBERED and text[m.end()].isdigit():
+                continue
         end = m.start() if text[m.start()] in "\n\t" else m.start() + 1
         if end > at:
             out.append((at, end))
@@ -58,6 +67,12 @@ def segments(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def goes_on(text: str, parts: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of the text's segments goes on with the sentence of the one before it: that
+    one ends with a colon or semicolon in the same line."""
+    return [k > 0 and text[parts[k - 1][1] - 1] in ":;" and text[parts[k - 1][1]] not in "\n\t" for k in range(len(parts))]
+
+
 def _blank(m: re.Match) -> str:
     return " " * (m.end() - m.start())
 
@@ -224,12 +239,13 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
             for part in range(0, b.num_rows, 256):
                 x = b.slice(part, 256)
                 texts = x.column(len(keep) + 1).to_pylist()
-                bufs, doc, seg, at = [], [], [], 0  # offsets are in characters of all texts of the part
+                bufs, doc, seg, on, at = [], [], [], [], 0  # offsets are in characters of all texts of the part
                 for i, t in enumerate(texts):
                     if t:
                         p = prepare(t)
                         s = segments(p)
                         doc += [i] * len(s)
+                        on += goes_on(p, s)
                         seg += [(at + a, at + e, a, e) for a, e in s]
                         bufs.append(lower_marks(p))
                         at += len(p) + 1
@@ -254,7 +270,11 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
                         path[first[d] : first[d] + size[d]] = viterbi(sc[first[d] : first[d] + size[d]])
                     r = np.flatnonzero(np.diff(w, prepend=-1) | np.diff(path, prepend=-1))  # starts of the runs
                     end = np.append(r[1:], len(w)) - 1
-                    clear = (nl >= SENTENCE_LETTERS) & (sc.argmax(1) == path)
+                    # whole sentences, as far as they are in one language
+                    begin = np.diff(w, prepend=-1).astype(bool) | np.diff(path, prepend=-1).astype(bool) | ~np.array(on)
+                    b0 = np.flatnonzero(begin)
+                    clear = np.zeros(len(w), bool)
+                    clear[b0] = (np.add.reduceat(nl, b0) >= SENTENCE_LETTERS) & (np.add.reduceat(sc, b0).argmax(1) == path[b0])
                     owner, score = w[r], np.add.reduceat(sc, r)
                     fields = [path[r], c[r, 2], c[end, 3], np.add.reduceat(nl, r), np.add.reduceat(clear.astype(np.int64), r)]
                 six = pa.array(np.arange(len(score) + 1, dtype=np.int32) * n)

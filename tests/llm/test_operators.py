@@ -332,6 +332,17 @@ def test_language(spark):
     assert None not in got and language.identify(d.limit(0)).count() == 0
 
 
+def test_sentences_with_abbreviations(spark):
+    t = 'Der Begriff "safe enclosure" wird in § 147 Abs. 4 Nr. 4 nicht verwendet.'
+    assert language.segments(t) == [(0, len(t))]
+    two = "Das ist von dieser Art. Die Anlage steht."
+    assert [two[a:e] for a, e in language.segments(two)] == ["Das ist von dieser Art.", "Die Anlage steht."]
+    assert language.goes_on("A b: C d. E\nF:\nG", language.segments("A b: C d. E\nF:\nG")) == [False, True, False, False, False]
+    docs = [(len(SENTENCES) * i + k, " ".join(RNG.choices(s, k=3)), c, "src", "dos") for i in range(30) for k, (c, s) in enumerate(SENTENCES.items())]
+    d = spark.createDataFrame([*docs, (1001, t, None, "src", "dos")], "doc_id long, text string, lang string, source string, dossier string")
+    assert [r.lang_found for r in language.identify(d).where("doc_id = 1001").collect()] == ["de"]
+
+
 def test_declared(spark):
     d = spark.createDataFrame([("de-DE",), ("Deutsch",), ("EN",), ("xx",), ("",), (None,)], "lang string")
     assert [r[0] for r in d.select(language.declared(F.col("lang"))).collect()] == ["de", "de", "en", None, None, None]
