@@ -149,6 +149,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_counted(spark, d, ["doc_id", "source"]), _t(spark, d, "source_targets"))[1]
 
 
+def _corpus_mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mixture of as many tokens as the documents have."""
+    docs = _counted(spark, d, ["doc_id", "source"])
+    return mixing.mix(docs, _t(spark, d, "source_targets"), budget=float(docs.agg(F.sum("n_tokens")).first()[0] or 0))
+
+
+def p9_corpus_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus_mix(spark, d)[0]
+
+
+def p9_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _corpus_mix(spark, d)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     docs = _t(spark, d, "documents")
     r = language.identify(docs).where("lang_found is not null").select("doc_id", "declared", "lang_found")
@@ -162,7 +176,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_unmatched, p2_found, p2_pieces, p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_topk, p5_found, p7_found, p7_groups, p8_packed, p8_utilisation, p9_selection, p9_shares, p10_found, p10_segments]
+    found = [p1_found, p1_unmatched, p2_found, p2_pieces, p3_found, p3_survivors, p3_values, p3_sources, p4_found, p4_topk, p5_found, p7_found, p7_groups, p8_packed, p8_utilisation, p9_selection, p9_shares, p9_corpus_selection, p9_corpus_shares, p10_found, p10_segments]
     return {f.__name__: f for f in found}
 
 
