@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataweave.plans.lineage import write_stage
-from strataweave.plans.skew import join_unique
+from strataweave.plans.skew import hot_keys, join_unique
 
 #: Edges up to which a metric that needs the whole graph at once runs on the driver.
 DRIVER_EDGES = 1_000_000
@@ -50,11 +50,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tolerance:
     w = edges.groupBy("source_id", "target_id").agg(F.count(F.lit(1)).cast("double").alias("w"))
     out = w.groupBy("source_id").agg(F.sum("w").alias("d"))
     arcs = write_stage(join_unique(w, out, "source_id").select(F.col("source_id").alias("id"), "target_id", (F.col("w") / F.col("d")).alias("p")), "arcs")
-    n_arcs = arcs.df.count()
+    hot = hot_keys(arcs.df, "id")[0]
     cur = write_stage(ids.join(out.select(F.col("source_id").alias("id"), F.lit(True).alias("live")), "id", "left").withColumn("rank", F.lit(1.0 / n)), "rank")
     for _ in range(most):
         lost = cur.df.where("live is null").agg(F.sum("rank")).first()[0] or 0.0
-        got = join_unique(arcs.df, cur.df.select("id", "rank"), "id", rows=n_arcs).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
+        got = join_unique(arcs.df, cur.df.select("id", "rank"), "id", hot=hot).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("rank") * F.col("p")).alias("g"))
         base = (1 - alpha) / n + alpha * lost / n
         new = cur.df.select("id", "live", F.col("rank").alias("old")).join(got, "id", "left").select("id", "live", "old", (base + alpha * F.coalesce("g", F.lit(0.0))).alias("rank"))
         nxt = write_stage(new, "rank")
@@ -125,12 +125,12 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         n = cur.df.count()
         arcs = both_ways(cur.df)
         least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = join_unique(arcs, least, "u", rows=2 * n).where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
+        large = join_unique(arcs, least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y"))
         one = large.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         big = write_stage(one, "stars")
         down = big.df.select(F.col("b").alias("u"), F.col("a").alias("v"))
         small = down.groupBy("u").agg(F.min("v").alias("m"))
-        linked = join_unique(down, small, "u", rows=2 * n).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("s")).select("s.x", "s.y")
+        linked = join_unique(down, small, "u").select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m").alias("y")), F.struct(F.col("u").alias("x"), F.col("m").alias("y")))).alias("s")).select("s.x", "s.y")
         nxt = write_stage(linked.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
         same = nxt.df.count() == n and nxt.df.exceptAll(cur.df).isEmpty()
         big.drop()

@@ -187,5 +187,15 @@ def test_skewed_join(spark):
     big = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k"), "id")
     small = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(40)], "k string, v int")
     for how in ("inner", "left"):
-        assert join_unique(big, small, "k", how, rows=6000).count() == big.join(small, "k", how).count()
-        assert sorted(map(tuple, join_unique(big, small, "k", how, hot_rows=500).collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("k", "id", "v").collect()), key=str)
+        assert sorted(map(tuple, join_unique(big, small, "k", how).collect()), key=str) == sorted(map(tuple, big.join(small, "k", how).select("k", "id", "v").collect()), key=str)
+
+
+def test_hot_keys(spark):
+    from strataweave.plans.skew import hot_keys, join_spread
+
+    big = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"), "id", (F.col("id") % 4000).alias("b"))
+    h = lambda x: spark.sql(f"select xxhash64({x})").first()[0]
+    assert hot_keys(big, "k", "b") == [{h("'hot'"), h("cast(null as string)")}, set()]
+    assert hot_keys(big.where("false"), "k") == [set()]
+    twice = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4)], "k string, v int")
+    assert sorted(map(tuple, join_spread(big, twice, "k").collect())) == sorted(map(tuple, big.join(twice, "k").select("k", "id", "b", "v").collect()))
