@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataweave.functions.text import norm
 from strataweave.plans.lineage import Stage, write_stage
-from strataweave.plans.skew import join_unique
+from strataweave.plans.skew import hot_keys, join_unique
 
 
 def link_groups(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -33,8 +33,9 @@ def link_groups(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFra
             up = parent.df.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             parent, done = write_stage(join_unique(parent.df, up, "p").select("v", F.col("pp").alias("p")), "parent"), parent
             old.append(done)
-        moved = join_unique(cur.df, parent.df.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
-        moved = join_unique(moved, parent.df.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        hot_a, hot_b = hot_keys(cur.df, "a", "b")
+        moved = join_unique(cur.df, parent.df.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a", hot=hot_a)
+        moved = join_unique(moved, parent.df.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b", hot=hot_b)
         nxt = write_stage(moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         lifted = join_unique(label.df, parent.df.select(F.col("v").alias("label"), F.col("p").alias("up")), "label", "left")
         new = write_stage(lifted.select("node", F.coalesce("up", "label").alias("label")), "labels")

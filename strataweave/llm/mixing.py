@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Relative entropy in nats that shares may have to their targets where no budget is given. By
+#: Pinsker's inequality no share is then more than 0.0000003 off its target.
+MOST_DIVERGENCE = 1e-13
+
+
 def tempered(shares: np.ndarray, exponent: float, toward: np.ndarray | None = None) -> np.ndarray:
     """Source shares raised to a power and normalised. With ``toward``, the family runs
     from the natural shares (exponent 0) to ``toward`` (exponent 1):
@@ -45,6 +50,18 @@ def exponent_for_entropy(shares: np.ndarray, target: float) -> float:
     return bisect_exponent(lambda t: entropy(tempered(shares, t)) >= target, 0.0, 64.0)
 
 
+def divergence(goal: np.ndarray, w: np.ndarray) -> float:
+    """Relative entropy of ``goal`` seen from ``w``, in nats."""
+    p = goal > 0
+    return float((goal[p] * np.log(goal[p] / w[p])).sum()) if (w[p] > 0).all() else float("inf")
+
+
+def exponent_for_divergence(natural: np.ndarray, goal: np.ndarray, most: float) -> float:
+    """The least exponent in 0..1 at which the shares on the way from ``natural`` to ``goal`` are
+    within ``most`` nats of the goal; on that way the relative entropy only falls."""
+    return 1.0 - bisect_exponent(lambda u: divergence(goal, tempered(natural, 1.0 - u, goal)) <= most, 0.0, 1.0)
+
+
 @dataclass
 class Mixture:
     sources: list[str]
@@ -56,10 +73,11 @@ class Mixture:
 
 def solve(sources: list[str], tokens: np.ndarray, target: np.ndarray, repeats: np.ndarray, budget: float | None = None) -> Mixture:
     """Weights and token budget. Targets of sources that have no tokens are spread over the
-    others in proportion. Without a budget, the greatest one at which the targets
-    themselves (exponent 1) keep every repetition limit; with one, the exponent toward the
-    targets is bisected to the greatest that keeps the limits, and the budget is cut only
-    if even the natural shares break them."""
+    others in proportion. Without a budget the exponent toward the targets is bisected to the
+    least at which the shares have no more than MOST_DIVERGENCE of relative entropy to them, and
+    the budget is the greatest that keeps every repetition limit at those shares. With a
+    budget, the exponent is bisected to the greatest that keeps the limits, and the budget is
+    cut only if even the natural shares break them."""
     live = (tokens > 0) & (target > 0) & (repeats > 0)
     goal = np.where(live, target, 0.0)
     goal = goal / goal.sum() if goal.sum() > 0 else goal
@@ -70,7 +88,9 @@ def solve(sources: list[str], tokens: np.ndarray, target: np.ndarray, repeats: n
         return Mixture(sources, tokens, goal, 0.0, 1.0)
     most = lambda w: float((room[w > 0] / w[w > 0]).min())
     if budget is None:
-        return Mixture(sources, tokens, goal, most(goal), 1.0)
+        t = exponent_for_divergence(natural, goal, MOST_DIVERGENCE)
+        w = tempered(natural, t, goal)
+        return Mixture(sources, tokens, w, most(w), t)
     t = bisect_exponent(lambda t: budget <= most(tempered(natural, t, goal)) * (1 + 1e-12), 0.0, 1.0)
     w = tempered(natural, t, goal)
     return Mixture(sources, tokens, w, min(budget, most(w)), t)

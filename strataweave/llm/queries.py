@@ -48,17 +48,19 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Oversized are the documents that the operator cut, unbreakable those in which it had to
+    cut a run without white space that is longer than the size."""
     docs = _t(spark, d, "gold_documents").select("doc_id", "text", "config_name")
     c = splitting.with_config(docs, _t(spark, d, "processing_configs"))
     keyed = c.withColumn("key", F.concat_ws("\u0001", "doc_id", F.col("__size").cast("string")))
-    p = splitting.split_texts(keyed, "key", "text", "__size", "__overlap", False).where("piece_no > 0 or longest_run > 0")
-    s = p.select(F.split("key", "\u0001")[0].alias("doc_id"), F.split("key", "\u0001")[1].cast("int").alias("size"), "piece_no", "n_chars", "longest_run")
-    kinds = F.array(F.when((F.col("piece_no") > 0) & (F.col("n_chars") > F.col("size")), "oversized"), F.when(F.col("longest_run") > F.col("size"), "unbreakable"))
+    p = splitting.split_texts(keyed, "key", "text", "__size", "__overlap", False).where("piece_no > 0 or cut_kind = 'forced'")
+    s = p.select(F.split("key", "\u0001")[0].alias("doc_id"), F.split("key", "\u0001")[1].cast("int").alias("size"), "piece_no", "cut_kind", "cut_run")
+    kinds = F.array(F.when(F.col("piece_no") > 0, "oversized"), F.when((F.col("cut_kind") == "forced") & (F.col("cut_run") > F.col("size")), "unbreakable"))
     return s.select("doc_id", F.explode(F.array_compact(kinds)).alias("case_kind")).distinct()
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return _pieces(spark, d).drop("longest_run")
+    return _pieces(spark, d)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -18,7 +18,7 @@ KINDS = {0: "forced", 1: "word", 2: "clause", 3: "line", 4: "sentence", 5: "para
 # Words that end with a full stop inside a sentence.
 ABBREVIATIONS = frozenset("abs art nr bzw ca d h z b vgl tab anh kap abb dr prof ing st mio mrd usw e g i no fig sec cf vs inc ltd al p pp etc ref".split())
 
-PIECES = "piece_no int, start_char long, end_char long, cut_kind string, piece string, n_chars long, longest_run long"
+PIECES = "piece_no int, start_char long, end_char long, cut_kind string, piece string, cut_run long"
 
 
 def boundary_strengths(cp: np.ndarray) -> np.ndarray:
@@ -77,30 +77,32 @@ class StrongestCut:
 
 def cut_places(strengths: np.ndarray, size: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, strength of the end) of the pieces: none longer than ``size``,
-    consecutive ones sharing ``overlap`` characters. The strongest cut of the second half
-    of the permissible window is taken; if that half has none, of the whole window."""
+    consecutive ones sharing ``overlap`` characters. Each end is the strongest cut of the
+    whole permissible window, the rightmost of equals; without any, the window's end."""
     n, out, start, index = len(strengths) - 1, [], 0, None
     overlap = max(0, min(overlap, size - 1))
     segment = max(1 << 16, 8 * size)
     while n - start > size:
         if index is None or start + size >= index.lo + index.m:
             index = StrongestCut(strengths, start, min(n + 1, start + segment + size + 1), size + 1)
-        low = start + overlap + 1
-        cut, strength = index.query(max(low, start + size // 2), start + size)
-        if strength == 0 and low < start + size // 2:
-            cut, strength = index.query(low, start + size // 2)
-        if strength == 0:
-            cut = start + size
+        cut, strength = index.query(start + overlap + 1, start + size)
         out.append((start, cut, strength))
         start = cut - overlap
     out.append((start, n, PARAGRAPH))
     return out
 
 
-def longest_run(cp: np.ndarray) -> int:
-    """Length of the longest run of characters without white space."""
-    at = np.flatnonzero(is_space(cp))
-    return int(np.diff(np.concatenate(([-1], at, [len(cp)]))).max() - 1)
+class Runs:
+    """Runs of characters without white space: ``length(i)`` of the one that goes across place i."""
+
+    def __init__(self, cp: np.ndarray):
+        self.spaces, self.n = np.flatnonzero(is_space(cp)), len(cp)
+
+    def length(self, i: int) -> int:
+        k = int(np.searchsorted(self.spaces, i))
+        before = int(self.spaces[k - 1]) if k else -1
+        after = int(self.spaces[k]) if k < len(self.spaces) else self.n
+        return after - before - 1
 
 
 def split_texts(df: DataFrame, key: str, text: str, size: str, overlap: str, with_text: bool = True) -> DataFrame:
@@ -112,13 +114,14 @@ def split_texts(df: DataFrame, key: str, text: str, size: str, overlap: str, wit
     and takes 1024 and 100. An overlap of the size or more is cut to size - 1. Every text
     is processed whole; the index covers one segment at a time, so memory stays flat for
     very long texts. Columns: key, piece_no, start_char, end_char, cut_kind (what the end
-    is), piece (null unless ``with_text``), n_chars and longest_run of the whole text.
+    is), piece (null unless ``with_text``) and cut_run: for a forced cut, the length of the
+    run of characters without white space that it cuts, else 0.
     """
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(7)]
             for k, t, z, o in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if t is None:
                     continue
@@ -126,12 +129,10 @@ def split_texts(df: DataFrame, key: str, text: str, size: str, overlap: str, wit
                 o = o if o is not None and o >= 0 else 100
                 cp = code_points(t)
                 n = len(cp)
-                if n <= z:
-                    parts, lr = [(0, n, PARAGRAPH)], longest_run(cp)
-                else:
-                    parts, lr = cut_places(boundary_strengths(cp), z, o), longest_run(cp)
+                parts, runs = ([(0, n, PARAGRAPH)], None) if n <= z else (cut_places(boundary_strengths(cp), z, o), Runs(cp))
                 for i, (s, e, w) in enumerate(parts):
-                    for c, v in zip(cols, (k, i, s, e, "end" if i == len(parts) - 1 else KINDS[w], t[s:e] if with_text else None, n, lr)):
+                    run_cut = runs.length(e) if w == 0 and runs else 0
+                    for c, v in zip(cols, (k, i, s, e, "end" if i == len(parts) - 1 else KINDS[w], t[s:e] if with_text else None, run_cut)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out)], schema=out)
 

@@ -70,7 +70,7 @@ def test_splitting(spark):
         p = by[k]
         assert all(r.piece == text[r.start_char : r.end_char] and 0 < len(r.piece) <= z for r in p)
         assert all(b.start_char == a.end_char - o for a, b in zip(p, p[1:])) and p[0].start_char == 0 and p[-1].end_char == len(text)
-    assert {r.cut_kind for r in by["b"][:-1]} == {"forced"} and by["b"][0].longest_run == 1000
+    assert {r.cut_kind for r in by["b"][:-1]} == {"forced"} and by["b"][0].cut_run == 1000
     assert "forced" not in {r.cut_kind for r in by["a"]}
 
 
@@ -357,3 +357,14 @@ def test_token_counts_are_exact(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "k int, text string").withColumn("n_tokens", F.lit("clash"))
     got = {r.k: r.n_tokens for r in tokens.with_token_count(d, ["k"]).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
+
+
+def test_mixing_bisects():
+    """Without a budget the exponent is found by bisection, and every share meets its target."""
+    share, tokens = np.array([0.5, 0.3, 0.2]), np.array([9000.0, 500.0, 100.0])
+    m = mixing.solve(list("abc"), tokens, share, np.array([1.0, 2.0, 3.0]))
+    assert 0.99 < m.exponent < 1 and np.abs(m.weights - share).max() <= 3e-7 and mixing.divergence(share, m.weights) <= mixing.MOST_DIVERGENCE
+    assert mixing.divergence(share, mixing.tempered(tokens / tokens.sum(), m.exponent - 1e-6, share)) > mixing.MOST_DIVERGENCE
+    assert (m.budget * m.weights <= tokens * np.array([1.0, 2.0, 3.0]) * (1 + 1e-9)).all()
+    same = mixing.solve(["a", "b"], np.array([50.0, 50.0]), np.array([0.5, 0.5]), np.array([1.0, 1.0]))
+    assert same.exponent == 0 and same.budget == 100
