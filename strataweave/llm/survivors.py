@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import entity_id, norm, strip
-from strataweave.plans.lineage import write_stage
-from strataweave.plans.skew import join_unique
+from strataweave.plans.lineage import Stage, write_stage
+from strataweave.plans.skew import hot_keys, join_unique
 
 # Descriptions that say there is none, as they read in lower case with
 # single blanks; and the openings of longer notices.
@@ -26,11 +26,19 @@ NOTICES = (
     r"^(error|fehler|timeout|exception)\b",
 )
 
-#: Pseudo-counts of the two-sided model: sensitivity and false-positive rate.
-SENSITIVITY, FALSE_POSITIVE = (50.0, 50.0), (20.0, 80.0)
-#: Probability that a usable value is true before its sources are looked at.
+FIELDS = ("description", "discovery_confidence", "evidence_count", "label", "entity_type")
+
+#: Where sensitivity and false-positive rate start, and the records that this start weighs for
+#: a source without data.
+SENSITIVITY, FALSE_POSITIVE, RECORDS = 0.5, 0.2, 100.0
+#: Where the share of true values among a field's usable ones starts.
 TRUTH = 0.8
-ROUNDS = 8
+#: The weight that these starts keep against the data when rates and shares are estimated anew:
+#: as much as the data. Most values have one source only; with less weight nothing ties the
+#: rates, and the rounds drift to calling usable values false.
+START_WEIGHT = 1.0
+#: The rounds end when no rate moves by more than this.
+TOLERANCE = 1e-3
 
 
 def real_description(text: Column, label: Column) -> Column:
@@ -92,66 +100,96 @@ def facts(rows: DataFrame) -> DataFrame:
     return join_unique(values, cover, "covered").withColumn("no", F.array_sort(F.array_except("all", "yes"))).drop("covered", "all")
 
 
-def _posterior(prior: dict[str, float], yes: dict[str, float], no: dict[str, float]) -> Column:
-    """Probability that a value is true; a value that isn't usable is false."""
-    table = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
-    key = lambda s: F.concat_ws("|", F.col("field"), s)
-    add = lambda arr, d: F.aggregate(F.transform(arr, lambda s: F.coalesce(F.element_at(table(d), key(s)), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    odds = F.coalesce(F.element_at(table(prior), F.col("field")), F.lit(0.0)) + add(F.col("yes"), yes) + add(F.col("no"), no)
-    return F.when(F.col("ok"), 1 / (1 + F.exp(-odds))).otherwise(0.0)
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
 
-def infer_quality(all_facts: DataFrame, rounds: int = ROUNDS) -> tuple[Column, list[tuple[str, str, float, float]]]:
-    """(posterior column, [(field, source, sensitivity, specificity)]) by expectation-maximisation.
+def infer_quality(all_facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, Stage]:
+    """(facts with the posterior p of every value, written table (k, sens, fpr) with k = field|source)
+    by expectation-maximisation until no rate moves by more than ``tolerance``.
 
     Latent truth per value; per field and source a sensitivity (asserts a true value) and a
-    specificity (doesn't assert a false one). Values that can't be true are observed as
-    false. The likelihood depends on a value only through who asserts and who denies it, so
-    all values are first counted by that pattern and the rounds run over patterns; what
-    comes to the driver each round is one row per field and source.
+    specificity (doesn't assert a false one); per field the share of true values among the
+    usable ones, estimated in every round. Values that can't be true are observed as false.
+    The likelihood depends on a value only through who asserts and who denies it, so all
+    values are first counted by that pattern and the rounds run over patterns. Rates stay
+    tables, for any number of sources; a round brings one number and one row a field to
+    the driver.
     """
-    patterns = write_stage(all_facts.groupBy("field", "yes", "no", "ok").agg(F.count(F.lit(1)).cast("double").alias("n")), "patterns")
-    logit = lambda p: math.log(p / (1 - p))
-    sens: dict[str, float] = {}
-    fpr: dict[str, float] = {}
-    prior: dict[str, float] = {}
-    p = F.when(F.col("ok"), F.lit(TRUTH)).otherwise(0.0)
-    for _ in range(rounds):
-        e = patterns.df.withColumn("p", p)
-        tell = F.concat(F.transform("yes", lambda s: F.struct(s.alias("s"), F.lit(1).alias("y"))), F.transform("no", lambda s: F.struct(s.alias("s"), F.lit(0).alias("y"))))
-        sums = e.select("field", "n", "p", F.explode(tell).alias("t")).groupBy("field", "t.s", "t.y").agg(F.sum(F.col("n") * F.col("p")).alias("true"), F.sum(F.col("n") * (1 - F.col("p"))).alias("false")).collect()
-        got = {(r["field"], r["s"], r["y"]): (r["true"], r["false"]) for r in sums}
-        for field, s, y in got:
-            prior[field] = TRUTH
-            a, b = got.get((field, s, 1), (0.0, 0.0)), got.get((field, s, 0), (0.0, 0.0))
-            sens[f"{field}|{s}"] = (a[0] + SENSITIVITY[0]) / (a[0] + b[0] + sum(SENSITIVITY))
-            fpr[f"{field}|{s}"] = (a[1] + FALSE_POSITIVE[0]) / (a[1] + b[1] + sum(FALSE_POSITIVE))
-        if not got:
+    pattern = ("field", "yes", "no", "ok")
+    known = all_facts.withColumn("pattern", F.xxhash64(*pattern))
+    tell = F.concat(F.transform("yes", lambda s: F.struct(F.concat_ws("|", "field", s).alias("k"), F.lit(1).alias("y"))), F.transform("no", lambda s: F.struct(F.concat_ws("|", "field", s).alias("k"), F.lit(0).alias("y"))))
+    counted = known.groupBy("pattern").agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.first(c).alias(c) for c in pattern))
+    patterns = write_stage(counted.select("pattern", "n", "field", "ok", tell.alias("tells")), "patterns")
+    tells = patterns.df.select("pattern", F.explode("tells").alias("t")).select("pattern", "t.*")
+    hot = hot_keys(tells, "k")[0]
+    truth, rates = {f: TRUTH for f in FIELDS}, None
+
+    def posteriors() -> DataFrame:
+        prior = F.lit(0.0)
+        for f, share in truth.items():
+            prior = F.when(F.col("field") == f, _logit(share)).otherwise(prior)
+        if rates is None:
+            return patterns.df.withColumn("p", F.when(F.col("ok"), 1 / (1 + F.exp(-prior))).otherwise(0.0))
+        told = F.when(F.col("y") == 1, F.log(F.col("sens") / F.col("fpr"))).otherwise(F.log((1 - F.col("sens")) / (1 - F.col("fpr"))))
+        odds = join_unique(tells, rates.df.select("k", "sens", "fpr"), "k", hot=hot).groupBy("pattern").agg(F.sum(told).alias("odds"))
+        return patterns.df.join(odds, "pattern").withColumn("p", F.when(F.col("ok"), 1 / (1 + F.exp(-(prior + F.col("odds"))))).otherwise(0.0))
+
+    while True:
+        own = F.when(F.col("ok"), F.array(F.struct(F.col("field").alias("k"), F.lit(1).alias("y")))).otherwise(F.array().cast("array<struct<k:string,y:int>>"))
+        seen = posteriors().select("n", "p", F.explode(F.concat("tells", own)).alias("t"))
+        part = lambda y, w: F.sum(F.when(F.col("t.y") == y, F.col("n") * w).otherwise(0.0))
+        true, false = F.col("p"), 1 - F.col("p")
+        sums = seen.groupBy("t.k").agg(part(1, true).alias("tp"), part(0, true).alias("fn"), part(1, false).alias("fp"), part(0, false).alias("tn"))
+        rate = lambda hit, miss, start: (F.col(hit) + start * (START_WEIGHT * (F.col(hit) + F.col(miss)) + RECORDS)) / ((1 + START_WEIGHT) * (F.col(hit) + F.col(miss)) + RECORDS)
+        new = sums.select("k", "tp", "fp", rate("tp", "fn", SENSITIVITY).alias("sens"), rate("fp", "tn", FALSE_POSITIVE).alias("fpr"))
+        if rates is not None:
+            new = new.join(rates.df.select("k", F.col("sens").alias("s0"), F.col("fpr").alias("f0")), "k")
+        moved = F.greatest(F.abs(F.col("sens") - F.col("s0")), F.abs(F.col("fpr") - F.col("f0"))) if rates is not None else F.lit(1.0)
+        nxt = write_stage(new.select("k", "tp", "fp", "sens", "fpr", moved.alias("moved")), "rates")
+        if rates is not None:
+            rates.drop()
+        rates = nxt
+        most = None
+        own_row = F.when(F.col("k").isin(*FIELDS), F.col("k"))  # a field's own row has its share of true values
+        for r in rates.df.groupBy(own_row.alias("field")).agg(F.max("moved").alias("moved"), F.max("tp").alias("tp"), F.max("fp").alias("fp")).collect():
+            if r["field"] is None:
+                most = max(most or 0.0, r["moved"])
+            else:
+                n = r["tp"] + r["fp"]
+                share = (r["tp"] + START_WEIGHT * n * TRUTH) / (n * (1 + START_WEIGHT))
+                most, truth[r["field"]] = max(most or 0.0, abs(share - truth[r["field"]])), share
+        if most is None or most <= tolerance:
             break
-        p = _posterior({k: logit(v) for k, v in prior.items()}, {k: math.log(sens[k] / fpr[k]) for k in sens}, {k: math.log((1 - sens[k]) / (1 - fpr[k])) for k in sens})
+    judged = write_stage(posteriors().select("pattern", "p"), "posteriors")
     patterns.drop()
-    return p, [(*k.split("|", 1), sens[k], 1 - fpr[k]) for k in sorted(sens)]
-
-
-def dominant_records(rows: DataFrame) -> DataFrame:
-    """(entity_id, n_records, record_id, ...): per entity, the record that alone has at once
-    the longest real description, the highest valid confidence and the highest valid
-    evidence count, else null; in one aggregation (the greatest triple of the group is that
-    of such a record, if there is one)."""
-    d = F.when(F.col("real"), F.length("description"))
-    c, n = F.when(F.col("conf_ok"), F.col("conf")), F.when(F.col("n_ok"), F.col("n"))
-    triple = lambda r: F.struct(F.coalesce(d, F.lit(-1)), F.coalesce(c, F.lit(-1.0)), F.coalesce(n, F.lit(-1)), r.alias("r"))
-    g = rows.groupBy("entity_id").agg(
-        F.max(d).alias("d"), F.max(c).alias("c"), F.max(n).alias("n"), F.max(triple(F.col("record_id"))).alias("hi"), F.max(triple(-F.col("record_id"))).alias("lo"), F.min("record_id").alias("first"), F.max("record_id").alias("last")
-    )
-    alone = (F.col("hi.r") == -F.col("lo.r")) & (F.col("hi.col1") == F.col("d")) & (F.col("hi.col2") == F.col("c")) & (F.col("hi.col3") == F.col("n"))
-    return g.select("entity_id", "d", "c", "n", (F.col("first") < F.col("last")).alias("grouped"), F.when(alone, F.col("hi.r")).alias("record_id"))
+    return join_unique(known, judged.df, "pattern").drop("pattern"), rates
+
+
+def surviving_values(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per entity and field the surviving value, from facts with posteriors: of the usable values
+    judged true (if none is, of all usable ones) the most complete, then the most probable,
+    then the most recent. A column per field (t, measure, p, ...), and the number of values
+    judged true."""
+    best = F.max(F.struct((F.col("p") >= threshold).cast("int").alias("t"), F.col("measure"), F.round("p", 9).alias("p"), F.size("yes"), F.col("at"), F.col("value").alias("value")))
+    pick = lambda name: F.max(F.when(F.col("field") == name, F.col("b"))).alias(name)
+    per = judged.where("ok").groupBy("entity_id", "field").agg(best.alias("b"), F.count(F.when(F.col("p") >= threshold, 1)).alias("k"))
+    return per.groupBy("entity_id").agg(F.sum("k").alias("n_values"), *(pick(x) for x in FIELDS))
+
+
+def whole_survivors(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """(entity_id, record_id) of the entities where one record alone has the surviving
+    description's length, the surviving confidence and the surviving count all at once."""
+    mine = rows.where("real and conf_ok and n_ok").select("entity_id", "record_id", F.length("description").cast("double").alias("d"), "conf", F.col("n").cast("double").alias("n"))
+    kept = wide.select("entity_id", F.col("description.measure").alias("kd"), F.col("discovery_confidence.measure").alias("kc"), F.col("evidence_count.measure").alias("kn"))
+    same = join_unique(mine, kept, "entity_id").where("d = kd and conf = kc and n = kn")
+    return same.groupBy("entity_id").agg(F.min("record_id").alias("record_id"), F.max("record_id").alias("last")).where("record_id = last").drop("last")
 
 
 def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per entity: entity_id, n_values, description, discovery_confidence,
     evidence_count, label, entity_type, the probability of the first three, grouped (two or
-    more records) and record_id (the record that alone has all three best values, or null).
+    more records) and record_id (the record that alone has all three surviving values, or null).
 
     Per field the survivor is, of the usable values judged true (posterior at least
     ``threshold``; if none is, of all usable ones), the most complete one, then the most
@@ -162,19 +200,13 @@ def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     no rows.
     """
     rows = prepared(df)
-    f = write_stage(facts(rows), "facts").df
-    p, _ = infer_quality(f)
-    judged = f.where("ok").withColumn("p", p)
-    best = F.max(F.struct((F.col("p") >= threshold).cast("int").alias("t"), F.col("measure"), F.round("p", 9).alias("p"), F.size("yes"), F.col("at"), F.col("value").alias("value")))
-    pick = lambda name: F.max(F.when(F.col("field") == name, F.col("b"))).alias(name)
-    per = judged.groupBy("entity_id", "field").agg(best.alias("b"), F.count(F.when(F.col("p") >= threshold, 1)).alias("k"))
-    wide = per.groupBy("entity_id").agg(F.sum("k").alias("n_values"), *(pick(x) for x in ("description", "discovery_confidence", "evidence_count", "label", "entity_type")))
-    dom = dominant_records(rows)
-    whole = (F.col("description.measure") == F.col("d")) & (F.col("discovery_confidence.measure") == F.col("c")) & (F.col("evidence_count.measure") == F.col("n"))
-    out = dom.join(wide, "entity_id", "left").select(
+    judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
+    wide = write_stage(surviving_values(judged, threshold), "survivors").df
+    groups = rows.groupBy("entity_id").agg((F.min("record_id") < F.max("record_id")).alias("grouped"))
+    out = groups.join(wide, "entity_id", "left").join(whole_survivors(rows, wide), "entity_id", "left").select(
         "entity_id", "n_values", F.col("description.value").alias("description"), F.col("discovery_confidence.measure").alias("discovery_confidence"), F.col("evidence_count.measure").cast("int").alias("evidence_count"),
         F.col("label.value").alias("label"), F.col("entity_type.value").alias("entity_type"), F.round("description.p", 6).alias("p_description"), F.round("discovery_confidence.p", 6).alias("p_confidence"), F.round("evidence_count.p", 6).alias("p_evidence"),
-        "grouped", F.when(whole, F.col("record_id")).alias("record_id"),
+        "grouped", "record_id",
     )
     return with_text(out, rows, "description")
 
@@ -182,13 +214,13 @@ def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def values_judged_true(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(entity_id, field, value, probability): every value of every field judged true."""
     rows = prepared(df)
-    f = write_stage(facts(rows), "facts").df
-    p, _ = infer_quality(f)
-    true = f.where("ok").select("entity_id", "field", "value", F.round(p, 6).alias("probability")).where(F.col("probability") >= threshold)
+    judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
+    true = judged.where("ok").select("entity_id", "field", "value", F.round("p", 6).alias("probability")).where(F.col("probability") >= threshold)
     return with_text(true.where("field = 'description'"), rows, "value").unionByName(true.where("field <> 'description'")).select("entity_id", "field", "value", "probability")
 
 
 def source_quality(df: DataFrame) -> DataFrame:
     """(field, source, sensitivity, specificity) as inferred."""
-    _, q = infer_quality(write_stage(facts(prepared(df)), "facts").df)
-    return df.sparkSession.createDataFrame([(a, b, round(s, 6), round(t, 6)) for a, b, s, t in q], "field string, source string, sensitivity double, specificity double")
+    _, rates = infer_quality(write_stage(facts(prepared(df)), "facts").df)
+    field, cut = F.substring_index("k", "|", 1), F.locate("|", F.col("k"))
+    return rates.df.where(cut > 0).select(field.alias("field"), F.expr("substring(k, locate('|', k) + 1)").alias("source"), F.round("sens", 6).alias("sensitivity"), F.round(1 - F.col("fpr"), 6).alias("specificity"))

@@ -118,6 +118,16 @@ def test_two_sided_model_finds_the_bad_source(spark):
     assert q["bad"] < q["good"] and q["bad"] < q["fair"]
 
 
+def test_posteriors_decide_survivors(spark):
+    """A source that the others contradict everywhere loses, though its values are the most
+    complete; without the others its values survive."""
+    rows = [ent(i * 4 + k, f"L{i}", f"description of {i}" if k < 3 else f"a much longer but invented description {i}", 0.5 if k < 3 else 0.99, 1 if k < 3 else 90, ("a", "b", "c", "liar")[k]) for i in range(60) for k in range(4)]
+    s = survivors.survivors(spark.createDataFrame(rows, ENT)).collect()
+    assert len(s) == 60 and all(r.description.startswith("description of") and r.discovery_confidence == 0.5 and r.evidence_count == 1 and r.record_id is None for r in s)
+    alone = survivors.survivors(spark.createDataFrame([r for r in rows if r[6] in ("a", "liar")], ENT)).collect()
+    assert all(r.evidence_count == 90 and r.record_id % 4 == 3 for r in alone)
+
+
 # 4 -------------------------------------------------------------------------------------
 
 
