@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import permutations
@@ -14,10 +15,13 @@ from strataweave.llm.name_parts import fold, osa
 from strataweave.plans.lineage import write_stage
 from strataweave.plans.skew import join_unique
 
-#: Jaccard similarity of the token sets from which a list entry is a candidate.
-MIN_SIMILARITY = 0.25
-#: The reference side of the prefix join is broadcast up to so many forms, else shuffled.
+#: Jaccard similarity of the token sets from which a list entry is a candidate. Two letters
+#: typed wrong in a word of seven leave about this.
+MIN_SIMILARITY = 0.4
+#: Forms a task of the reference side: above this many the prefix join shuffles that side.
 BROADCAST_FORMS = 100_000
+#: A value cut off with a stop has at least this share of the letters of what it means.
+LEAST_CUT = 0.4
 
 # Words that carry no meaning in a label.
 FILLERS = frozenset("der die das des dem den von vom of the for an a".split())
@@ -25,28 +29,49 @@ FILLERS = frozenset("der die das des dem den von vom of the for an a".split())
 INNER_FILLERS = ("of", "for", "der")
 
 
-def plain(value: str) -> tuple[str, bool]:
-    """(folded words without decoration, whether the last word is cut off with a stop)."""
+def parts(value: str) -> list[str]:
+    """The readings of a value as typed, the likeliest first: without bracketed remarks, its
+    parts between semicolons, slashes and dashes, the remarks themselves, and the whole."""
     v = value.strip()
     if re.match(r"(?i)^[a-z][a-z0-9+.-]*://", v):
         v = re.split(r"[#/]", v.rstrip("#/"))[-1]
     v = re.sub(r"^[A-Za-z][\w.-]*:(?=\S)", "", v)
-    v = re.sub(r"[\[({<][^\])}>]*[\])}>]", " ", v)
-    v = re.split(r";|\s[/|–-]\s", v)[0] if re.split(r";|\s[/|–-]\s", v)[0].strip() else v
-    v = re.sub(r"(?i)[_\s](node|class|type|entity)$", "", v.strip())
+    bare = re.sub(r"[\[({<][^\])}>]*[\])}>]", " ", v)
+    found = [bare, *re.split(r";|\s[/|–-]\s", bare), *re.findall(r"[\[({<]([^\])}>]*)[\])}>]", v), v]
+    return list(dict.fromkeys(x.strip() for x in found if x.strip()))
+
+
+def plain(value: str) -> tuple[str, bool]:
+    """(folded words without decoration, whether the last word is cut off with a stop)."""
+    v = re.sub(r"(?i)[_\s](node|class|type|entity)$", "", value.strip())
     v = re.sub(r"(?<=[a-zäöüß])(?=[A-ZÄÖÜ])", " ", v) if not v.isupper() else v
     v = re.sub(r"(?<=[^\W\d_])\d+$", "", v.strip())
     cut = v.endswith(".")
-    words = [w for w in re.split(r"[^a-z0-9]+", fold(v)) if w]
+    words = [w for w in re.split(r"[\W_]+", fold(v)) if w]
     inner = range(1, len(words) - 1)
     kept = [w for i, w in enumerate(words) if not (w in FILLERS or i in inner and 2 <= len(w) <= 4 and any(osa(w, f, 1) <= 1 for f in INNER_FILLERS))] or words
     return " ".join(kept), cut
 
 
+def readings(value: str) -> list[tuple[str, bool]]:
+    """(plain, cut) of each reading of a value, the likeliest first."""
+    return list(dict.fromkeys(x for x in map(plain, parts(value)) if x[0]))
+
+
 def tokens(text: str) -> list[int]:
-    """Pairs of neighbouring letters of the words, ends marked, as numbers: free of word order."""
-    marked = (f"^{w}$" for w in text.split())
-    return list(dict.fromkeys((ord(a) << 16 | ord(b)) & 0x7FFFFFFF for w in marked for a, b in zip(w, w[1:])))
+    """Pairs of letters of a word next to each other or with one between, either way round, ends
+    marked, as numbers; a pair that comes again counts as another token. Free of word order,
+    and letters that changed places share most of them."""
+    seen: dict[int, int] = {}
+    out = []
+    for w in text.split():
+        m = f"^{w}$"
+        for gap in (1, 2):
+            for a, b in zip(m, m[gap:]):
+                pair = (ord(min(a, b)) & 0xFFF) << 12 | ord(max(a, b)) & 0xFFF
+                n = seen[pair] = seen.get(pair, 0) + 1
+                out.append(pair << 6 | min(n, 63))
+    return list(dict.fromkeys(out))
 
 
 def damerau(a: str, b: str) -> int:
@@ -70,45 +95,79 @@ def _short_vowels(t: str) -> str:
     return t.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
+def _orders(words: list[str], typed: list[str]) -> list[tuple[str, ...]]:
+    """Orders of an entry's words to compare with a typed value: all of up to three words; of
+    more the given one and that in which each word stands where the typed one is nearest."""
+    if len(words) <= 3:
+        return list(permutations(words))
+    left, order = list(words), []
+    for t in typed:
+        if left:
+            near = min(left, key=lambda w: osa(t, w, 3))
+            if osa(t, near, 3) <= 3:
+                order.append(near)
+                left.remove(near)
+    return [tuple(words), (*order, *left)]
+
+
 def edits(value: str, cut: bool, entry: str) -> int | None:
     """Typing errors between a plain value and a plain list entry in the better word order;
     None if there are more than a name of that length is typed with."""
     v = value.replace(" ", "")
     n = len(v)
     limit = 0 if n < 3 else 1 if n < 5 else 2 if n < 12 else 3
-    words = entry.split()
-    orders = permutations(words) if 1 < len(words) <= 3 else [tuple(words)]
     best, vs = limit + 1, _short_vowels(v)
-    for o in orders:
+    for o in _orders(entry.split(), value.split()):
         e = "".join(o)
         d = osa(v, e, limit)
         if d > 0:
             es = _short_vowels(e)
             x = osa(vs, es, limit + 1)
             d = min(d, damerau(vs, es) if x == limit + 1 and abs(len(vs) - len(es)) <= limit else x)
-        if cut and n >= 3 and d > 0 and 0.4 * len(e) <= n < len(e):
+        if cut and n >= 3 and d > 0 and LEAST_CUT * len(e) <= n < len(e):
             d = min(d, osa(v, e[:n], 1))
         best = min(best, d)
     return best if best <= limit else None
 
 
-def _forms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key..., plain, cut, tokens) of each row."""
+def cut_forms(entry: str) -> list[str]:
+    """What a plain entry may be cut off to: its beginnings of three letters or more."""
+    least = max(3, math.ceil(LEAST_CUT * len(entry.replace(" ", ""))))
+    return list(dict.fromkeys(x for x in (entry[:i].strip() for i in range(3, len(entry))) if len(x.replace(" ", "")) >= least))
+
+
+def _value_forms(df: DataFrame) -> DataFrame:
+    """(value, place, plain, cut): the readings of each value in their order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            got = [plain(t) for t in x["__t"]]
-            yield pd.DataFrame({"key": x["__k"], "plain": [g[0] for g in got], "cut": [g[1] for g in got]})
+            got = [(v, i, *r) for v in x["value"] for i, r in enumerate(readings(v))]
+            yield pd.DataFrame(got, columns=["value", "place", "plain", "cut"])
+
+    return df.select("value").mapInPandas(run, "value string, place int, plain string, cut boolean")
 
-    return df.select(F.col(key).alias("__k"), F.col(text).alias("__t")).mapInPandas(run, "key string, plain string, cut boolean")
 
+def _entry_forms(df: DataFrame) -> DataFrame:
+    """(entry_id, plain, form, cut): each plain entry, and what it may be cut off to."""
 
-def _with_tokens(df: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            got = []
+            for k, t in zip(x["entry_id"], x["form"]):
+                p = plain(t)[0]
+                if p:
+                    got += [(k, p, p, False), *((k, p, c, True) for c in cut_forms(p))]
+            yield pd.DataFrame(got, columns=["entry_id", "plain", "form", "cut"])
+
+    return df.mapInPandas(run, "entry_id string, plain string, form string, cut boolean").distinct()
+
+
+def _with_tokens(df: DataFrame, text: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def tok(s: pd.Series) -> pd.Series:
-        return s.map(tokens)
+        return s.map(lambda t: tokens(_short_vowels(t)))
 
-    return df.withColumn("tokens", tok("plain"))
+    return df.withColumn("tokens", tok(text))
 
 
 def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -117,57 +176,56 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
     Set-similarity join by prefix filter: tokens are ordered by their rarity over all
     values and entries, only the rarest tokens that a pair of the wanted similarity must
     share are joined, the length and positional filters prune, and the Jaccard similarity
-    is computed exactly at the first shared token only. Then an exact check keeps entries
-    within the typing errors of a name of that length, and the best entry is kept: fewest
-    errors, then similarity, then the smaller id. Values without such an entry have a null
-    entry_id and are reported. Null values are left out; blank ones have no entry; null
-    forms and ids are left out; repeated rows count once; an empty list maps nothing.
+    is computed exactly at the first shared token only. The entry of the greatest similarity
+    is kept, of equals that of the likelier reading of the value, then the one whose spaces
+    are in the same places, then the smaller id. An exact check of its typing errors follows;
+    values that have no entry, or whose best one is off by more than a name of that length
+    is typed with, have a null entry_id and are reported. A value cut off with a stop is
+    compared with the beginnings of entries too. Null values are left out; blank ones have
+    no entry; null forms and ids are left out; repeated rows count once; an empty list maps
+    nothing. Whole values are read, of any number of words.
     """
-    v = values.select(F.col("value").alias("raw")).where("raw is not null").distinct()
-    v = write_stage(_forms(v, "raw", "raw").withColumnRenamed("key", "value"), "values").df
-    r = entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()
-    r = write_stage(_with_tokens(_forms(r, "entry_id", "form").withColumnRenamed("key", "entry_id").where("plain <> ''").select("entry_id", "plain").distinct()), "entries").df
-    distinct = write_stage(_with_tokens(v.where("plain <> ''").select("plain", "cut").distinct()), "forms").df
+    v = values.select("value").where("value is not null").distinct()
+    read = write_stage(_value_forms(v), "values")
+    r = write_stage(_with_tokens(_entry_forms(entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()), "form"), "entries").df
+    distinct = write_stage(_with_tokens(read.df.select("plain", "cut").distinct(), "plain"), "forms").df
     everything = distinct.select(F.explode("tokens").alias("t")).unionAll(r.select(F.explode("tokens").alias("t")))
     rarity = write_stage(everything.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "rarity").df
-
-    def ordered(d: DataFrame, keys: list[str]) -> DataFrame:
-        x = d.select(*keys, F.explode("tokens").alias("t")).join(rarity, "t")
-        return x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda s: s["t"]).alias("ts"))
-
     t = F.lit(min_similarity)
+    # the work per form is large against its bytes, which is all that adaptive partitioning sees
+    spread = 3 * values.sparkSession.sparkContext.defaultParallelism
 
     def prefixed(d: DataFrame, keys: list[str], side: str) -> DataFrame:
-        d = ordered(d, keys).withColumn("m", F.size("ts"))
+        x = d.select(*keys, F.explode("tokens").alias("t")).join(rarity, "t")
+        x = x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda s: s["t"]).alias("ts")).withColumn("m", F.size("ts"))
         if side == "_v":
-            d = d.repartition(spread)
+            x = x.repartition(spread)
         p = (F.col("m") - F.ceil(F.col("m") * t) + 1).cast("int")
-        d = d.withColumn("pre", F.slice("ts", F.lit(1), p))
-        d = d.select(*keys, "m", "ts", "pre", F.posexplode("pre").alias("i", "t"))
-        return d.select(*(F.col(k).alias(k + side) for k in keys), *(F.col(c).alias(c + side) for c in ("m", "ts", "pre", "i")), "t")
+        x = x.select(*keys, "m", "ts", F.posexplode(F.slice("ts", F.lit(1), p)).alias("i", "t"))
+        return x.select(*(F.col(k).alias(k + side) for k in keys), *(F.col(c).alias(c + side) for c in ("m", "ts", "i")), "t")
 
-    # the work per form is large against its bytes, which is all that adaptive partitioning sees
-    spread = 3 * values.sparkSession.sparkContext.defaultParallelism
-    left, right = prefixed(distinct, ["plain", "cut"], "_v"), prefixed(r, ["entry_id", "plain"], "_r")
+    left, right = prefixed(distinct, ["plain", "cut"], "_v"), prefixed(r, ["entry_id", "plain", "form", "cut"], "_r")
+    # beginnings meet only values that are cut off, whole entries all values
+    right = right.withColumn("cut_v", F.explode(F.when(F.col("cut_r"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
     if r.count() <= BROADCAST_FORMS:
         right = F.broadcast(right)
     need = F.ceil(t / (1 + t) * (F.col("m_v") + F.col("m_r")))
     room = F.least(F.col("m_v") - F.col("i_v"), F.col("m_r") - F.col("i_r"))  # shared from the first shared token on
-    j = left.join(right, "t").where((F.col("m_r") >= F.col("m_v") * t) & (F.col("m_r") <= F.col("m_v") / t) & (room >= need))
-    j = j.where(F.element_at(F.array_intersect("pre_v", "pre_r"), 1) == F.col("t"))
+    j = left.join(right, ["t", "cut_v"]).where((F.col("m_r") >= F.col("m_v") * t) & (F.col("m_r") <= F.col("m_v") / t) & (room >= need))
+    j = j.where(~F.arrays_overlap(F.slice("ts_v", F.lit(1), F.col("i_v")), F.slice("ts_r", F.lit(1), F.col("i_r"))))  # both in the same order
     both = F.size(F.array_intersect("ts_v", "ts_r"))
-    cand = j.select("plain_v", "cut_v", "entry_id_r", "plain_r", (both / (F.col("m_v") + F.col("m_r") - both)).alias("similarity")).where(F.col("similarity") >= t)
+    j = j.withColumn("similarity", both / (F.col("m_v") + F.col("m_r") - both)).where(F.col("similarity") >= t)
+    best = j.groupBy("plain_v", "cut_v").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("cut_r").alias("c"), (F.col("plain_v") != F.col("form_r")).alias("o"), F.col("entry_id_r").alias("e"), F.col("plain_r").alias("p"))).alias("b"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            d = [edits(a, c, b) for a, c, b in zip(x["plain_v"], x["cut_v"], x["plain_r"])]
-            x["edits"] = pd.array(d, "Int32")
-            yield x.loc[x["edits"].notna(), ["plain_v", "cut_v", "entry_id_r", "similarity", "edits"]]
-
-    ok = cand.mapInPandas(check, "plain_v string, cut_v boolean, entry_id_r string, similarity double, edits int")
-    best = ok.groupBy("plain_v", "cut_v").agg(F.min(F.struct("edits", (-F.col("similarity")).alias("s"), F.col("entry_id_r").alias("e"))).alias("b"))
-    best = best.select(F.col("plain_v").alias("plain"), F.col("cut_v").alias("cut"), F.col("b.e").alias("entry_id"), F.round(-F.col("b.s"), 6).alias("similarity"), F.col("b.edits").alias("edits"))
-    return v.join(best, ["plain", "cut"], "left").select("value", "entry_id", "similarity", "edits")
+            x["edits"] = pd.array([edits(a, c, b) for a, c, b in zip(x["plain"], x["cut"], x["entry"])], "Int32")
+            yield x[x["edits"].notna()][["plain", "cut", "entry_id", "similarity", "edits"]]
+
+    best = best.select(F.col("plain_v").alias("plain"), F.col("cut_v").alias("cut"), F.col("b.e").alias("entry_id"), F.col("b.p").alias("entry"), (-F.col("b.s")).alias("similarity"))
+    ok = best.mapInPandas(check, "plain string, cut boolean, entry_id string, similarity double, edits int")
+    chosen = read.df.join(ok, ["plain", "cut"]).groupBy("value").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "place", "entry_id", "edits")).alias("b"))
+    return v.join(chosen, "value", "left").select("value", F.col("b.entry_id").alias("entry_id"), F.round(-F.col("b.s"), 6).alias("similarity"), F.col("b.edits").alias("edits"))
 
 
 def map_records(records: DataFrame, entries: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    s = survivors.survivors(_t(spark, d, "enriched_entities"))
+    s = survivors.survivors(_t(spark, d, "enriched_entities"), text=False)
     return s.where("grouped and record_id is not null").select("entity_id", "record_id")
 
 

@@ -186,7 +186,7 @@ def whole_survivors(rows: DataFrame, wide: DataFrame) -> DataFrame:
     return same.groupBy("entity_id").agg(F.min("record_id").alias("record_id"), F.max("record_id").alias("last")).where("record_id = last").drop("last")
 
 
-def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+def survivors(df: DataFrame, threshold: float = 0.5, text: bool = True) -> DataFrame:
     """One row per entity: entity_id, n_values, description, discovery_confidence,
     evidence_count, label, entity_type, the probability of the first three, grouped (two or
     more records) and record_id (the record that alone has all three surviving values, or null).
@@ -195,7 +195,8 @@ def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     ``threshold``; if none is, of all usable ones), the most complete one, then the most
     probable, then the most recent. Columns read: label, entity_type, description,
     discovery_confidence, evidence_count, source_type, discovered_at, record_id. A field
-    without a usable value is null. Null labels and types count as empty in the identity;
+    without a usable value is null; without ``text`` a description stays the hash it is compared
+    by. Null labels and types count as empty in the identity;
     rows with a null record_id are left out; repeated rows count once; an empty table gives
     no rows.
     """
@@ -208,7 +209,7 @@ def survivors(df: DataFrame, threshold: float = 0.5) -> DataFrame:
         F.col("label.value").alias("label"), F.col("entity_type.value").alias("entity_type"), F.round("description.p", 6).alias("p_description"), F.round("discovery_confidence.p", 6).alias("p_confidence"), F.round("evidence_count.p", 6).alias("p_evidence"),
         "grouped", "record_id",
     )
-    return with_text(out, rows, "description")
+    return with_text(out, rows, "description") if text else out
 
 
 def values_judged_true(df: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -33,22 +33,50 @@ def test_canonical(spark, entries):
     assert {r.entry_id for r in canonical.match_list(v, entries.limit(0)).collect()} == {None}
 
 
+def brute_force(values, entries):
+    """The entry of each value by comparing it with every entry."""
+    from strataweave.llm.canonical import _short_vowels
+
+    tok = lambda t: set(canonical.tokens(_short_vowels(t)))
+    forms = sorted({(k, p, f, c) for k, e in entries for p in [canonical.plain(e)[0]] if p for f, c in [(p, False), *((x, True) for x in canonical.cut_forms(p))]})
+    sets = [tok(f) for _, _, f, _ in forms]
+    out = {}
+    for v in values:
+        found = []
+        for place, (p, cut) in enumerate(canonical.readings(v)):
+            t = tok(p)
+            near = [(-len(t & s) / len(t | s), c, p != f, k, e) for (k, e, f, c), s in zip(forms, sets) if cut or not c]
+            best = min(near, default=(0,))
+            if -best[0] >= canonical.MIN_SIMILARITY and canonical.edits(p, cut, best[4]) is not None:
+                found.append((best[0], place, best[3]))
+        out[v] = min(found)[2] if found else None
+    return out
+
+
 def test_prefix_join_is_exact(spark):
     """No pair of the wanted similarity is lost: against all pairs."""
     words = ["".join(RNG.choice("abcde") for _ in range(RNG.randint(3, 9))) for _ in range(60)]
-    v = spark.createDataFrame([(w,) for w in words], "value string")
-    e = spark.createDataFrame([(f"e{i:02d}", w) for i, w in enumerate(words[:20])] + [("z", "abcab")], "entry_id string, form string")
-    got = {r.value: (r.edits, r.entry_id) for r in canonical.match_list(v, e).collect()}
-    for w in set(words):
-        tw = set(canonical.tokens(canonical.plain(w)[0]))
-        best = []
-        for r in e.collect():
-            p, te = canonical.plain(r.form)[0], set(canonical.tokens(canonical.plain(r.form)[0]))
-            d = canonical.edits(canonical.plain(w)[0], False, p)
-            j = len(tw & te) / len(tw | te)
-            if d is not None and j >= canonical.MIN_SIMILARITY:
-                best.append((d, -j, r.entry_id))
-        assert got[w][1] == (min(best)[2] if best else None)
+    words += [w + " " + words[-i] for i, w in enumerate(words[:20])] + [w[: len(w) - 2] + "." for w in words[:20]]
+    e = [(f"e{i:02d}", w) for i, w in enumerate(words[:20] + words[60:70])] + [("z", "abcab")]
+    got = {r.value: r.entry_id for r in canonical.match_list(spark.createDataFrame([(w,) for w in words], "value string"), spark.createDataFrame(e, "entry_id string, form string")).collect()}
+    assert got == brute_force(set(words), e)
+
+
+def test_whole_values_are_read(spark, entries):
+    """All parts of a value are matched, and entries of any number of words."""
+    e = entries.unionByName(spark.createDataFrame([("w5", "alpha bravo charlie delta echo")], "entry_id string, form string"))
+    cases = {"siehe Anhang; Organization": "c1", "Kantine / Organization": "c1", "Kantine (Norm)": "c2", "echo delta charlie bravo alpha": "w5", "delta alpha ecoh bravo charlie": "w5", "Prüfung - Maschinenhaus": "c3"}
+    got = {r.value: r.entry_id for r in canonical.match_list(spark.createDataFrame([(k,) for k in cases], "value string"), e).collect()}
+    assert got == cases
+
+
+@pytest.mark.parametrize("table, value, refs, key, name", [("nodes", "node_type", "onto_classes", "class_id", "class_name"), ("skos_mappings", "entity_label", "skos_concepts", "concept_id", "pref_label")])
+def test_canonical_on_whole_tables(spark, table, value, refs, key, name):
+    d = "/root/testdata/sf0.001"
+    v = spark.read.parquet(f"{d}/{table}.parquet").select(F.col(value).alias("value")).where("value is not null").distinct()
+    e = canonical.entry_forms(spark.read.parquet(f"{d}/{refs}.parquet"), key, name, "alt_labels")
+    got = {r.value: r.entry_id for r in canonical.match_list(v, e).collect()}
+    assert got == brute_force([r.value for r in v.collect()], [tuple(r) for r in e.distinct().collect()])
 
 
 # 2 -------------------------------------------------------------------------------------
