@@ -72,12 +72,20 @@ def prepared(df: DataFrame) -> DataFrame:
     ).where(F.col("record_id").isNotNull())
 
 
-def with_text(df: DataFrame, rows: DataFrame, value: str) -> DataFrame:
-    """``df`` (entity_id, ...) with the description whose hash is ``value`` in its place."""
-    t = rows.where("real").select("entity_id", F.hex(F.xxhash64("description")).alias("__h"), F.col("description").alias("__t"))
-    need = df.where(F.col(value).isNotNull()).select("entity_id", F.col(value).alias("__h"))
+def slim(df: DataFrame) -> DataFrame:
+    """``prepared`` with the description as its hash and length, written once: all steps read that,
+    and ``with_text`` puts the text of the surviving ones back."""
+    rows = prepared(df).withColumns({"length": F.length("description"), "description": F.hex(F.xxhash64("description"))})
+    return write_stage(rows, "records").df
+
+
+def with_text(out: DataFrame, df: DataFrame, value: str) -> DataFrame:
+    """``out`` (entity_id, ...) with the description whose hash is ``value`` in its place; ``df`` are
+    the records as given."""
+    t = prepared(df).select("entity_id", F.hex(F.xxhash64("description")).alias("__h"), F.col("description").alias("__t"))
+    need = out.where(F.col(value).isNotNull()).select("entity_id", F.col(value).alias("__h"))
     text = t.join(need, ["entity_id", "__h"], "left_semi").groupBy("entity_id", "__h").agg(F.max("__t").alias("__t"))
-    return df.withColumn("__h", F.col(value)).join(text, ["entity_id", "__h"], "left").withColumn(value, F.col("__t")).drop("__h", "__t")
+    return out.withColumn("__h", F.col(value)).join(text, ["entity_id", "__h"], "left").withColumn(value, F.col("__t")).drop("__h", "__t")
 
 
 def facts(rows: DataFrame) -> DataFrame:
@@ -86,7 +94,7 @@ def facts(rows: DataFrame) -> DataFrame:
     f = lambda name, value, ok, measure: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), ok.alias("ok"), measure.cast("double").alias("measure"))
     one = F.lit(1.0)
     fields = F.array(
-        f("description", F.hex(F.xxhash64("description")), F.col("real"), F.length("description")),
+        f("description", F.col("description"), F.col("real"), F.col("length")),
         f("discovery_confidence", F.col("conf"), F.col("conf_ok"), F.col("conf")),
         f("evidence_count", F.col("n"), F.col("n_ok"), F.col("n")),
         f("label", F.col("label"), F.col("label") != "", one),
@@ -180,7 +188,7 @@ def surviving_values(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
 def whole_survivors(rows: DataFrame, wide: DataFrame) -> DataFrame:
     """(entity_id, record_id) of the entities where one record alone has the surviving
     description's length, the surviving confidence and the surviving count all at once."""
-    mine = rows.where("real and conf_ok and n_ok").select("entity_id", "record_id", F.length("description").cast("double").alias("d"), "conf", F.col("n").cast("double").alias("n"))
+    mine = rows.where("real and conf_ok and n_ok").select("entity_id", "record_id", F.col("length").cast("double").alias("d"), "conf", F.col("n").cast("double").alias("n"))
     kept = wide.select("entity_id", F.col("description.measure").alias("kd"), F.col("discovery_confidence.measure").alias("kc"), F.col("evidence_count.measure").alias("kn"))
     same = join_unique(mine, kept, "entity_id").where("d = kd and conf = kc and n = kn")
     return same.groupBy("entity_id").agg(F.min("record_id").alias("record_id"), F.max("record_id").alias("last")).where("record_id = last").drop("last")
@@ -200,7 +208,7 @@ def survivors(df: DataFrame, threshold: float = 0.5, text: bool = True) -> DataF
     rows with a null record_id are left out; repeated rows count once; an empty table gives
     no rows.
     """
-    rows = prepared(df)
+    rows = slim(df)
     judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
     wide = write_stage(surviving_values(judged, threshold), "survivors").df
     groups = rows.groupBy("entity_id").agg((F.min("record_id") < F.max("record_id")).alias("grouped"))
@@ -209,19 +217,19 @@ def survivors(df: DataFrame, threshold: float = 0.5, text: bool = True) -> DataF
         F.col("label.value").alias("label"), F.col("entity_type.value").alias("entity_type"), F.round("description.p", 6).alias("p_description"), F.round("discovery_confidence.p", 6).alias("p_confidence"), F.round("evidence_count.p", 6).alias("p_evidence"),
         "grouped", "record_id",
     )
-    return with_text(out, rows, "description") if text else out
+    return with_text(out, df, "description") if text else out
 
 
 def values_judged_true(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(entity_id, field, value, probability): every value of every field judged true."""
-    rows = prepared(df)
+    rows = slim(df)
     judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
     true = judged.where("ok").select("entity_id", "field", "value", F.round("p", 6).alias("probability")).where(F.col("probability") >= threshold)
-    return with_text(true.where("field = 'description'"), rows, "value").unionByName(true.where("field <> 'description'")).select("entity_id", "field", "value", "probability")
+    return with_text(true.where("field = 'description'"), df, "value").unionByName(true.where("field <> 'description'")).select("entity_id", "field", "value", "probability")
 
 
 def source_quality(df: DataFrame) -> DataFrame:
     """(field, source, sensitivity, specificity) as inferred."""
-    _, rates = infer_quality(write_stage(facts(prepared(df)), "facts").df)
+    _, rates = infer_quality(write_stage(facts(slim(df)), "facts").df)
     field, cut = F.substring_index("k", "|", 1), F.locate("|", F.col("k"))
     return rates.df.where(cut > 0).select(field.alias("field"), F.expr("substring(k, locate('|', k) + 1)").alias("source"), F.round("sens", 6).alias("sensitivity"), F.round(1 - F.col("fpr"), 6).alias("specificity"))
