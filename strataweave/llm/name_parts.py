@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
+import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import combinations
@@ -12,7 +15,8 @@ import numpy as np
 # Titles and forms of address.
 TITLES = frozenset("dr prof dipl ing med jur rer nat phil habil herr frau hr fr mr mrs ms miss sir mag msc bsc phd univ pd priv doz hon h c dres".split()) - {"h", "c"}
 
-# Short forms and pet names of given names, under the given name meant.
+# Short forms and pet names of given names, under the given name meant; German
+# ones, then English ones.
 PET_NAMES = {
     "alexander": "alex sascha xandi lex", "andreas": "andi andy anderl", "anna": "anni anja", "barbara": "baerbel babsi barbi babs", "benjamin": "ben benni",
     "bernhard": "bernd hardy", "brigitte": "gitte gitti", "charlotte": "lotte lotti", "christian": "chris christl krischan", "christine": "tine tina christl",
@@ -25,6 +29,8 @@ PET_NAMES = {
     "nikolaus": "klaus niko nick niki", "otto": "ottl", "peter": "piet", "philipp": "phil philip lipp", "rosemarie": "rosi romy rosie", "rudolf": "rudi rolf", "sabine": "bine", "sebastian": "basti wastl bastian",
     "siegfried": "sigi", "stefan": "steff", "susanne": "susi sanne", "theodor": "theo", "theodora": "dora theda thea dorli", "therese": "resi", "thomas": "tom", "ulrich": "uli ulli", "ursula": "uschi ulla", "valentin": "valli",
     "veronika": "vroni vera", "viktor": "vicky", "walburga": "burgi", "waltraud": "traudi", "walter": "walli walt waldi", "wilhelm": "willi willy wilm", "wilhelmine": "minna", "wolfgang": "wolf wolfi", "xaver": "xaverl xari veri", "zacharias": "zach zacher zachi",
+    "anthony": "tony", "catherine": "cathy kate katie", "charles": "charlie chuck", "david": "dave", "deborah": "debbie", "donald": "don", "edward": "eddie ned ted", "elizabeth": "liz beth betty eliza", "james": "jim jimmy jamie", "jennifer": "jen jenny", "john": "jack johnny",
+    "kenneth": "ken", "lawrence": "larry", "margaret": "maggie meg peggy", "matthew": "matt", "nicholas": "nick", "patricia": "pat patty trish", "richard": "dick rick rich", "robert": "bob rob bobby robbie bert", "ronald": "ron", "samuel": "sam", "steven": "steve", "timothy": "tim", "william": "bill billy will liam",
 }
 PET = {s: full for full, short in PET_NAMES.items() for s in short.split()}
 #: Pet names that more than one given name shares.
@@ -38,13 +44,12 @@ FORMS = {
 }
 _LONGEST_FORM = 7
 
-# Abbreviations of kinds of organisation, folded and without stops.
-KINDS = {
-    "kkw": "kernkraftwerk", "akw": "kernkraftwerk", "fz": "forschungszentrum", "forschzentr": "forschungszentrum", "mpa": "materialpruefanstalt", "stw": "stadtwerke", "la": "landesamt", "messst": "messstelle",
-    "ents": "entsorgungs", "ing": "ingenieur", "inst": "institut", "reaktorsich": "reaktorsicherheit", "ges": "gesellschaft", "strahlensch": "strahlenschutz", "rueckb": "rueckbau", "f": "fuer", "fr": "fuer", "fur": "fuer",
-}
-#: The words of kinds of organisation that names are compared with, typing errors included.
-KIND_WORDS = tuple("kernkraftwerk forschungszentrum materialpruefanstalt stadtwerke landesamt messstelle entsorgungswerk ingenieurbuero institut reaktorsicherheit gesellschaft strahlenschutz rueckbau fuer".split())
+# Common words of kinds of organisation. What else is one is learned from the names
+# themselves (``names.kind_words``), and abbreviations are read by a rule.
+KIND_WORDS = tuple(
+    "fuer for of amt anstalt akademie agentur bank betriebe buero bundesamt dienst entsorgungswerk fabrik forschungszentrum gesellschaft hochschule ingenieurbuero institut kernkraftwerk klinik kraftwerk krankenhaus labor landesamt materialpruefanstalt messstelle ministerium "
+    "reaktorsicherheit rueckbau stadtwerke strahlenschutz stiftung technik universitaet verband verein verlag werk werke zentrum agency association bank center centre college company department foundation hospital industries institute laboratory ministry office partners services university".split()
+)
 
 _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e", "è": "e", "ê": "e", "á": "a", "à": "a", "â": "a", "ó": "o", "ò": "o", "ô": "o", "ú": "u", "ù": "u", "í": "i", "ì": "i", "ç": "c", "ñ": "n", "ë": "e", "ï": "i"})
 
@@ -52,6 +57,8 @@ _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e"
 def fold(text: str) -> str:
     """Lower case, no accents, digits read for letters taken back, blanks made single."""
     t = text.lower().translate(_FOLD)
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
     t = re.sub(r"(?<=[a-z])1|1(?=[a-z])", "l", t)
     t = re.sub(r"(?<=[a-z])0|0(?=[a-z])", "o", t)
     t = re.sub(r"(?<=[a-z])5(?=[a-z])", "s", t)
@@ -113,8 +120,17 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
-def person(text: str) -> tuple[str, str, str]:
-    """(given name or '', initial, family name) of a person's name as typed."""
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
+def is_given(word: str, givens: frozenset[str] = frozenset()) -> bool:
+    """Whether a folded word is known as a given name: by the fixed values or by ``givens``."""
+    return word in PET_NAMES or word in PET or word in givens
+
+
+def person(text: str, givens: frozenset[str] = frozenset()) -> tuple[str, str, str]:
+    """(given name or '', initial, family name) of a person's name as typed. A name whose last
+    word is a known given name and whose first isn't has its family name first."""
     t = fold(text)
     t = re.sub(r"\bdipl\.?-?\s?ing\b\.?|\bdr\.?-ing\b\.?|\bherr/frau\b", " ", t)
     last = ""
@@ -127,6 +143,8 @@ def person(text: str) -> tuple[str, str, str]:
         lw = [w.strip(".-") for w in last.split() if w.strip(".-") and w.strip(".-") not in TITLES]
         last = "".join(lw)
     elif words:
+        if len(words) > 1 and is_given(words[-1].strip(".-'"), givens) and not is_given(words[0].strip(".-'"), givens) and len(words[0].strip(".-'")) > 1:
+            words = words[1:] + words[:1]
         last = words.pop().strip(".-'")
         while words and words[-1].strip(".") in ("von", "van", "zu", "de", "der"):
             words.pop()
@@ -138,19 +156,57 @@ def person(text: str) -> tuple[str, str, str]:
         given = first.replace("-", "") if first not in PET else PET[first]
         if given in PET and given not in PET_NAMES:
             given = PET[given]
-    return given, (given or first)[:1], re.sub(r"[^a-z0-9]", "", last)
+    return given, (given or first)[:1], _NO_LETTER.sub("", last)
 
 
 def _form(words: list[str]) -> tuple[list[str], str]:
     for n in range(min(_LONGEST_FORM, len(words) - 1), 0, -1):
-        f = FORMS.get(re.sub(r"[^a-z]", "", "".join(words[-n:])))
+        f = FORMS.get(_NO_LETTER.sub("", "".join(words[-n:])))
         if f:
             return words[:-n], f
     return words, ""
 
 
-def organisation(text: str) -> tuple[str, str, str]:
-    """(kind, legal form or '', proper name) of an organisation's name as typed."""
+def _within(short: str, word: str) -> bool:
+    """Whether the letters of ``short`` come in ``word`` in their order, the first at its start."""
+    at = iter(word)
+    return short[:1] == word[:1] and all(c in at for c in short)
+
+
+def is_short_for(word: str, kind: str) -> bool:
+    """Whether a word of few letters shortens a kind of at least twice as many."""
+    return len(kind) >= 2 * len(word) and _within(word, kind)
+
+
+def kind_of(word: str, cut: bool, kinds: tuple[str, ...]) -> str:
+    """The kind of organisation that a folded word means: itself, one with few typing errors, or
+    one that it abbreviates (if it is cut off with a stop or has at most four letters: letters
+    of the kind in their order); else ''. Of several the one that comes first in ``kinds``."""
+    if word in kinds:
+        return word
+    if len(word) >= 4 and not cut:
+        lim = 1 if len(word) < 6 else 2 if len(word) < 12 else 3
+        close = [(osa(word, k, lim), i) for i, k in enumerate(kinds) if abs(len(k) - len(word)) <= lim and len(k) >= 4]
+        close = [c for c in close if c[0] <= lim]
+        if close:
+            return kinds[min(close)[1]]
+    if cut or len(word) <= 4:
+        begins = [k for k in kinds if k.startswith(word) and (cut or len(word) > 1)]
+        inside = begins or [k for k in kinds if is_short_for(word, k) or cut and _within(word, k)]
+        if not inside and cut and len(word) >= 4:
+            inside = [k for k in kinds if len(k) > len(word) and osa(word, k[: len(word)], 1) <= 1]
+        return inside[0] if inside else ""
+    return ""
+
+
+@lru_cache(maxsize=100_000)
+def _kind_of(word: str, cut: bool, kinds: tuple[str, ...]) -> str:
+    return kind_of(word, cut, kinds)
+
+
+def name_words(text: str) -> tuple[list[tuple[str, bool]], str]:
+    """([(folded word, whether cut off with a stop)], legal form or '') of an organisation's name.
+    What is joined to a cut-off word by a hyphen belongs to it."""
     t = fold(text).replace(",", " ")
     words, form = _form([w for w in t.split() if w])
     if not form and len(words) > 2:  # a typing error in the form
@@ -158,27 +214,38 @@ def organisation(text: str) -> tuple[str, str, str]:
         hit = [f for f in FORMS if len(f) > 6 and osa(tail, f, 2) <= 2]
         if hit:
             words, form = words[:-1], FORMS[hit[0]]
-    cut = {w for w in re.split(r"[\s\-&]+|(?<=\.)(?=[a-z])", " ".join(words)) if w.endswith(".")}
-    kinds, proper = [], []
-    for w in (x.strip(".'()\"") for x in re.split(r"[\s\-&]+|(?<=\.)(?=[a-z])", " ".join(words))):
-        if not w:
-            continue
-        k = KINDS.get(w, w)
-        if k == w and w + "." in cut and len(w) >= 4:  # a typing error in an abbreviation
-            k = KINDS.get(next((x for x in KINDS if len(x) >= 4 and osa(w, x, 1) <= 1), w), w)
-        if k in ("entsorgungs", "ingenieur"):
-            k += "werk" if k == "entsorgungs" else "buero"
-        elif k in ("werk", "buero") and kinds and kinds[-1].startswith(("entsorgungs", "ingenieur")):
-            continue
-        if k not in KIND_WORDS and len(k) >= 3:
-            lim = 1 if len(k) < 6 else 2 if len(k) < 12 else 3
-            close = [(osa(k, x, lim), x) for x in KIND_WORDS if abs(len(x) - len(k)) <= lim]
-            close = [c for c in close if c[0] <= lim]
-            if close:
-                k = min(close)[1]
-        (kinds if k in KIND_WORDS else proper).append(k)
-    kinds = [k for k in kinds if k != "fuer"]
-    return "+".join(sorted(set(kinds))), form, re.sub(r"[^a-z0-9]", "", "".join(proper))
+    out = []
+    for w in re.split(r"[\s&]+|(?<!\.)-|(?<=\.)(?=[a-z])", " ".join(words)):
+        w = (w or "").strip("'()\"-")
+        cut = w.endswith(".") or ".-" in w
+        w = _NO_LETTER.sub("", w)
+        if w:
+            out.append((w, cut))
+    return out, form
+
+
+def organisation(text: str, kinds: tuple[str, ...] = KIND_WORDS) -> tuple[str, str, str]:
+    """(kind, legal form or '', proper name) of an organisation's name as typed. The proper name is
+    what is no word of a kind, in alphabetical order; where nothing else is, the words of
+    the kinds."""
+    words, form = name_words(text)
+    found, proper = [], []
+    for w, cut in words:
+        k = _kind_of(w, cut, kinds)
+        (found if k else proper).append(k or w)
+    if not proper:
+        return "", form, "".join(sorted(found))
+    return "+".join(sorted({k for k in found if k not in _LINKS})), form, "".join(sorted(proper))
+
+
+# Words between others that initials leave out.
+_LINKS = frozenset("fuer for of und and the der die das".split())
+
+
+def initials(text: str) -> str:
+    """First letters of the words of an organisation's name of three words or more, else ''."""
+    words = [w for w, _ in name_words(text)[0] if w not in _LINKS]
+    return "".join(w[0] for w in words) if len(words) > 2 else ""
 
 
 def given_alike(a: str, b: str) -> int:
@@ -210,17 +277,95 @@ def _hashes(word: str, most: int, salt: int) -> list[np.ndarray]:
     return [np.unique((codes[_kept(n, i)] * powers[: n - i]).sum(1, dtype=np.uint64) + powers[n - i]) for i in range(min(most, n) + 1)]
 
 
-def edit_keys(word: str, most: int, kind: str = "") -> np.ndarray:
-    """Keys of which any two words within min(most, max(1, letters of the shorter // 3)) edits
-    share one, for ``most`` up to 4.
+def edit_keys(word: str, most: int, kind: str = "", letters: int = 3) -> np.ndarray:
+    """Keys of which any two words within min(most, max(1, letters of the shorter // ``letters``))
+    edits share one, for ``most`` up to 4.
 
     Words within k edits become equal by leaving out up to k letters of each. Of words over
     LONG letters the first and the last _END letters can't both have more than two of up to
     four edits, and what an end turns into has up to two letters more or less; the shorter
-    of such a pair may have LONG + 1 - most letters."""
+    of such a pair may have LONG + 1 - most letters. Digits are part of every key: numbered
+    names share none."""
     n, salt = len(word), sum(map(ord, kind)) * 8
-    found = _hashes(word, min(most, max(1, n // 3)), salt) if n <= LONG else []
+    number = "".join(filter(str.isdigit, word))
+    if number:
+        salt += 8 * (hash_text(number) % (1 << 40)) + 8
+    found = _hashes(word, min(most, max(1, n // letters)), salt) if n <= LONG else []
     if n > LONG - most:
         for j in range(_END - 2, _END + 3):
             found += _hashes(word[:j], 2, salt + 2) + _hashes(word[-j:], 2, salt + 4)
     return np.unique(np.concatenate(found)).astype(np.int64)
+
+
+def end_keys(word: str, salt: int, end: int = 8) -> np.ndarray:
+    """Keys of which two words of 2 * ``end`` letters or more within four edits share one: their
+    first and their last ``end`` letters can't both have more than two edits."""
+    found = []
+    for j in range(end - 2, end + 3):
+        found += _hashes(word[:j], 2, (salt + 1) % (1 << 60)) + _hashes(word[-j:], 2, (salt + 3) % (1 << 60))
+    return np.unique(np.concatenate(found)).astype(np.int64)
+
+
+def hash_text(text: str) -> int:
+    """A number for a text, the same in every process."""
+    out = 1469598103934665603
+    for b in text.encode():
+        out = ((out ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+# Letters of a name as numbers; all that aren't Latin letters or digits are one. 0 is the edge.
+_SYMBOLS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789")}
+N_SYMBOLS = len(_SYMBOLS) + 2
+
+
+def triples(word: str) -> np.ndarray:
+    """The letter triples of a word with its edges, as numbers below N_SYMBOLS cubed."""
+    c = np.array([0, 0, *(_SYMBOLS.get(x, N_SYMBOLS - 1) for x in word), 0])
+    return (c[:-2] * N_SYMBOLS + c[1:-1]) * N_SYMBOLS + c[2:]
+
+
+class Spelling:
+    """How likely letters follow each other in the names of the data: counts of letter triples,
+    smoothed by pairs. ``usual(x, y)`` is the log-probability that a name is spelled ``x``,
+    by all names but ``x`` and ``y`` themselves."""
+
+    def __init__(self, counts: dict[int, int]):
+        self.three = counts
+        self.two: dict[int, int] = {}
+        self.head: dict[int, int] = {}
+        for t, n in counts.items():
+            self.two[t // N_SYMBOLS] = self.two.get(t // N_SYMBOLS, 0) + n
+            self.head[t % (N_SYMBOLS * N_SYMBOLS)] = self.head.get(t % (N_SYMBOLS * N_SYMBOLS), 0) + n
+        self.one: dict[int, int] = {}
+        for p, n in self.head.items():
+            self.one[p // N_SYMBOLS] = self.one.get(p // N_SYMBOLS, 0) + n
+
+    def usual(self, x: str, y: str) -> float:
+        tx, ty = triples(x).tolist(), triples(y).tolist()
+        n2 = N_SYMBOLS * N_SYMBOLS
+        out3, out2, outh, out1 = Counter(), Counter(), Counter(), Counter()
+        for t in tx + (ty if y != x else []):
+            out3[t] += 1
+            out2[t // N_SYMBOLS] += 1
+            outh[t % n2] += 1
+            out1[t % n2 // N_SYMBOLS] += 1
+        total = 0.0
+        for t in tx:
+            p, h = t // N_SYMBOLS, t % n2
+            pair = (max(0, self.head.get(h, 0) - outh[h]) + 2 / 30) / (max(0, self.one.get(h // N_SYMBOLS, 0) - out1[h // N_SYMBOLS]) + 2)
+            total += math.log((max(0, self.three.get(t, 0) - out3[t]) + 2 * pair) / (max(0, self.two.get(p, 0) - out2[p]) + 2))
+        return total
+
+
+# Share of names typed with 0, 1, ... errors, as logarithms; and of one error among all places
+# and letters of a word, for each of its letters.
+_ERRORS = [math.log(x) for x in (0.6, 0.2, 0.1, 0.06, 0.04)]
+_CHOICES = 60
+
+
+def mistyped(n: int, d: int, letters: int, usual: float) -> float:
+    """Log-odds that a spelling on ``n`` records, ``d`` edits from another one, is that one typed
+    wrong (the same way each time) and not a name of its own, which has the log-probability
+    ``usual``. Every record tells against the error; a name that is usual is rather one."""
+    return n * (_ERRORS[d] - d * math.log(_CHOICES * max(letters, 1))) - usual

@@ -262,6 +262,43 @@ def test_names_three_and_four_edits_apart(spark):
     assert {tuple(r) for r in names.linked_pairs(names.link_names(d)).collect()} == {("a1", "a2"), ("b1", "b2"), ("c1", "c2")}
 
 
+def test_names_outside_the_lists(spark):
+    """Family name first, nicknames, kinds of organisation and initials that no list has."""
+    rows = [
+        ("a1", "P", "Gruberreich Hans"), ("a2", "P", "Hans Gruberreich"), ("b1", "P", "Bob Fitzwarren"), ("b2", "P", "Robert Fitzwarren"), ("c1", "O", "Quanbakan Analytics Guild Inc"), ("c2", "O", "Quanbakan Analytcs Guild Inc."),
+        ("d1", "O", "Zentral Odonto Kollegium Upsala AG"), ("d2", "O", "ZOKU AG"), ("e1", "P", "Xiaoming Quarterflash"), ("e2", "P", "Quarterflash Xiaoming"), ("f1", "P", "Иван Петрович"), ("f2", "P", "ИВАН ПЕТРОВИЧ"), ("g1", "O", "Depot 1041 AG"), ("g2", "O", "Depot 1042 AG"),
+    ]
+    d = spark.createDataFrame(rows, "key string, kind string, text string")
+    assert {tuple(r) for r in names.linked_pairs(names.link_names(d)).collect()} == {(f"{x}1", f"{x}2") for x in "abcdef"}
+
+
+def test_kinds_are_learned(spark):
+    """A word that many names share is a kind, abbreviations of it are read, and it doesn't link."""
+    rows = [(f"k{i}", "O", f"Zunfthaus {a}{b}heim") for i, (a, b) in enumerate((a, b) for a in ("Kor", "Blim", "Vaster", "Ost") for b in ("ta", "nelu", "gabo"))] + [("x1", "O", "Zunfth. Blimnelheim"), ("x2", "O", "Gildenstube Blimneluheim")]
+    d = spark.createDataFrame(rows, "key string, kind string, text string")
+    kinds, _ = names.common_words(d)
+    assert "zunfthaus" in kinds and name_parts.organisation("Zunfth. Blimnelheim", kinds) == ("zunfthaus", "", "blimnelheim")
+    assert ("k4", "x1") in {tuple(r) for r in names.linked_pairs(names.link_names(d)).collect()}
+
+
+def test_usual_names_are_not_errors():
+    """A spelling made of usual letters is a name of its own, an unusual one an error."""
+    made = [a + b + c for a in ("ank", "bar", "dro", "fen", "gli", "hus") for b in ("kom", "pel", "sta", "tro", "vis") for c in ("moeller", "berg", "thal", "huber")]
+    n = {}
+    for w in made:
+        for t in name_parts.triples(w).tolist():
+            n[t] = n.get(t, 0) + 1
+    s = name_parts.Spelling(n)
+    odds = lambda x, y, d, k=1: name_parts.mistyped(k, d, len(x), s.usual(x, y))
+    assert odds("barpelhuber", "fenpelhuber", 2) < 0 < odds("bqrpxlhuber", "barpelhuber", 2) and odds("bqrpxlhuber", "barpelhuber", 2, 3) < 0
+
+
+def test_hot_group_of_names(spark):
+    rows = [(f"k{i:03d}", "P", "Veronika Trepzubumeyer") for i in range(60)] + [(f"o{i:03d}", "P", f"Walter {chr(97 + i % 26) * 7}{chr(97 + i // 26) * 4}") for i in range(60)]
+    d = spark.createDataFrame(rows, "key string, kind string, text string")
+    assert names.linked_pairs(names.link_names(d)).count() == 60 * 59 // 2
+
+
 def test_edit_keys_and_edits_of_many():
     rng = random.Random(9)
     for _ in range(2000):
