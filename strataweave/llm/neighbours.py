@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,16 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rotations, each giving one base hash: the direction in which a vector is most extreme.
-ROTATIONS = 40
-#: Base hashes of ROTATIONS in which two vectors must collide to be verified.
-COLLISIONS = 11
-#: Half-width of the query-centred window on a table's sorted projection, in units of the
-#: standard deviation of the difference of two vectors at the radius searched.
-WINDOW = 3.0
-#: A cell joins as many base hashes as keep the vectors expected in it by chance few: the
-#: logarithm of their number to this base, three at least; and tables by that number.
-CELL_BASE, TABLES = 120, {3: 24, 4: 64, 5: 160}
+from strataweave.plans.lineage import write_stage
+from strataweave.plans.skew import join_spread
+
+#: Base hashes that a cell joins: of each of so many rotations the axis in which a vector lies
+#: furthest out. 128 cubed cells a table hold the vectors that are alike by chance apart.
+CELL = 3
+#: Share of the pairs at the similarity searched that meet in a cell of at least one table; how
+#: many tables that takes follows from the similarity and from how far the vectors lie from
+#: their mean, at every number of vectors alike.
+MEET = 0.99
+#: Single projections in which collisions are counted, and how many of them make a candidate.
+PROJECTIONS, COLLISIONS = 12, 9
+#: Half-widths of the query-centred windows, in standard deviations of the difference of two
+#: vectors at the radius searched: in the array that is walked, and in those that are counted.
+WALK, WINDOW = 3.0, 2.0
+#: Base buckets of a counted projection in half a window at the radius searched; a smaller
+#: radius takes fewer of them (virtual rehashing), nothing is hashed again.
+LEVEL = 8
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int = 64) -> DataFrame:
@@ -33,18 +42,27 @@ def _ok(name: str, dim: int):
     return (F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028234663852886e38))) & F.exists(v, lambda x: x != 0)
 
 
-def rotations(dim: int, seed: int = 7) -> np.ndarray:
+def rotations(count: int, dim: int, seed: int = 7) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(ROTATIONS)]).astype(np.float32)
+    return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(count)]).astype(np.float32)
 
 
-def tables(k: int, seed: int = 7) -> list[tuple[int, ...]]:
-    """Groups of ``k`` rotations, one per table; every rotation is used about as often."""
-    rng, out = np.random.default_rng(seed), []
-    while len(out) < TABLES[k]:
-        p = rng.permutation(ROTATIONS)
-        out += [tuple(sorted(map(int, p[i : i + k]))) for i in range(0, ROTATIONS - k + 1, k)]
-    return out[: TABLES[k]]
+def collide(cosine: float, dim: int, trials: int = 20_000, seed: int = 11) -> float:
+    """Probability that two directions of that cosine share a base hash, by simulation."""
+    rng = np.random.default_rng(seed)
+    x, z = rng.standard_normal((2, trials, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    return float((extremes(x) == extremes(y)).mean())
+
+
+def n_tables(min_cosine: float, mean: np.ndarray, dim: int) -> int:
+    """Tables in which a share of MEET of the pairs of ``min_cosine`` shares a cell. Vectors are
+    hashed as seen from their mean: the further out that is, the wider is the angle."""
+    seen = 1 - (1 - min_cosine) / max(1e-3, 1 - float(mean @ mean))
+    p = max(collide(max(seen, 0.0), dim), 1e-2) ** CELL
+    return math.ceil(math.log(1 - MEET) / math.log(1 - p))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -54,15 +72,10 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def base_hashes(x: np.ndarray, rot: np.ndarray) -> np.ndarray:
-    """Base hashes of each row by rotation: the direction of the rotated axes, with sign, in
-    which the row is most extreme."""
-    sig = np.empty((len(x), len(rot)), np.uint8)
-    for i, r in enumerate(rot):
-        y = x @ r
-        top = np.abs(y).argmax(1)
-        sig[:, i] = top + x.shape[1] * (y[np.arange(len(x)), top] < 0)
-    return sig
+def extremes(y: np.ndarray) -> np.ndarray:
+    """The axis, with its sign, in which each row lies furthest out."""
+    top = np.abs(y).argmax(1)
+    return top + y.shape[1] * (y[np.arange(len(y)), top] < 0)
 
 
 def centre(vectors: DataFrame, dim: int = 64) -> tuple[np.ndarray, int]:
@@ -81,100 +94,126 @@ def centre(vectors: DataFrame, dim: int = 64) -> tuple[np.ndarray, int]:
     return (np.sum([r["s"] for r in rows], axis=0) / max(n, 1)).astype(np.float32) if rows else np.zeros(dim, np.float32), n
 
 
-def hashed(vectors: DataFrame, mean: np.ndarray, dim: int = 64) -> DataFrame:
-    """(id, sig, v): the base hashes of the vector seen from the mean, as bytes, and the
-    normalised vector as float bytes."""
-    rot = rotations(dim)
+def index_rows(vectors: DataFrame, mean: np.ndarray, tables: int, radius: float, dim: int = 64) -> DataFrame:
+    """(cell, at, code, id): a row per table and vector, few bytes each. The cell is the table, its
+    base hashes and a stretch of eight windows of the sorted projection ``at``; rows within one
+    window of the next stretch are in both. The code holds the base buckets of the counted
+    projections, a byte each."""
+    sigma = radius / math.sqrt(dim)
+    width, bucket = np.float32(WALK * sigma), np.float32(WINDOW * sigma / LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rot, single = rotations(CELL * tables, dim), rotations(1, dim, 8)[0]
         for b in batches:
-            if b.num_rows:
-                x = _matrix(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(bytes, base_hashes(x - mean, rot))), pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "sig", "v"])
-
-    return vectors.mapInArrow(run, "id long, sig binary, v binary")
-
-
-def index_rows(h: DataFrame, mean: np.ndarray, radius: float, k: int, dim: int = 64) -> DataFrame:
-    """(cell, at, id): a row per table and vector, few bytes each. The cell is the table, its
-    base hashes, and a stretch of eight windows of the sorted projection ``at``; rows
-    within one window of the next stretch are in both."""
-    groups = tables(k)
-    first = rotations(dim)[:, :, 0].T.copy()  # one projection per rotation
-    width = np.float32(WINDOW * radius / np.sqrt(dim))
+            for part in range(0, b.num_rows, 4000):
+                c = b.slice(part, 4000)
+                n = c.num_rows
+                x = _matrix(c.column(1)) - mean
+                pos = x @ single
+                code = np.floor(pos[:, :PROJECTIONS] / bucket).astype(np.int64).astype(np.uint8)
+                cells, places = [], []
+                for t in range(tables):
+                    cell = np.full(n, t, np.int64)
+                    for r in rot[CELL * t : CELL * t + CELL]:
+                        cell = (cell << 7) | extremes(x @ r)
+                    cells.append(cell)
+                    places.append(pos[:, PROJECTIONS + t % (dim - PROJECTIONS)])
+                cell, at, take = np.concatenate(cells), np.concatenate(places), np.tile(np.arange(n), tables)
+                stretch = np.floor(at / (8 * width)).astype(np.int64)
+                again = np.flatnonzero(at >= (stretch + 1) * 8 * width - width)
+                cell = (np.concatenate((cell, cell[again])) << 10) | (np.concatenate((stretch, stretch[again] + 1)) & 1023)
+                rows = np.concatenate((take, take[again]))
+                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PROJECTIONS), len(rows), [None, pa.py_buffer(code[rows].tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate((at, at[again]))), codes, c.column(0).take(pa.array(rows))], names=["cell", "at", "code", "id"])
+
+    return vectors.select("id", "v").mapInArrow(run, "cell long, at float, code binary, id long")
+
+
+def count_collisions(code: np.ndarray, a: np.ndarray, b: np.ndarray, level: int = LEVEL) -> np.ndarray:
+    """In how many projections the rows a of ``code`` lie in the windows of ``level`` base buckets
+    around the rows b."""
+    off = (code[a] - code[b]).view(np.int8)
+    return ((off >= -level) & (off <= level)).sum(1)
+
+
+def candidates(index: DataFrame, radius: float, dim: int = 64) -> DataFrame:
+    """(a, b), a < b: pairs that reach COLLISIONS. The index is sorted by cell and projection, and a
+    window that is centred on each row in turn moves along it; what it holds is all that a
+    task keeps. Collisions are counted for what lies in the window."""
+    width = WALK * radius / math.sqrt(dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, at, code, ids = np.empty(0, np.int64), np.empty(0), np.empty((0, PROJECTIONS), np.uint8), np.empty(0, np.int64)
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(n, -1).astype(np.int64)
-            pos = (np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(n, -1) - mean) @ first
-            cells, places = [], []
-            for t, g in enumerate(groups):
-                c = np.full(n, t, np.int64)
-                for r in g:
-                    c = (c << 7) | sig[:, r]
-                cells.append(c)
-                places.append(pos[:, g[0]])
-            cell, at, take = np.concatenate(cells), np.concatenate(places), np.tile(np.arange(n), len(groups))
-            stretch = np.floor(at / (8 * width)).astype(np.int64)
-            again = np.flatnonzero(at >= (stretch + 1) * 8 * width - width)
-            cell = (np.concatenate((cell, cell[again])) << 10) | (np.concatenate((stretch, stretch[again] + 1)) & 1023)
-            rows = pa.array(np.concatenate((take, take[again])))
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate((at, at[again]))), b.column(0).take(rows)], names=["cell", "at", "id"])
-
-    return h.select("id", "sig", "v").mapInArrow(run, "cell long, at float, id long")
-
-
-def similar_pairs(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95, dim: int = 64) -> DataFrame:
-    """(id_a, id_b, cosine), id_a < id_b: pairs with at least ``min_cosine``.
-
-    Collision counting: every vector has ROTATIONS base hashes. Pairs that share the cell of
-    a table and lie within the window centred on the query in the table's sorted projection
-    have their collisions over all base hashes counted; those with COLLISIONS or more are
-    verified by the exact cosine in double precision. Of copies of one vector only the
-    first is indexed (links follow from the class), so copies never fill a cell. Unusable
+            old = len(cell)
+            cell, at = np.concatenate((cell, b.column(0).to_numpy())), np.concatenate((at, b.column(1).to_numpy().astype(np.float64)))
+            code = np.concatenate((code, np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, PROJECTIONS)))
+            ids = np.concatenate((ids, b.column(3).to_numpy()))
+            rank = np.concatenate(([0], np.cumsum(cell[1:] != cell[:-1])))
+            key = rank * 64.0 + at  # ascending, as no projection is beyond 2
+            first = np.searchsorted(key, key - width)
+            first = np.maximum(first, np.searchsorted(rank, rank))
+            n = np.arange(len(cell)) - first
+            n[:old] = 0  # have met before
+            ends = np.cumsum(n)
+            lo = old
+            while lo < len(n):  # so many pairs at a time as fit into the memory
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2_000_000, "right")))
+                k = n[lo:hi]
+                if k.sum():
+                    y = np.repeat(np.arange(lo, hi), k)
+                    x = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[lo:hi], k)
+                    hit = np.flatnonzero((count_collisions(code, x, y) >= COLLISIONS) & (ids[x] != ids[y]))
+                    p, q = ids[x[hit]], ids[y[hit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+                lo = hi
+            keep = np.flatnonzero((cell == cell[-1]) & (at >= at[-1] - width))
+            cell, at, code, ids = cell[keep], at[keep], code[keep], ids[keep]
+
+    return index.repartition("cell").sortWithinPartitions("cell", "at").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_classes(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, cosine) of class representatives, members (rep, id) of the classes of copies).
+
+    Collision counting: rows of sorted single projections that share a cell and lie in the
+    window centred on a query have their collisions over all counted projections summed up;
+    those with COLLISIONS or more are verified by the exact cosine in double precision. Of
+    copies of one vector only the first is indexed, so copies never fill a cell. Unusable
     vectors and null ids are left out; repeated rows count once; an empty table gives no
     pairs.
     """
-    from strataweave.plans.lineage import write_stage
-
     radius = float(np.sqrt(2 * (1 - min_cosine)))
     u = usable(df, key, vector, dim)
     mean, n = centre(u, dim)
-    k = min(max(TABLES), max(3, int(np.ceil(np.log(max(n, 2)) / np.log(CELL_BASE)))))
-    h = write_stage(hashed(u, mean, dim), "hashed").df
     per = u.select("id", F.xxhash64("v").alias("same")).distinct()
     copies = per.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = write_stage(per.join(copies, "same").select("rep", "id"), "copies").df
-    lone = h.join(members.where("id <> rep").select("id"), "id", "left_anti")
-    width = float(np.float32(WINDOW * radius / np.sqrt(dim)))
-    idx = index_rows(lone, mean, radius, k, dim).repartition("cell")
-    a, b = (idx.select("cell", F.col("id").alias(s), F.col("at").alias("at_" + s)) for s in "ab")
-    pairs = a.join(b, "cell").where(f"a < b and abs(at_a - at_b) <= {width!r}").select("a", "b").distinct()
-    sig = h.select("id", "sig").groupBy("id").agg(F.first("sig").alias("sig"))
-    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    hits = F.lit(0)
-    for i in range(1, ROTATIONS + 1):
-        hits = hits + F.expr(f"substring(sa, {i}, 1) = substring(sb, {i}, 1)").cast("int")
-    chosen = write_stage(both.where(hits >= COLLISIONS).select("a", "b"), "chosen").df
-    ends = chosen.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    v = h.select("id", "v").join(ends, "id").groupBy("id").agg(F.first("v").alias("v"))
-    full = chosen.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
+    members = write_stage(join_spread(per, copies.select("same", "rep"), "same").select("rep", "id"), "copies").df
+    lone = u.join(members.where("id <> rep").select("id"), "id", "left_anti")
+    found = write_stage(candidates(index_rows(lone, mean, n_tables(min_cosine, mean, dim), radius, dim), radius, dim), "candidates")
+    ends = found.df.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    v = u.join(ends, "id").groupBy("id").agg(F.first("v").alias("v"))
+    full = found.df.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            m = x.num_rows
-            if m:
-                p, q = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.float32).reshape(m, -1).astype(np.float64) for i in (2, 3))
+            if x.num_rows:
+                p, q = (_matrix(x.column(i)).astype(np.float64) for i in (2, 3))
                 c = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1))
                 yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(c)], names=["a", "b", "cosine"]).filter(pa.array(c >= min_cosine - 1e-7))
 
-    linked = full.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cosine double")
+    return full.select("a", "b", "va", "vb").mapInArrow(verify, "a long, b long, cosine double"), members
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, min_cosine: float = 0.95, dim: int = 64) -> DataFrame:
+    """(id_a, id_b, cosine), id_a < id_b: pairs with at least ``min_cosine``, those of copies
+    included (``similar_classes`` has the pairs of representatives and the classes)."""
+    linked, members = similar_classes(df, key, vector, min_cosine, dim)
     side = lambda s, to: members.select(F.col("rep").alias(s), F.col("id").alias(to))
     across = linked.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "cosine")
-    within = side("r", "x").join(side("r", "y"), "r").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
+    within = join_spread(side("r", "x"), side("r", "y"), "r").where("x < y").select("x", "y", F.lit(1.0).alias("cosine"))
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "cosine")
 
 
