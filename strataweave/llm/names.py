@@ -133,6 +133,29 @@ def cores_alike(base: DataFrame) -> DataFrame:
                 ids = np.repeat(part.column(2).to_numpy(), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], names=["block", "id"])
 
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the ids of each block, from rows in the order of their blocks."""
+        block, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            old = len(block)
+            block, ids = np.concatenate((block, b.column(0).to_numpy())), np.concatenate((ids, b.column(1).to_numpy()))
+            first = np.maximum.accumulate(np.where(np.diff(block, prepend=block[0] - 1) != 0, np.arange(len(block)), 0))
+            n = np.arange(len(block)) - first  # partners before each row
+            n[:old] = 0  # have met before
+            ends, lo = np.cumsum(n), old
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
+                k = n[lo:hi]
+                if k.sum():
+                    p = ids[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[lo:hi], k)]
+                    q = np.repeat(ids[lo:hi], k)
+                    pair = np.unique(np.stack((np.minimum(p, q), np.maximum(p, q))), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["x", "y"])
+                lo = hi
+            block, ids = block[first[-1] :], ids[first[-1] :]
+
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, by_chance = shared.value
         spelled = {k: Spelling(c) for k, c in counts.items()}
@@ -149,8 +172,7 @@ def cores_alike(base: DataFrame) -> DataFrame:
 
     parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = cores.select("kind", "core", "id", "as").repartition(parts).mapInArrow(keys, "block long, id long")
-    blocks = keyed.groupBy("block").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1")  # most keys are of one core only
-    two = blocks.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where("x < y").distinct()
+    two = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "x long, y long").distinct()
     named = two.join(cores.select(F.col("id").alias("x"), "kind", "core", "n"), "x").join(cores.select(F.col("id").alias("y"), F.col("kind").alias("kind2"), F.col("core").alias("like"), F.col("n").alias("m")), "y").where("kind = kind2")
     one = write_stage(named.select("kind", "core", "like", "n", "m").mapInPandas(verify, "kind string, core string, like string, d int"), "alike").df
     return one.unionByName(one.select("kind", F.col("like").alias("core"), F.col("core").alias("like"), "d")).unionByName(cores.select("kind", "core", F.col("core").alias("like"), F.lit(0).alias("d")))
