@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strataweave.functions.text import word_set, words
+from strataweave.plans.lineage import Stage, write_stage
 
 #: Okapi constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -72,6 +75,100 @@ def best(scores: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     return scores.where("score > 0").orderBy(F.col("score").desc(), key).limit(k)
 
 
+#: Folders that the words of an index are spread over; a query opens those of its words.
+SLICES = 64
+
+
+@dataclass
+class TextIndex:
+    """An inverted index: built once, asked often.
+
+    ``postings`` has a row per word and document (t, key, tf, dl, nw, idf), in a folder per slice
+    of the words and sorted by word, so a query reads only the row groups of its words and no
+    text; the inverse frequency, raised to its floor, is stored with each. ``n_docs`` and
+    ``mean_length`` are of the whole."""
+
+    postings: Stage
+    key: str
+    n_docs: int
+    mean_length: float
+
+    @staticmethod
+    def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> TextIndex:
+        """Index of documents (key, text). Null texts have no words; an empty table an empty index."""
+        d = docs.select(F.col(key).alias("key"), words(F.lower(text)).alias("w"))
+        d = d.select("key", "w", F.size("w").alias("dl"), F.size(F.array_distinct("w")).alias("nw"))
+        one = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
+        n, mean = one["n"], one["mean"] or 0.0
+        tf = write_stage(d.select("key", "dl", "nw", F.explode("w").alias("t")).groupBy("key", "dl", "nw", "t").agg(F.count(F.lit(1)).alias("tf")), "tf")
+        df = tf.df.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+        idf = df.select("t", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
+        floor = (idf.agg(F.avg("raw")).first()[0] or 0.0) * EPSILON
+        idf = idf.select("t", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+        rows = tf.df.join(idf, "t").withColumn("slice", F.pmod(F.xxhash64("t"), F.lit(SLICES)).cast("int"))
+        out = write_stage(rows.repartition("slice").sortWithinPartitions("slice", "t"), "postings", ["slice"])
+        tf.drop()
+        return TextIndex(out, key, n, mean)
+
+    def scores(self, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+        """(query, key, bm25, jaccard) of the documents that share a word with a query: Okapi BM25 (to
+        nine places, so that equal texts tie) and the likeness of the word sets. One join and one aggregation for any number of queries."""
+        q = queries.select(F.col(query).alias("q"), words(F.lower(text)).alias("w"))
+        q = q.select("q", F.size(F.array_distinct("w")).alias("nq"), F.explode("w").alias("t")).groupBy("q", "nq", "t").agg(F.count(F.lit(1)).alias("m"))
+        return self._scored(self.postings.df.join(q, "t"), query)
+
+    def scores_of(self, text: str) -> DataFrame:
+        """(key, bm25, jaccard) for one query: its words are literals, so only their slices and row
+        groups are read."""
+        terms = text.lower().split()
+        if not terms:
+            return self._scored(self.postings.df.where("false").withColumns({"q": F.lit(0), "nq": F.lit(0), "m": F.lit(0)}), "q").drop("q")
+        times = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, terms.count(t))])
+        here = F.lit(False)
+        for t in set(terms):
+            here = here | (F.col("slice") == F.pmod(F.xxhash64(F.lit(t)), F.lit(SLICES)).cast("int"))
+        p = self.postings.df.where(here & F.col("t").isin(*set(terms)))
+        p = p.withColumns({"q": F.lit(0), "nq": F.lit(len(set(terms))), "m": times[F.col("t")]})
+        return self._scored(p, "q").drop("q")
+
+    def _scored(self, hits: DataFrame, query: str) -> DataFrame:
+        part = F.col("m") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / self.mean_length))
+        g = hits.groupBy("q", "key", "nw", "nq").agg(F.round(F.sum(part), 9).alias("bm25"), F.count(F.lit(1)).alias("both"))
+        return g.select(F.col("q").alias(query), F.col("key").alias(self.key), "bm25", (F.col("both") / (F.col("nw") + F.col("nq") - F.col("both"))).alias("jaccard"))
+
+    def hybrid(self, queries: DataFrame, k: int, each: int = 40, wa: float = 0.6, wb: float = 0.4, query: str = "query_id", text: str = "text") -> DataFrame:
+        """(query, key, score, rank) of the k best per query: the ``each`` best by BM25 and by word
+        sets, each side divided by its own maximum, weighted and summed. Ties go to the smaller
+        key. The best are kept map-side before anything is shuffled by query."""
+        s = self.scores(queries, query, text)
+        first = lambda by, name: s.where(F.col(by) > 0).withColumn("r", F.row_number().over(W.partitionBy(query).orderBy(F.col(by).desc(), self.key))).where(F.col("r") <= each).select(query, self.key, (F.col(by) / F.max(by).over(W.partitionBy(query))).alias(name))
+        j = first("bm25", "a").join(first("jaccard", "b"), [query, self.key], "full_outer").fillna(0.0, ["a", "b"])
+        j = j.select(query, self.key, F.round(wa * F.col("a") + wb * F.col("b"), 5).alias("score"))
+        return j.withColumn("rank", F.row_number().over(W.partitionBy(query).orderBy(F.col("score").desc(), self.key))).where(F.col("rank") <= k)
+
+
+@dataclass
+class VectorIndex:
+    """Vectors divided by their lengths, written once; a query is one product a row."""
+
+    rows: Stage
+    key: str
+
+    @staticmethod
+    def build(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> VectorIndex:
+        v = F.transform(vector, lambda x: x.cast("double"))
+        x = vectors.select(F.col(key).alias("key"), v.alias("v")).withColumn("n", F.sqrt(dot(F.col("v"), F.col("v"))))
+        return VectorIndex(write_stage(x.select("key", F.when(F.col("n") > 0, F.transform("v", lambda y: y / F.col("n"))).otherwise(F.col("v")).alias("u")), "vectors"), key)
+
+    def top_k(self, query: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
+        """(key, score): the k rows of the greatest cosine to the one vector ``u`` of ``query`` (one
+        row), which goes to all tasks; every task keeps k rows. Ties go to the smaller key."""
+        s = self.rows.df.crossJoin(F.broadcast(query.select(F.col("u").alias("q")))).select(F.col("key").alias(self.key), F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x).alias("score"))
+        if threshold is not None:
+            s = s.where(F.col("score") >= threshold)
+        return s.orderBy(F.col("score").desc(), self.key).limit(k)
+
+
 def fuse(a: DataFrame, b: DataFrame, key: str = "doc_id", wa: float = 0.6, wb: float = 0.4, per_side: bool = True) -> DataFrame:
     """Full outer fusion of two score lists. ``per_side``: each divided by its own maximum;
     else the weighted sum divided by its maximum. The inputs are top-k lists."""

@@ -41,13 +41,14 @@ class Stage:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def write_stage(df: DataFrame, tag: str) -> Stage:
+def write_stage(df: DataFrame, tag: str, folders: list[str] | None = None) -> Stage:
     """Write ``df`` to the shared folder and read it back: a lineage cut that
-    survives the loss of any executor. An empty input gives an empty table."""
+    survives the loss of any executor. An empty input gives an empty table. Rows of
+    different values of ``folders`` are kept in folders of their own."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_root(spark)}/strataweave/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return Stage(spark.read.schema(df.schema).parquet(path), path)
 
 

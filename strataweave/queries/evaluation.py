@@ -13,9 +13,9 @@ def q1(t):
     return L.entity_query(t.k_nodes, "turbine hall")
 
 
-@query("Q2_relation_query", "SELECT id FROM $k_edges WHERE len(list_filter(string_split(lower(edge_type), '_'), lambda p: contains('which facility is part of the site or requires a permit', p))) > 0 ORDER BY id LIMIT 10")
+@query("Q2_relation_query", "SELECT id FROM $k_edges WHERE len(list_filter(string_split(lower(edge_type), '_'), lambda p: contains('which component has a permit for the site', p))) > 0 ORDER BY id LIMIT 10")
 def q2(t):
-    return L.relation_query(t.k_edges, "which facility is part of the site or requires a permit")
+    return L.relation_query(t.k_edges, "which component has a permit for the site")
 
 
 @query("Q3_count_query", "SELECT count(*) AS n FROM $g_nodes WHERE node_type = 'Customer'")

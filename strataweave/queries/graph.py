@@ -287,9 +287,9 @@ def v14(t):
     return V.validate_shapes(n, t.k_edges.where("false"), _shapes(t), _vals(t))
 
 
-@query("V15_rdf", "SELECT p, count(*) AS n FROM (SELECT 'rdf:type' AS p FROM $g_nodes UNION ALL SELECT 'rdfs:label' FROM $g_nodes UNION ALL SELECT ':' || edge_type FROM $g_edges) q GROUP BY p")
+@query("V15_rdf", "SELECT id AS s, 'rdf:type' AS p, node_type AS o, false AS literal FROM $g_nodes WHERE node_type IS NOT NULL UNION ALL SELECT id, 'rdfs:label', label, true FROM $g_nodes WHERE label IS NOT NULL UNION ALL SELECT source_id, ':' || edge_type, target_id, false FROM $g_edges")
 def v15(t):
-    return G.to_triples(t.g_nodes, t.g_edges).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return G.to_triples(t.g_nodes, t.g_edges)
 
 
 @query("V16_pass_rate", "SELECT round(1 - v / (n + e), 6) AS pass_rate FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT id, node_type, label FROM nodes) q WHERE node_type IS NULL) AS v, (SELECT count(DISTINCT id) FROM nodes) AS n, (SELECT count(*) FROM $k_edges) AS e) q")

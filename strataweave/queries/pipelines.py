@@ -87,15 +87,15 @@ def i1(t):
     return found.groupBy("iteration").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S14_new_documents", "SELECT count(*) AS n FROM $doc_words WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
+@query("S14_new_documents", "SELECT doc_id, sha256(text) AS hash FROM $doc_words WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)")
 def s14(t):
     done = t.documents.where("doc_id % 2 = 0 and text is not null").select(F.sha2("text", 256).alias("hash")).distinct()
-    return D.process_new(t.doc_words, done, "text").agg(F.count(F.lit(1)).alias("n"))
+    return D.process_new(t.doc_words, done, "text").select("doc_id", "hash")
 
 
-@query("S15_pages", "SELECT doc_id, count(*) AS n_pages FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS p FROM $doc_words) q WHERE trim(p, ' ') <> '' GROUP BY doc_id")
+@query("S15_pages", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, text ORDER BY i) - 1 AS INT) AS page, md5(p) AS content FROM (SELECT doc_id, text, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS p, generate_subscripts(regexp_split_to_array(text, '\\n\\s*\\n'), 1) AS i FROM $doc_words) q WHERE trim(p, ' ') <> ''")
 def s15(t):
-    return D.pages(t.doc_words, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    return D.pages(t.doc_words, "doc_id", "text").select("doc_id", "page", F.md5("content").alias("content"))
 
 
 @query("N1_descriptions", "SELECT count(*) AS n, count(*) FILTER (description IS NULL OR trim(description) = '') AS filled FROM (SELECT DISTINCT record_id, label, description FROM enriched_entities) q")
@@ -110,9 +110,13 @@ def n3(t):
     return P.enrichment_counts(t.enriched_entities, ["description", "semantic_embedding", "source_type"])
 
 
-@query("K1_json", "SELECT kind, count(*) AS n FROM (SELECT 'node' AS kind FROM $g_nodes UNION ALL SELECT 'edge' FROM $g_edges) q GROUP BY kind")
+_JS = "CASE WHEN {c} IS NOT NULL THEN '\"{n}\":' || to_json({c}) END"
+
+
+@query("K1_json", f"""SELECT 'node' AS kind, '{{' || concat_ws(',', {", ".join(_JS.format(c=c, n=c) for c in ("id", "label", "node_type"))}) || '}}' AS json FROM $k_nodes
+UNION ALL SELECT 'edge', '{{' || concat_ws(',', {", ".join(_JS.format(c=c, n=c) for c in ("id", "source_id", "target_id", "edge_type"))}) || '}}' FROM $k_edges""")
 def k1(t):
-    return K.to_json_lines(t.g_nodes, t.g_edges).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return K.to_json_lines(t.k_nodes, t.k_edges.select("id", "source_id", "target_id", "edge_type"))
 
 
 @query("K2_jsonld")
@@ -128,14 +132,23 @@ def k3(t):
     return K.to_turtle(t.k_nodes, t.k_edges)
 
 
-@query("K4_cypher", f"SELECT 3 AS no, 'MATCH (a {{id: \"' || source_id || '\"}}), (b {{id: \"' || target_id || '\"}}) CREATE (a)-[:' || {_SAFE.format(c='edge_type')} || ']->(b);' AS statement FROM $k_edges")
+_QUO = "'\"' || replace(replace(replace({c}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n') || '\"'"
+
+
+@query("K4_cypher", f"""SELECT 1 AS no, 'CREATE (:' || {_SAFE.format(c='node_type')} || ' {{id: ' || {_QUO.format(c='id')} || ', label: ' || {_QUO.format(c="coalesce(label, '')")} || '}});' AS statement FROM $k_nodes
+UNION ALL SELECT 2, 'CREATE INDEX FOR (n:' || t || ') ON (n.id);' FROM (SELECT DISTINCT {_SAFE.format(c='node_type')} AS t FROM $k_nodes) q
+UNION ALL SELECT 3, 'MATCH (a {{id: ' || {_QUO.format(c='source_id')} || '}}), (b {{id: ' || {_QUO.format(c='target_id')} || '}}) CREATE (a)-[:' || {_SAFE.format(c='edge_type')} || ']->(b);' FROM $k_edges""")
 def k4(t):
-    return K.to_cypher(t.k_nodes, t.k_edges).where("no = 3")
+    return K.to_cypher(t.k_nodes, t.k_edges)
+
+
+_ESC = "replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
-@query("K5_graphml", "SELECT 2 AS no, '<edge source=\"' || source_id || '\" target=\"' || target_id || '\"><data key=\"type\">' || edge_type || '</data></edge>' AS line FROM $k_edges")
+@query("K5_graphml", f"""SELECT 1 AS no, '<node id="' || {_ESC.format(c='id')} || '"><data key="label">' || {_ESC.format(c="substr(coalesce(label, ''), 1, 500)")} || '</data></node>' AS line FROM $k_nodes
+UNION ALL SELECT 2, '<edge source="' || {_ESC.format(c='source_id')} || '" target="' || {_ESC.format(c='target_id')} || '"><data key="type">' || {_ESC.format(c='edge_type')} || '</data></edge>' FROM $k_edges""")
 def k5(t):
-    return K.to_graphml(t.k_nodes, t.k_edges).where("no = 2")
+    return K.to_graphml(t.k_nodes, t.k_edges)
 
 
 @query("L5_link_cascade")
@@ -256,30 +269,32 @@ def r19(t):
     return t.events.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").agg(F.count(F.lit(1)).alias("over_limit"))
 
 
-@query("R20_validation_report", "SELECT 'shape' AS kind, count(*) FILTER (confidence IS NOT NULL AND (isnan(confidence) OR confidence < 0 OR confidence > 1)) AS n FROM $k_edges UNION ALL SELECT 'functional', (SELECT count(*) FROM (SELECT row_number() OVER (PARTITION BY source_id ORDER BY id) AS r FROM $g_edges WHERE edge_type = 'supplies') q WHERE r > 1)")
+@query("R20_validation_report", """SELECT 'shape' AS kind, id, 'no label' AS reason FROM $k_nodes WHERE label IS NULL OR trim(label, ' ') = ''
+UNION ALL SELECT 'shape', id, 'no type' FROM $k_nodes WHERE node_type IS NULL OR trim(node_type, ' ') = ''
+UNION ALL SELECT 'shape', id, 'confidence out of range' FROM $k_edges WHERE confidence IS NOT NULL AND (isnan(confidence) OR confidence < 0 OR confidence > 1)
+UNION ALL SELECT 'functional', source_id, 'supplies' FROM (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY id) AS r FROM $g_edges WHERE edge_type = 'supplies') q WHERE r > 1""")
 def r20(t):
     from strataweave.operators import validation as V
 
-    one = lambda d, k: d.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"))
-    shape = V.shape_violations(t.g_nodes.where("false").select("id", "node_type", "label"), t.k_edges).where("reason = 'confidence out of range'")
-    return one(shape, "shape").unionByName(one(V.functional_violations(t.g_edges, "supplies"), "functional"))
+    shape = V.shape_violations(t.k_nodes, t.k_edges).select(F.lit("shape").alias("kind"), "id", "reason")
+    return shape.unionByName(V.functional_violations(t.g_edges, "supplies").select(F.lit("functional").alias("kind"), F.col("source_id").alias("id"), F.lit("supplies").alias("reason")))
 
 
-@query("G15_batched_build", "SELECT count(*) AS n_nodes, (SELECT count(*) FROM $g_edges) AS n_edges FROM $g_nodes")
+@query("G15_batched_build", "SELECT 'node' AS kind, id, node_type AS type FROM $g_nodes UNION ALL SELECT 'edge', id, edge_type FROM $g_edges")
 def g15(t):
     from strataweave.operators.graph import with_known_ends
     from strataweave.plans.lineage import materialize
 
     n = materialize(t.g_nodes, "nodes")
     e = materialize(with_known_ends(t.g_edges, n), "edges")
-    return n.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(e.agg(F.count(F.lit(1)).alias("n_edges")))
+    return n.select(F.lit("node").alias("kind"), "id", F.col("node_type").alias("type")).unionByName(e.select(F.lit("edge").alias("kind"), "id", F.col("edge_type").alias("type")))
 
 
-@query("K18_action_json", "SELECT count(*) AS n FROM (SELECT DISTINCT entity_type FROM $entities UNION ALL SELECT DISTINCT predicate FROM $relations) q")
+@query("K18_action_json", """SELECT '{"action":"' || a || '","target":"' || x || '"}' AS json FROM (SELECT DISTINCT 'add_class' AS a, entity_type AS x FROM $entities UNION ALL SELECT DISTINCT 'add_property', predicate FROM $relations) q""")
 def k18(t):
     from strataweave.operators.validation import action_set
 
-    return action_set(t.entities, t.relations, {}).select(F.to_json(F.struct("action", "target")).alias("json")).distinct().agg(F.count(F.lit(1)).alias("n"))
+    return action_set(t.entities, t.relations, {}).select(F.to_json(F.struct("action", "target")).alias("json"))
 
 
 @query("K19_vector_upsert", "SELECT count(*) AS n, count(*) FILTER (vec_id >= 100000) AS added FROM (SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 100000 FROM embeddings WHERE vec_id % 5 = 0) q")

@@ -12,6 +12,39 @@ Q = "the dose rate in the controlled area"
 _TOK = "list_filter(regexp_split_to_array({x}, '\\s+'), lambda t: t <> '')"
 
 
+_INDEXES: dict = {}
+
+
+def _built(t, what, table, build):
+    """An index of a table, built at its first use in a session."""
+    df = getattr(t, table)
+    key = (what, df.sparkSession.sparkContext.applicationId, t._path, *df.inputFiles())
+    if key not in _INDEXES:
+        _INDEXES[key] = build(df)
+    return _INDEXES[key]
+
+
+def text_index(t):
+    return _built(t, "words", "doc_words", T.TextIndex.build)
+
+
+def vector_index(t):
+    return _built(t, "vectors", "embeddings", T.VectorIndex.build)
+
+
+def first_vector(t):
+    """The vector of the least key, the query of the dense searches."""
+    return vector_index(t).rows.df.orderBy("key").limit(1)
+
+
+def _bm25(t):
+    return text_index(t).scores_of(Q).select("doc_id", F.col("bm25").alias("score"))
+
+
+def _sparse(t):
+    return text_index(t).scores_of(Q).select("doc_id", F.col("jaccard").alias("score"))
+
+
 @query("C1_fixed_size", f"""
 WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 462)) AS s FROM $doc_words WHERE length(text) > 0),
 c AS (SELECT doc_id, CASE WHEN s > 0 THEN s - 25 ELSE 0 END AS start_char, least(s + 512, length(text)) AS end_char, text FROM s),
@@ -66,8 +99,7 @@ _QV = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = (SELECT min(ve
 
 @query("T1_dense_top_k", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QV}) DESC, vec_id LIMIT 20")
 def t1(t):
-    q = t.embeddings.orderBy("vec_id").first()["embedding"]
-    return T.dense_top_k(t.embeddings, q, 20).withColumn("score", F.round("score", 6))
+    return vector_index(t).top_k(first_vector(t), 20).withColumn("score", F.round("score", 6))
 
 
 @query("T2_normalised", f"SELECT vec_id, round(greatest(0::DOUBLE, least(1::DOUBLE, (list_cosine_similarity(embedding::DOUBLE[], {_QV}) + 1) / 2)), 6) AS score FROM embeddings")
@@ -81,7 +113,7 @@ _SPARSE = f"SELECT doc_id, len(list_intersect(w, q)) / (len(w) + len(q) - len(li
 
 @query("T3_sparse_top_k", f"SELECT doc_id, round(score, 6) AS score FROM ({_SPARSE}) s ORDER BY s.score DESC, doc_id LIMIT 20")
 def t3(t):
-    return T.best(T.sparse_scores(t.doc_words, Q), 20).withColumn("score", F.round("score", 6))
+    return T.best(_sparse(t), 20).withColumn("score", F.round("score", 6))
 
 
 _BM25 = f"""d AS (SELECT doc_id, {_TOK.format(x='lower(text)')} AS w FROM $doc_words), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -93,7 +125,7 @@ b AS (SELECT doc_id, sum(q.m * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5:
 
 @query("T7_bm25", f"WITH {_BM25} SELECT doc_id, round(score, 5) AS score FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 50")
 def t7(t):
-    return T.best(T.bm25_scores(t.doc_words, Q), 50).withColumn("score", F.round("score", 5))
+    return T.best(_bm25(t), 50).withColumn("score", F.round("score", 5))
 
 
 _TOP = f"x AS (SELECT doc_id, score FROM ({_SPARSE}) s ORDER BY score DESC, doc_id LIMIT 40), y AS (SELECT * FROM b WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 40)"
@@ -101,23 +133,45 @@ _TOP = f"x AS (SELECT doc_id, score FROM ({_SPARSE}) s ORDER BY score DESC, doc_
 
 @query("T4_weighted_fusion", f"WITH {_BM25}, {_TOP}, j AS (SELECT doc_id, 0.6::DOUBLE * coalesce(y.score, 0) + 0.4::DOUBLE * coalesce(x.score, 0) AS s FROM x FULL JOIN y USING (doc_id)) SELECT doc_id, round(s / (SELECT max(s) FROM j), 5) AS score FROM j")
 def t4(t):
-    d = t.doc_words
-    return T.fuse(T.best(T.bm25_scores(d, Q), 40), T.best(T.sparse_scores(d, Q), 40), per_side=False).withColumn("score", F.round("score", 5))
+    return T.fuse(T.best(_bm25(t), 40), T.best(_sparse(t), 40), per_side=False).withColumn("score", F.round("score", 5))
 
 
 @query("T8_max_fusion", f"WITH {_BM25}, {_TOP} SELECT doc_id, round(0.6::DOUBLE * coalesce(y.score, 0) / (SELECT max(score) FROM y) + 0.4::DOUBLE * coalesce(x.score, 0) / (SELECT max(score) FROM x), 5) AS score FROM x FULL JOIN y USING (doc_id)")
 def t8(t):
-    d = t.doc_words
-    return T.fuse(T.best(T.bm25_scores(d, Q), 40), T.best(T.sparse_scores(d, Q), 40)).withColumn("score", F.round("score", 5))
+    return T.fuse(T.best(_bm25(t), 40), T.best(_sparse(t), 40)).withColumn("score", F.round("score", 5))
 
 
 @query("hybrid_retrieval", f"WITH {_BM25}, {_TOP} SELECT doc_id, round(0.6::DOUBLE * coalesce(y.score, 0) / (SELECT max(score) FROM y) + 0.4::DOUBLE * coalesce(x.score, 0) / (SELECT max(score) FROM x), 5) AS score FROM x FULL JOIN y USING (doc_id) ORDER BY score DESC, doc_id LIMIT 20")
 def t5(t):
-    d = t.doc_words
-    f = T.fuse(T.best(T.bm25_scores(d, Q), 40), T.best(T.sparse_scores(d, Q), 40)).withColumn("score", F.round("score", 5))
+    f = T.fuse(T.best(_bm25(t), 40), T.best(_sparse(t), 40)).withColumn("score", F.round("score", 5))
     return T.best(f, 20)
 
 
+_BATCH = f"""d AS (SELECT doc_id, {_TOK.format(x='lower(text)')} AS w FROM $doc_words), n AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+df AS (SELECT t, count(*) AS df FROM (SELECT unnest(list_distinct(w)) AS t FROM d) x GROUP BY t), idf AS (SELECT t, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM df, n), fl AS (SELECT avg(idf) * 0.25::DOUBLE AS f FROM idf),
+l AS (SELECT DISTINCT text FROM (SELECT pref_label AS text FROM skos_concepts UNION ALL SELECT unnest(alt_labels) FROM skos_concepts) z WHERE text IS NOT NULL),
+q AS (SELECT text AS query_id, t, count(*) AS m FROM (SELECT text, unnest({_TOK.format(x='lower(text)')}) AS t FROM l) x GROUP BY 1, 2), nq AS (SELECT query_id, count(*) AS nq FROM q GROUP BY 1),
+tf AS (SELECT doc_id, dl, nw, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, len(list_distinct(w)) AS nw, unnest(w) AS t FROM d) x WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+s AS (SELECT query_id, doc_id, round(sum(m * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS bm, count(*) / (any_value(nw) + any_value(nq) - count(*)) AS ja
+      FROM tf JOIN idf USING (t) JOIN q USING (t) JOIN nq USING (query_id), fl, n GROUP BY 1, 2),
+x AS (SELECT query_id, doc_id, ja / max(ja) OVER (PARTITION BY query_id) AS b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ja DESC, doc_id) AS r FROM s) z WHERE r <= 40),
+y AS (SELECT query_id, doc_id, bm / max(bm) OVER (PARTITION BY query_id) AS a FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, doc_id) AS r FROM s WHERE bm > 0) z WHERE r <= 40),
+j AS (SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(a, 0) + 0.4::DOUBLE * coalesce(b, 0), 5) AS score FROM x FULL JOIN y USING (query_id, doc_id))"""
+
+
+@query("T5_hybrid_batch", f"WITH {_BATCH} SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM j) z WHERE rank <= 20")
+def t5_batch(t):
+    """The twenty best documents for each label of the concept list, all queries in one pass."""
+    labels = t.skos_concepts.select(F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("text")).where("text is not null").distinct()
+    return text_index(t).hybrid(labels.withColumn("query_id", F.col("text")), 20)
+
+
+@query("T7_index_statistics", f"SELECT count(*) AS n_docs, round(avg(len(w)), 6) AS mean_length, (SELECT count(DISTINCT t) FROM (SELECT unnest({_TOK.format(x='lower(text)')}) AS t FROM $doc_words) z) AS n_words FROM (SELECT {_TOK.format(x='lower(text)')} AS w FROM $doc_words) d")
+def t7_index(t):
+    x = text_index(t)
+    return x.postings.df.agg(F.lit(x.n_docs).alias("n_docs"), F.lit(round(x.mean_length, 6)).alias("mean_length"), F.count_distinct("t").alias("n_words"))
+
+
 @query("T6_query_expansion", "WITH v AS (SELECT user_id AS doc_id, min(value) AS a, max(value) AS b, avg(value) AS c FROM events GROUP BY 1) SELECT doc_id, round(((a + b) / 2 + c) / 2, 6) AS score FROM v")
 def t6(t):
     g = t.events.groupBy(F.col("user_id").alias("doc_id")).agg(F.min("value").alias("a"), F.max("value").alias("b"), F.avg("value").alias("c"))
@@ -150,14 +204,12 @@ def t13(t):
 
 @query("T15_threshold_search", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_QV}), 6) AS score FROM embeddings WHERE list_cosine_similarity(embedding::DOUBLE[], {_QV}) >= 0.1 ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_QV}) DESC, vec_id LIMIT 50")
 def t15(t):
-    q = t.embeddings.orderBy("vec_id").first()["embedding"]
-    return T.dense_top_k(t.embeddings, q, 50, threshold=0.1).withColumn("score", F.round("score", 6))
+    return vector_index(t).top_k(first_vector(t), 50, 0.1).withColumn("score", F.round("score", 6))
 
 
 @query("T16_rag_context", f"WITH x AS (SELECT doc_id, score FROM ({_SPARSE}) s ORDER BY score DESC, doc_id LIMIT 5), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM x) SELECT string_agg('[' || r.doc_id || '] ' || substr(text, 1, 400), chr(10) || chr(10) ORDER BY k) AS context, round(avg(score), 6) AS confidence FROM r JOIN $doc_words d USING (doc_id)")
 def t16(t):
-    d = t.doc_words
-    return T.context(T.ranked(T.best(T.sparse_scores(d, Q), 5)), d)
+    return T.context(T.ranked(T.best(_sparse(t), 5)), t.doc_words)
 
 
 @query("T18_entity_context", "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM $doc_words WHERE contains(lower(text), 'strahlenschutz') ORDER BY doc_id LIMIT 5")
@@ -182,9 +234,18 @@ def q8(t):
     return t.orders.select("o_orderkey", F.round(jaccard(a, b), 6).alias("s"))
 
 
-@query("E1_rule_entities")
+def _entity_sql():
+    """The default patterns as SQL: the pattern tried first wins, then the first place."""
+    one = "SELECT id, label, '{t}' AS entity_type, {i} AS no, CAST({c} AS DOUBLE) AS confidence, unnest(regexp_extract_all(label, '{p}')) AS mt FROM n"
+    parts = [one.format(t=t, i=i, c=c, p=p.replace("\\w", "[\\pL\\pN_]")) for i, (t, p, c) in enumerate(X.ENTITY_PATTERNS)]
+    return f"""WITH n AS (SELECT DISTINCT id, label FROM nodes WHERE label IS NOT NULL), m AS ({" UNION ALL ".join(parts)}), p AS (SELECT *, CAST(strpos(label, mt) - 1 AS INT) AS s, CAST(strpos(label, mt) - 1 + length(mt) AS INT) AS e FROM m),
+f AS (SELECT *, row_number() OVER (PARTITION BY id, lower(mt), entity_type ORDER BY no, s, e) AS r FROM p)
+SELECT id, mt AS label, entity_type, s AS start_char, e AS end_char, confidence, 'char_' || s || '_' || e AS evidence_id FROM f WHERE r = 1"""
+
+
+@query("E1_rule_entities", _entity_sql())
 def e1(t):
-    return X.rule_entities(t.doc_words, "doc_id", "text")
+    return X.rule_entities(t.nodes.select("id", F.col("label").alias("name")).distinct(), "id", "name")
 
 
 @query("E2_own_pattern")
@@ -233,9 +294,10 @@ def e18(t):
     return X.align(g, "text", "snippet").select("entity_key", "status", F.round("score", 6).alias("score"))
 
 
-@query("E24_cooccurrence", "WITH d AS (SELECT DISTINCT doc_id, text FROM gold_documents WHERE text IS NOT NULL), c AS (SELECT DISTINCT concept_id, pref_label FROM skos_concepts WHERE broader_id IS NULL) SELECT doc_id, concept_id FROM d, c WHERE contains(lower(text), lower(pref_label))")
+@query("E24_cooccurrence", "WITH d AS (SELECT DISTINCT doc_id, text FROM gold_documents WHERE text IS NOT NULL), c AS (SELECT concept_id, pref_label AS l FROM skos_concepts UNION SELECT concept_id, unnest(alt_labels) FROM skos_concepts) SELECT DISTINCT doc_id, concept_id FROM d, c WHERE length(trim(l)) > 0 AND contains(lower(text), lower(l))")
 def e24(t):
-    return X.label_mentions(t.gold_documents.select("doc_id", "text").distinct(), t.skos_concepts.where("broader_id is null"), "doc_id", "text", "concept_id", "pref_label").distinct()
+    labels = t.skos_concepts.select("concept_id", F.explode(F.concat(F.array("pref_label"), F.coalesce("alt_labels", F.array().cast("array<string>")))).alias("l"))
+    return X.label_mentions(t.gold_documents.select("doc_id", "text").distinct(), labels, "doc_id", "text", "concept_id", "l").distinct()
 
 
 @query("E21_extraction_cache", "SELECT count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM (SELECT sha256(text)[1:16] IN (SELECT sha256(text)[1:16] FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) AS hit FROM $doc_words) q")

@@ -25,8 +25,7 @@ SELECT entity_id AS id, min(lower(trim(label))) AS label, min(lower(trim(entity_
 view("k_simple", "SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM $k_edges WHERE source_id <> target_id")
 # Entities with many repeats: parts by name.
 view("entities", "SELECT CAST(p_partkey AS BIGINT) AS ord, 'p' || CAST(p_partkey AS STRING) AS id, p_name AS label, p_type AS entity_type, round(p_size / 50.0, 4) * 1e0 AS confidence FROM $part")
-view("evidence", "SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS entity_id, 'doc' || CAST(l_suppkey % 7 AS STRING) AS source_id FROM $lineitem WHERE l_linenumber = 1")
-view("evidence_all", "SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS entity_id, 'doc' || CAST(l_suppkey % 7 AS STRING) AS source_id FROM $lineitem")
+view("evidence", "SELECT DISTINCT 'p' || CAST(l_partkey AS STRING) AS entity_id, 'doc' || CAST(l_suppkey % 7 AS STRING) AS source_id FROM $lineitem")
 view("relations", """
 SELECT l_orderkey * 10 + l_linenumber AS ord, 'S' || CAST(l_suppkey AS STRING) AS source_id, l_returnflag || l_linestatus AS predicate, 'P' || CAST(l_partkey AS STRING) AS target_id, round(1 - l_discount, 4) AS confidence
 FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey, max(l_partkey) AS l_partkey, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus, max(l_discount) AS l_discount FROM $lineitem GROUP BY l_orderkey, l_linenumber) q""")
