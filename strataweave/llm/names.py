@@ -174,7 +174,8 @@ def cores_alike(base: DataFrame) -> DataFrame:
     keyed = cores.select("kind", "core", "id", "as").repartition(parts).mapInArrow(keys, "block long, id long")
     two = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "x long, y long").distinct()
     named = two.join(cores.select(F.col("id").alias("x"), "kind", "core", "n"), "x").join(cores.select(F.col("id").alias("y"), F.col("kind").alias("kind2"), F.col("core").alias("like"), F.col("n").alias("m")), "y").where("kind = kind2")
-    one = write_stage(named.select("kind", "core", "like", "n", "m").mapInPandas(verify, "kind string, core string, like string, d int"), "alike").df
+    # the work per pair is large against its bytes, which is all that adaptive partitioning sees
+    one = write_stage(named.select("kind", "core", "like", "n", "m").repartition(parts).mapInPandas(verify, "kind string, core string, like string, d int"), "alike").df
     return one.unionByName(one.select("kind", F.col("like").alias("core"), F.col("core").alias("like"), "d")).unionByName(cores.select("kind", "core", F.col("core").alias("like"), F.lit(0).alias("d")))
 
 
