@@ -20,6 +20,9 @@ SAMPLE_DOCUMENTS = 4000
 FEATURES = 1 << 16
 #: Letters a stretch needs to count as a sentence.
 SENTENCE_LETTERS = 25
+#: Words of a shorter stretch that counts as one too, if it ends with a stop and one language beats
+#: all others in it by SWITCH_COST.
+SENTENCE_WORDS = 3
 #: Nats by which one language must beat another for a change of language in a text.
 SWITCH_COST = 12.0
 #: Pseudo-counts that tie a dossier to its source and a source to the whole.
@@ -40,6 +43,9 @@ _NEVER_LAST = frozenset("bzw ca vgl dr prof dipl cf".split())
 _LAST_WORD = re.compile(r"[^\W\d_]*$")
 
 
+_STOPS = np.frombuffer(b".!?", np.uint8)
+
+
 def declared(lang: Column) -> Column:
     """One of LANGUAGES for any usual notation of it, else null."""
     base = F.regexp_replace(F.lower(F.trim(lang)), r"[-_].*$", "")
@@ -147,63 +153,77 @@ def lower_marks(text: str) -> str:
     return low if len(low) == len(text) else text
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 3) -> Model:
-    """Naive Bayes over segments. The labels of whole documents are partly wrong and texts
-    are mixed, so after the first round each segment is relabelled by the model with its
-    document's label as a weak prior, and only clear segments are counted."""
-    n = len(LANGUAGES)
-    bufs, starts, ends, lab, at = [], [], [], [], 0
+def estimate(count: np.ndarray) -> Model:
+    """The model of counts of FEATURES by language."""
+    half, table = FEATURES // 2, np.zeros(count.shape)
+    for lo in (0, half):
+        x = count[lo : lo + half] + 0.3
+        table[lo : lo + half] = np.log(x / x.sum(0))
+    table -= table.mean(1, keepdims=True)
+    table[count.sum(1) == 0] = 0.0
+    return Model(np.clip(table * 0.5, -4, 4).astype(np.float32))
+
+
+def counts_of(texts: list[str], labels: list[int], model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature * languages + language, count) over the segments of some labelled texts. With a
+    ``model`` each segment is relabelled by it, its document's label a weak prior, and only
+    clear ones count."""
+    n, out = len(LANGUAGES), np.zeros(0, np.int64)
+    bufs, lens, doc = [], [], []
     for t, y in zip(texts, labels):
         p = lower_marks(prepare(t))
         for s, e in segments(p):
             b = fold_bytes(p[s:e])
             if (b != 32).sum() >= SENTENCE_LETTERS:
                 bufs.append(b)
-                starts.append(at)
-                ends.append(at + len(b))
-                lab.append(y)
-                at += len(b)
+                lens.append(len(b))
+                doc.append(y)
     if not bufs:
-        return Model(np.zeros((FEATURES, n), np.float32))
-    b = np.concatenate(bufs)
-    lens = np.array(ends) - np.array(starts)
-    lab = np.array(lab)
-    doc = lab.copy()
-    model = Model(np.zeros((FEATURES, n), np.float32))
-    step = 1 << 20
-    for _ in range(rounds):
-        place = np.repeat(lab, lens).astype(np.int8)
-        count = np.zeros(FEATURES * n)
-        for at in range(0, len(b), step):  # part by part, to keep the driver small
-            x = b[max(0, at - 4) : at + step]
-            skip = at - max(0, at - 4)
-            ok = np.flatnonzero((x[skip:] != 32) & (place[at : at + step] >= 0))
-            f, y = Model.features(x)[skip:][ok].astype(np.int64) * n, place[at : at + step][ok]
-            for c in range(2):
-                count += np.bincount(f[:, c] + y, minlength=FEATURES * n)
-        count = count.reshape(FEATURES, n)
-        half = FEATURES // 2
-        table = np.zeros((FEATURES, n))
-        for lo in (0, half):
-            x = count[lo : lo + half] + 0.3
-            table[lo : lo + half] = np.log(x / x.sum(0))
-        table -= table.mean(1, keepdims=True)
-        table[count.sum(1) == 0] = 0.0
-        model = Model(np.clip(table * 0.5, -4, 4).astype(np.float32))
-        s = model.score(b, np.array(starts), np.array(ends))
+        return out, out
+    b, lens, doc = np.concatenate(bufs), np.array(lens), np.array(doc)
+    ends = np.cumsum(lens)
+    lab = doc
+    if model is not None:
+        s = model.score(b, ends - lens, ends)
         s[np.arange(len(s)), doc] += 2.0
         top = np.sort(s, 1)
         lab = np.where(top[:, -1] - top[:, -2] > 6.0, s.argmax(1), -1)
-    return model
-
-
-def train(docs: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """The model fitted on at most ``sample`` documents with a declared language: those
-    with the least hash of their key, so the choice is the same at every run."""
+    place = np.repeat(lab, lens)
+    ok = np.flatnonzero((b != 32) & (place >= 0))
+    f = Model.features(b)[ok].astype(np.int64) * n + place[ok, None]
+    return np.unique(f, return_counts=True)
+
+
+def train(docs: DataFrame, key: str, text: str, lang: str, sample: int = SAMPLE_DOCUMENTS, rounds: int = 3) -> Model:
+    """Naive Bayes over segments, fitted on at most ``sample`` documents with a declared language:
+    those with the least hash of their key, so the choice is the same at every run. The labels
+    of whole documents are partly wrong and texts are mixed, so after the first round each
+    segment is relabelled by the model. Texts stay on the executors; what comes to the driver
+    is at most a number for each of FEATURES and language."""
+    n = len(LANGUAGES)
     d = docs.select(F.col(key).alias("k"), declared(F.col(lang)).alias("y")).where("y is not null and k is not null")
     ids = d.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(sample).select("k")
-    rows = docs.join(F.broadcast(ids), docs[key] == ids["k"], "left_semi").select(F.col(text).alias("t"), declared(F.col(lang)).alias("y")).where("t is not null and y is not null").toPandas()  # at most ``sample`` documents
-    return fit(list(rows["t"]), [LANGUAGES.index(y) for y in rows["y"]])
+    rows = docs.join(F.broadcast(ids), docs[key] == ids["k"], "left_semi").select(F.col(text).alias("t"), declared(F.col(lang)).alias("y")).where("t is not null and y is not null")
+    parts = max(1, min(64, docs.sparkSession.sparkContext.defaultParallelism))
+    part = write_stage(rows.repartition(parts), "sample")
+    model: Model | None = None
+    for _ in range(rounds):
+        table = docs.sparkSession.sparkContext.broadcast(None if model is None else model.table)  # of fixed size
+
+        def count(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            m = None if table.value is None else Model(table.value)
+            for b in batches:
+                for at in range(0, b.num_rows, 100):
+                    x = b.slice(at, 100)
+                    f, c = counts_of(x.column(0).to_pylist(), [LANGUAGES.index(y) for y in x.column(1).to_pylist()], m)
+                    yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(c, pa.int64())], names=["f", "c"])
+
+        got = part.df.mapInArrow(count, "f long, c long").groupBy("f").agg(F.sum("c").alias("c")).toArrow()
+        count_all = np.zeros(FEATURES * n)
+        count_all[got.column("f").to_numpy()] = got.column("c").to_numpy()
+        model = estimate(count_all.reshape(FEATURES, n)) if got.num_rows else Model(np.zeros((FEATURES, n), np.float32))
+    part.drop()
+    return model
 
 
 def viterbi(s: np.ndarray, cost: float = SWITCH_COST) -> np.ndarray:
@@ -274,7 +294,12 @@ def likelihoods(docs: DataFrame, key: str, text: str, model: Model, keep: list[s
                     begin = np.diff(w, prepend=-1).astype(bool) | np.diff(path, prepend=-1).astype(bool) | ~np.array(on)
                     b0 = np.flatnonzero(begin)
                     clear = np.zeros(len(w), bool)
-                    clear[b0] = (np.add.reduceat(nl, b0) >= SENTENCE_LETTERS) & (np.add.reduceat(sc, b0).argmax(1) == path[b0])
+                    whole = np.add.reduceat(sc, b0)
+                    words = np.concatenate(([0], np.cumsum((buf != 32) & (np.concatenate(([32], buf[:-1])) == 32))))
+                    last = hi[np.append(b0[1:], len(w)) - 1]
+                    top2 = np.partition(whole, -2, axis=1)[:, -2:]
+                    short = np.isin(raw[last - 1], _STOPS) & (words[last] - words[lo[b0]] >= SENTENCE_WORDS) & (top2[:, 1] - top2[:, 0] >= SWITCH_COST)
+                    clear[b0] = ((np.add.reduceat(nl, b0) >= SENTENCE_LETTERS) | short) & (whole.argmax(1) == path[b0])
                     owner, score = w[r], np.add.reduceat(sc, r)
                     fields = [path[r], c[r, 2], c[end, 3], np.add.reduceat(nl, r), np.add.reduceat(clear.astype(np.int64), r)]
                 six = pa.array(np.arange(len(score) + 1, dtype=np.int32) * n)
@@ -290,10 +315,11 @@ def _log(c: Column) -> Column:
     return F.log(F.greatest(c, F.lit(1e-9)))
 
 
-def fuse(seen: DataFrame, host: str, group: str) -> DataFrame:
+def fuse(seen: DataFrame, host: str, group: str, suffix: str | None = None) -> DataFrame:
     """Adds ``prior`` (log weights by language) to documents with likelihoods: host priors
     smoothed from the whole to the source to the dossier, and what the declared language
-    says, from how often documents of a language carry which declaration.
+    says, from how often documents of a language carry which declaration. With ``suffix``, a
+    column of address suffixes, their share of each language counts in the same way.
 
     The counts are grouped aggregations over all documents by their likeliest language;
     partial aggregation and join_unique hold for a dossier in any share of the rows.
@@ -315,11 +341,15 @@ def fuse(seen: DataFrame, host: str, group: str) -> DataFrame:
     for k, v in says.items():
         markup = F.when(F.col("decl") == k, F.array(*map(F.lit, v))).otherwise(markup)
     j = join_unique(d, groups, "grp", "left")
-    prior = F.coalesce("prior", F.array(*map(F.lit, base)))
-    return j.withColumn("prior", F.zip_with(F.transform(prior, _log), markup, lambda a, b: a + b)).drop("lik", "grp")
+    prior = F.transform(F.coalesce("prior", F.array(*map(F.lit, base))), _log)
+    if suffix:
+        own = per([suffix]).where(F.col(suffix).isNotNull()).select(suffix, F.array(*(_log(x / b) for x, b in zip((share([F.lit(x) for x in base])[i] for i in range(n)), base))).alias("by_suffix"))
+        j = join_unique(j, own, suffix, "left")
+        prior = F.zip_with(prior, F.coalesce("by_suffix", F.array(*(F.lit(0.0) for _ in range(n)))), lambda a, b: a + b)
+    return j.withColumn("prior", F.zip_with(prior, markup, lambda a, b: a + b)).drop("lik", "grp", "by_suffix")
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", host: str = "source", group: str = "dossier", sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", host: str = "source", group: str = "dossier", suffix: str | None = None, sample: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """(key, declared, segment_no, lang_found, confidence, start_char, end_char, whole): one
     row per stretch of a document in one language; a null lang_found for a text without any
     sentence.
@@ -331,14 +361,17 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     its own goes with its neighbours. Quoted terms say nothing. ``whole`` counts the whole
     sentences that are in the language by themselves. Null, blank and code-only texts have
     one row with null lang_found and confidence 0. Rows with a null key are left out,
-    repeated rows count once. The address suffix takes part where a column for it exists;
-    these tables have none.
+    repeated rows count once; of different rows with one key that of the least hash. A text
+    is given one of LANGUAGES, there is no class for others. ``suffix`` names a column of
+    address suffixes; the test tables have none.
     """
-    d = docs.where(F.col(key).isNotNull()).withColumn("decl", declared(F.col(lang)))
+    d = docs.where(F.col(key).isNotNull()).withColumns({"decl": declared(F.col(lang)), "own": F.xxhash64(text, lang, host, group)})
     model = train(docs, key, text, lang, sample)
-    seen = likelihoods(d, key, text, model, ["decl", lang, host, group]).dropDuplicates(["k"])
-    seen = write_stage(seen, "likelihoods").df
-    f = fuse(seen.withColumnRenamed(lang, "raw_lang"), host, group)
+    seen = likelihoods(d, key, text, model, ["own", "decl", lang, host, group, *([suffix] if suffix else [])])
+    rest = [c for c in seen.columns if c != "k"]
+    one = seen.groupBy("k").agg(F.min_by(F.struct(*rest), "own").alias("r")).select("k", *(F.col("r")[c].alias(c) for c in rest))
+    seen = write_stage(one, "likelihoods").df
+    f = fuse(seen.withColumnRenamed(lang, "raw_lang"), host, group, suffix)
     full = F.filter("runs", lambda r: (r["whole"] > 0) | ((r["letters"] >= 2 * SENTENCE_LETTERS) & (r["letters"] >= 0.6 * (r["end_char"] - r["start_char"]))))
     r = f.select("k", "raw_lang", "decl", "prior", F.posexplode_outer(F.when(F.size(full) > 0, full)).alias("segment_no", "r"))
     post = F.zip_with(F.transform("r.score", lambda x: x * 0.5), F.col("prior"), lambda a, b: a + b)

@@ -131,7 +131,9 @@ def _counted(spark: SparkSession, d: str, keep: list[str]) -> DataFrame:
     from strataweave.plans.lineage import materialize
 
     docs = _t(spark, d, "documents")
-    return materialize(tokens.with_token_count(docs.where("doc_id is not null"), keep).dropDuplicates(["doc_id"]), "tokens")
+    counted = tokens.with_token_count(docs.where("doc_id is not null"), keep)
+    one = counted.groupBy("doc_id").agg(F.max(F.struct("n_tokens", *(c for c in keep if c != "doc_id"))).alias("r"))  # of different rows with one id the longest
+    return materialize(one.select("doc_id", *(F.col("r")[c].alias(c) for c in keep if c != "doc_id"), "r.n_tokens"), "tokens")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

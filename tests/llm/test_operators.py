@@ -392,6 +392,18 @@ SENTENCES = {
 }
 
 
+def test_language_of_short_sentences_and_suffixes(spark):
+    """Short whole sentences count, lists of codes don't; of rows with one key the same one is
+    taken in any order; an address suffix tells where the text hardly does."""
+    rows = [(i, " ".join(SENTENCES[("de", "en")[i % 2]]), ("de", "en")[i % 2], "s", "d", ("at", "uk")[i % 2]) for i in range(60)]
+    extra = [(900, "Das ist nicht gut. Wir sind noch da.", None, "s", "d", None), (901, "A-12 B-13. C-14 D-15.", None, "s", "d", None), (902, SENTENCES["de"][0], None, "s", "d", None), (902, SENTENCES["en"][0], None, "s", "d", None)]
+    d = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, source string, dossier string, tld string")
+    got = {r.doc_id: r for r in language.identify(d, suffix="tld").where("doc_id >= 900").collect()}
+    assert got[900].lang_found == "de" and got[901].lang_found is None
+    again = {r.doc_id: r for r in language.identify(d.orderBy(F.col("text").desc()), suffix="tld").where("doc_id >= 900").collect()}
+    assert got[902].lang_found == again[902].lang_found
+
+
 def test_language(spark):
     docs = [(len(SENTENCES) * i + k, " ".join(RNG.choices(s, k=3)), c if i % 5 else None, "src", "dos") for i in range(30) for k, (c, s) in enumerate(SENTENCES.items())]
     en, de = SENTENCES["en"][0], SENTENCES["de"][1]
