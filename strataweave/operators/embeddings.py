@@ -15,6 +15,8 @@ from strataweave.plans.lineage import write_stage
 
 #: Vectors that a pairwise comparison of two spaces is made for.
 MOST_COMPARED = 20_000
+#: Columns of the subspace iteration beside those asked for.
+EXTRA = 6
 
 
 def collect(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -38,6 +40,44 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int | None = None, seed: int
     return m.transform(x).select(key, "cluster")
 
 
+def cluster_quality(df: DataFrame, key: str, vector: str, cluster: str) -> DataFrame:
+    """One row: clusters, inertia (squared distances to the cluster's mean) and the mean silhouette
+    by Euclidean distance, exact: blocks of rows meet, and every row's distances are summed
+    by cluster. A row alone in its cluster counts 0; one cluster has silhouette 0."""
+    from strataweave.operators.merging import block_pairs
+
+    x = df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.col(cluster).cast("long").alias("c"))
+    groups, _ = block_pairs(x, "k")
+    kind = x.schema["k"].dataType.simpleString()
+
+    def sums(p: pd.DataFrame) -> pd.DataFrame:
+        one = p[p["left"]]
+        two = p[~p["left"]] if len(p) > len(one) else one
+        out = []
+        for a, b in ((one, two),) if two is one else ((one, two), (two, one)):
+            if not len(a) or not len(b):
+                continue
+            va, vb, cb = np.stack(a["v"]), np.stack(b["v"]), b["c"].to_numpy()
+            names, code = np.unique(cb, return_inverse=True)
+            hot = np.zeros((len(b), len(names)))
+            hot[np.arange(len(b)), code] = 1
+            for s in range(0, len(a), 512):
+                t = va[s : s + 512]
+                d = np.sqrt(np.maximum((t * t).sum(1)[:, None] + (vb * vb).sum(1)[None] - 2 * t @ vb.T, 0))
+                m = d @ hot
+                i, j = np.nonzero(np.ones_like(m))
+                out.append(pd.DataFrame({"k": a["k"].to_numpy()[s + i], "c": a["c"].to_numpy()[s + i], "o": names[j], "d": m[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"k": [], "c": [], "o": [], "d": []})
+
+    size = x.groupBy(F.col("c").alias("o")).agg(F.count(F.lit(1)).alias("n"))
+    per = groups.groupBy("bi", "bj").applyInPandas(sums, f"k {kind}, c long, o long, d double").groupBy("k", "c", "o").agg(F.sum("d").alias("d")).join(size, "o")
+    own = F.max(F.when(F.col("c") == F.col("o"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1))))
+    row = per.groupBy("k").agg(own.alias("a"), F.min(F.when(F.col("c") != F.col("o"), F.col("d") / F.col("n"))).alias("b"))
+    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
+    flat = x.select("c", F.posexplode("v").alias("i", "y")).groupBy("c", "i").agg((F.sum(F.col("y") * F.col("y")) - F.sum("y") * F.sum("y") / F.count(F.lit(1))).alias("e"))
+    return row.agg(F.round(F.avg(s), 6).alias("silhouette")).crossJoin(flat.agg(F.round(F.sum("e"), 4).alias("inertia"), F.count_distinct("c").alias("n_clusters")))
+
+
 def pca(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     """(key, c1..ck): centred projection on the first principal components; only the mean and
     the covariance (dim x dim) come to the driver."""
@@ -94,6 +134,56 @@ def walk_cooccurrence(edges: DataFrame, walks: int = 10, length: int = 20, windo
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).groupBy("u", "v").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("w"))
 
 
+def walk_embedding(edges: DataFrame, dim: int = 16, steps: int = 6, walks: int = 10, length: int = 20, window: int = 5, seed: int = 42) -> DataFrame:
+    """(id, embedding): nodes by the truncated singular value decomposition of the log1p counts of
+    ``walk_cooccurrence``, left vectors times singular values, the greatest first.
+
+    Subspace iteration: a hashed start of ``dim`` columns is multiplied by the counts, by one
+    join and one aggregation a step, and made orthonormal by its Gram matrix; only that
+    (dim x dim) comes to the driver. A column's sign is that of its sum."""
+    w = walk_cooccurrence(edges, walks, length, window, seed)
+    arcs = write_stage(w.unionByName(w.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "counts").df
+    ids = arcs.select(F.col("u").alias("id")).distinct()
+    n = ids.count()
+    k = max(1, min(dim + EXTRA, n))  # more columns than asked for hold the last ones
+    u = lambda i, part: (F.pmod(F.xxhash64("id", F.lit(i), F.lit(part), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    start = [F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * math.pi * u(i, 1)) for i in range(k)]
+    cols = [f"y{i}" for i in range(k)]
+
+    def gram(d: DataFrame, other: list[str]) -> np.ndarray:
+        r = d.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a in cols for b in other)).first()
+        return np.array([float(x or 0.0) for x in r]).reshape(k, len(other))
+
+    def turn(d: DataFrame, m: np.ndarray) -> DataFrame:
+        return d.select("id", *(sum((F.col(c) * float(m[i, j]) for i, c in enumerate(cols)), F.lit(0.0)).alias(cols[j]) for j in range(m.shape[1])))
+
+    def orthonormal(d: DataFrame) -> DataFrame:
+        val, vec = np.linalg.eigh(gram(d, cols))
+        return turn(d, vec / np.sqrt(np.maximum(val, 1e-12 * max(val.max(), 1e-300))))
+
+    def times(d: DataFrame) -> DataFrame:
+        return arcs.join(d.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in cols))
+
+    if n == 0:
+        return ids.withColumn("embedding", F.array().cast("array<double>"))
+    q = write_stage(orthonormal(write_stage(ids.select("id", *(x.alias(c) for x, c in zip(start, cols))), "start").df), "basis")
+    for _ in range(steps):
+        y = write_stage(times(q.df), "product")
+        nxt = write_stage(orthonormal(y.df), "basis")
+        for s in (y, q):
+            s.drop()
+        q = nxt
+    y = times(q.df).select("id", *(F.col(c).alias("z" + c[1:]) for c in cols))
+    small = gram(q.df.join(y, "id"), ["z" + c[1:] for c in cols])
+    val, vec = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(-np.abs(val))[: max(1, min(dim, n - 1))]
+    vec = vec[:, order] * np.abs(val[order])
+    total = q.df.agg(*(F.sum(c) for c in cols)).first()
+    sign = np.sign(np.array([float(t) for t in total]) @ vec)
+    out = turn(q.df, vec * np.where(sign == 0, 1, sign))
+    return out.select("id", F.array(*(F.round(c, 6) for c in cols[: len(order)])).alias("embedding"))
+
+
 def neighbour_agreement(a: DataFrame, b: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """(key, shared): how many of the k nearest of a vector are the same in both spaces. For
     collections of up to MOST_COMPARED vectors."""

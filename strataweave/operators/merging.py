@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,28 +71,85 @@ def discovery_merge(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best.select("label_key", "type_key", "b.label", "b.entity_type", "b.confidence", "n"), ev
 
 
-def resolve_by_vector(df: DataFrame, key: str, label: str, vector: str, threshold: float = 0.85, tables: int = 6, seed: int = 42) -> DataFrame:
-    """(a, b, score): pairs with .7 cosine + .3 difflib ratio of at least ``threshold``. Rows
-    without a vector can reach .3 at most and are left out without loss; so are pairs whose
-    cosine is under (threshold - .3) / .7. Those within the radius are found by Spark's
-    bucketed random projections, which may miss some: more tables miss fewer."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    ok = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & F.exists(vector, lambda x: x != 0)
-    x = df.where(F.col(vector).isNotNull() & (F.size(vector) == 64)).where(ok).select(F.col(key).alias("k"), F.lower(label).alias("l"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw")).dropDuplicates(["k"])
-    u = Normalizer(inputCol="raw", outputCol="f").transform(x).select("k", "l", "f")
-    need = (threshold - 0.3) / 0.7
-    radius = float((2 * (1 - need)) ** 0.5)
-    lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=radius / 2, numHashTables=tables, seed=seed).fit(u)
-    near = lsh.approxSimilarityJoin(u, u, radius, "d").where("datasetA.k < datasetB.k")
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
-
-    s = 0.7 * (1 - F.col("d") * F.col("d") / 2) + 0.3 * ratio(F.col("datasetA.l"), F.col("datasetB.l"))
-    return near.select(F.col("datasetA.k").alias("a"), F.col("datasetB.k").alias("b"), s.alias("score")).where(F.col("score") >= threshold)
+#: Rows of a block of the exact comparison; a task holds two blocks and their products.
+BLOCK_ROWS = 8192
+
+
+def block_pairs(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
+    """Rows with (bi, bj, left): every two blocks of rows meet in one group, each with itself too.
+    A row is in as many groups as there are blocks, so the comparison is exact and its work
+    quadratic; no pairs are made but those a task keeps."""
+    n = max(1, -(-df.count() // rows))
+    at = df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    all_ = F.sequence(F.lit(0), F.lit(n - 1))
+    left = at.withColumn("__o", F.explode(F.filter(all_, lambda o: o >= F.col("__b")))).withColumns({"bi": F.col("__b"), "bj": F.col("__o"), "left": F.lit(True)})
+    right = at.withColumn("__o", F.explode(F.filter(all_, lambda o: o < F.col("__b")))).withColumns({"bi": F.col("__o"), "bj": F.col("__b"), "left": F.lit(False)})
+    return left.unionByName(right).drop("__b", "__o"), n
+
+
+def resolve(df: DataFrame, key: str, label: str, vector: str | None, threshold: float = 0.85, edit_weight: float = 0.3) -> DataFrame:
+    """(a, b, score): all pairs with (1 - edit_weight) * cosine + edit_weight * difflib ratio of at
+    least ``threshold``. A missing or unusable vector has cosine 0, also where there is no
+    vector column at all, and a null label is empty.
+
+    Exact: blocks of rows meet, cosines are products of matrices, and only pairs whose cosine
+    leaves the threshold in reach of the labels have their labels compared. Where labels
+    alone reach it, a bound from counted letters goes before."""
+    dim_ok = (lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & (F.size(v) > 0)) if vector else None
+    v = F.when(dim_ok(F.col(vector)), F.col(vector).cast("array<double>")) if vector else F.lit(None).cast("array<double>")
+    x = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(label, F.lit("")).alias("l"), F.coalesce(v, F.array().cast("array<double>")).alias("v")).dropDuplicates(["k"])
+    if vector and edit_weight < threshold:
+        x = x.where(F.size("v") > 0)  # without a vector they stay below the threshold
+    groups, _ = block_pairs(x, "k")
+    kind = x.schema["k"].dataType.simpleString()
+
+    def unit(vs: pd.Series) -> np.ndarray:
+        dim = max((len(t) for t in vs), default=0)
+        m = np.zeros((len(vs), max(1, dim)))
+        for i, t in enumerate(vs):
+            if len(t) == dim and dim:
+                m[i] = t
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return m / np.where(n > 0, n, 1)
+
+    def letters(ls: list[str]) -> np.ndarray:
+        m = np.zeros((len(ls), 128), np.float32)
+        for i, t in enumerate(ls):
+            for c in t:
+                m[i, ord(c) & 127] += 1
+        return m
+
+    def compare(p: pd.DataFrame) -> pd.DataFrame:
+        one = p[p["left"]]
+        two = p[~p["left"]] if len(p) > len(one) else one
+        same = two is one
+        ka, kb, la, lb = one["k"].tolist(), two["k"].tolist(), one["l"].tolist(), two["l"].tolist()
+        dims = {len(t) for t in p["v"]}
+        far = max(dims) if dims else 0
+        va, vb = (unit(d["v"].map(lambda t: t if len(t) == far else [])) for d in (one, two))
+        ca, cb = letters(la), letters(lb)
+        na, nb = ca.sum(1), cb.sum(1)
+        out = []
+        for s in range(0, len(ka), 512):
+            cos = va[s : s + 512] @ vb.T if far else np.zeros((len(ka[s : s + 512]), len(kb)))
+            need = (threshold - (1 - edit_weight) * cos) / edit_weight if edit_weight else np.where((1 - edit_weight) * cos >= threshold, -1, 2)
+            at = np.argwhere(need <= 1 + 1e-12)
+            if same:
+                at = at[at[:, 0] + s < at[:, 1]]
+            if len(at):
+                i, j = at[:, 0], at[:, 1]
+                bound = np.concatenate([np.minimum(ca[i[t : t + 20000] + s], cb[j[t : t + 20000]]).sum(1) for t in range(0, len(i), 20000)])
+                size = na[i + s] + nb[j]
+                at = at[np.where(size > 0, 2 * bound / np.maximum(size, 1), 1.0) >= need[i, j] - 1e-6]
+            for i, j in at.tolist():
+                a, b = (ka[s + i], la[s + i]), (kb[j], lb[j])
+                a, b = (a, b) if a[0] < b[0] else (b, a)
+                score = (1 - edit_weight) * float(cos[i, j]) + edit_weight * SequenceMatcher(None, a[1], b[1]).ratio()
+                if score >= threshold:
+                    out.append((a[0], b[0], score))
+        return pd.DataFrame(out, columns=["a", "b", "score"])
+
+    return groups.groupBy("bi", "bj").applyInPandas(compare, f"a {kind}, b {kind}, score double")
 
 
 def merge_candidates(pairs: DataFrame, least: int = 2) -> DataFrame:

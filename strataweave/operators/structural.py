@@ -525,3 +525,132 @@ def small_world(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     x = c.crossJoin(l_.select("mean_path")).crossJoin(t.select("n", "mean_degree"))
     cr, lr = F.col("mean_degree") / F.col("n"), F.log(F.col("n").cast("double")) / F.log("mean_degree")
     return x.select("mean_clustering", "mean_path", F.round(F.when((F.col("mean_path") > 0) & (F.col("mean_degree") > 1), (F.col("mean_clustering") / cr) / (F.col("mean_path") / lr)), 6).alias("sigma"))
+
+
+def small_world_sampled(nodes: DataFrame, edges: DataFrame, graphs: int = 10, seed: int = 42, least: int = 4, most: int = 10_000) -> DataFrame:
+    """One row: sigma = (C / C_random) / (L / L_random), with the means of ``graphs`` random graphs
+    of as many nodes and edges. They are drawn and measured on the executors, one a row. For
+    ``least`` to ``most`` nodes; else no row."""
+    c = clustering(nodes, edges).first()["mean_clustering"]
+    l_ = path_lengths(edges).first()
+    n, m = nodes.select("id").distinct().count(), simple(edges).count()
+    spark, out = nodes.sparkSession, "mean_clustering double, mean_path double, random_clustering double, random_path double, sigma double"
+    if not least <= n <= most or l_ is None or not m:
+        return spark.createDataFrame([], out)
+
+    def run(batches):
+        for x in batches:
+            got = []
+            for t in x["id"]:
+                rng, links = np.random.default_rng(seed + int(t)), set()
+                while len(links) < min(m, n * (n - 1) // 2):
+                    for a, b in np.sort(rng.integers(0, n, (m - len(links) + 8, 2)), axis=1).tolist():
+                        if a != b and len(links) < m:
+                            links.add((a, b))
+                beside: list[set[int]] = [set() for _ in range(n)]
+                for a, b in links:
+                    beside[a].add(b)
+                    beside[b].add(a)
+                local = [2 * sum(len(beside[v] & s) for v in s) / 2 / (len(s) * (len(s) - 1)) if len(s) > 1 else 0.0 for s in beside]
+                total = pairs = 0
+                for start in range(n):
+                    seen, level, d = {start}, [start], 0
+                    while level:
+                        d += 1
+                        level = [v for v in set().union(*(beside[u] for u in level)) if v not in seen]
+                        seen.update(level)
+                        total += d * len(level)
+                        pairs += len(level)
+                got.append((float(np.mean(local)), total / pairs if pairs else 0.0))
+            yield pd.DataFrame(got, columns=["c", "l"])
+
+    r = _trial_frame(spark, graphs).mapInPandas(run, "c double, l double").agg(F.avg("c").alias("c"), F.avg("l").alias("l")).first()
+    path = l_["mean_path"]
+    sigma = (c / r["c"]) / (path / r["l"]) if r["c"] and r["l"] and path else None
+    return spark.createDataFrame([(float(c), float(path), round(r["c"], 6), round(r["l"], 6), None if sigma is None else round(float(sigma), 6))], out)
+
+
+#: What a pass over all nodes must add to the modularity for the passes to go on.
+LEAST_GAIN = 1e-6
+
+
+def louvain(edges: DataFrame) -> DataFrame:
+    """(id, community): communities by Louvain's two phases, as joins.
+
+    Every node looks at the communities around it and moves to the one of the greatest gain
+    of modularity, the least of equals; in a round only half of the nodes move, chosen by a
+    hash, so two neighbours seldom change places. When a pass over both halves adds less than
+    LEAST_GAIN, communities become the nodes of a smaller graph and the moves start again,
+    until that adds nothing. Rounds are written; only sums over all nodes come to the driver.
+    A community is named by its least node; self-loops and repeated edges don't count."""
+    arcs = write_stage(both_ways(simple(edges)).withColumn("w", F.lit(1.0)), "arcs")
+    m2 = arcs.df.agg(F.sum("w")).first()[0]
+    ids = write_stage(arcs.df.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "communities")
+    if not m2:
+        return ids.df
+    best = -1.0
+    while True:
+        deg = write_stage(arcs.df.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")).withColumn("c", F.col("id")), "moves")
+        first, last, turn = best, best, 0
+        while True:
+            for half in (0, 1):
+                d = deg.df
+                own = d.select(F.col("id").alias("u"), "k", F.col("c").alias("mine"))
+                total = d.groupBy("c").agg(F.sum("k").alias("t"))
+                near = arcs.df.where("u <> v").join(d.select(F.col("id").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("w"))
+                seen = near.unionByName(d.select(F.col("id").alias("u"), "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+                gain = F.round(F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / m2, 9)
+                scored = seen.join(own, "u").join(total, "c").withColumn("g", gain)
+                top = scored.groupBy(F.col("u").alias("id")).agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.col("g"))).alias("stay"))
+                turn_now = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == half
+                new = d.join(top, "id").select("id", "k", F.when(turn_now & (-F.col("b.g") > F.col("stay")), F.col("b.c")).otherwise(F.col("c")).alias("c"))
+                nxt = write_stage(new, "moves")
+                deg.drop()
+                deg, turn = nxt, turn + 1
+            c = deg.df.select("id", "c")
+            inside = arcs.df.join(c.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(c.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").agg(F.sum("w")).first()[0] or 0.0
+            square = deg.df.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum((F.col("t") / m2) ** 2)).first()[0]
+            q = inside / m2 - square
+            if q <= last + LEAST_GAIN:
+                break
+            last = q
+        best = max(q, last)
+        if best <= first + LEAST_GAIN:
+            break
+        names = deg.df.groupBy("c").agg(F.min("id").alias("name"))
+        to = write_stage(deg.df.join(names, "c").select(F.col("id").alias("community"), "name"), "names")
+        new_ids = write_stage(ids.df.join(to.df, "community").select("id", F.col("name").alias("community")), "communities")
+        short = arcs.df.join(to.df.select(F.col("community").alias("u"), F.col("name").alias("a")), "u").join(to.df.select(F.col("community").alias("v"), F.col("name").alias("b")), "v")
+        new_arcs = write_stage(short.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), "arcs")
+        for s in (arcs, ids, to):
+            s.drop()
+        arcs, ids = new_arcs, new_ids
+    return ids.df.join(ids.df.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
+
+
+def greedy_modularity(edges: DataFrame) -> DataFrame:
+    """(id, community): communities merge with the neighbour of the greatest gain of modularity,
+    all pairs that are each other's best in one round, until no merge would gain. A community
+    is named by its least node; self-loops and repeated edges don't count."""
+    arcs = write_stage(both_ways(simple(edges)).withColumn("w", F.lit(1.0)), "arcs")
+    m2 = arcs.df.agg(F.sum("w")).first()[0]
+    ids = write_stage(arcs.df.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "communities")
+    while m2:
+        share = arcs.df.groupBy("u").agg((F.sum("w") / m2).alias("a"))
+        pairs = arcs.df.where("u <> v").join(share, "u").join(share.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
+        gain = pairs.select("u", "v", F.round(F.col("w") / m2 - F.col("a") * F.col("b"), 12).alias("g")).where("g > 0")
+        # the order of a pair's equals is the same seen from both ends
+        pick = gain.groupBy("u").agg(F.min(F.struct((-F.col("g")).alias("g"), F.least("u", "v").alias("x"), F.greatest("u", "v").alias("y"), "v")).alias("b")).select("u", F.col("b.v").alias("v"))
+        pick = write_stage(pick, "picks")
+        both = pick.df.join(pick.df.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"]).where("u < v").select(F.col("v").alias("community"), F.col("u").alias("name"))
+        merged = write_stage(both, "merges")
+        pick.drop()
+        if merged.df.isEmpty():
+            break
+        to = lambda d, c: d.join(merged.df.select(F.col("community").alias(c), F.col("name").alias(c + "2")), c, "left").withColumn(c, F.coalesce(c + "2", c)).drop(c + "2")
+        new_ids = write_stage(to(ids.df, "community"), "communities")
+        new_arcs = write_stage(to(to(arcs.df, "u"), "v").groupBy("u", "v").agg(F.sum("w").alias("w")), "arcs")
+        for s in (arcs, ids, merged):
+            s.drop()
+        arcs, ids = new_arcs, new_ids
+    return ids.df

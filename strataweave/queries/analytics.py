@@ -127,6 +127,27 @@ def a19b(t):
     return t.k_edges.join(t.k_nodes.select(F.col("id").alias("source_id"), "node_type"), "source_id").groupBy("edge_type", "node_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("A8_louvain")
+def a8_louvain(t):
+    return A.louvain(t.k_edges)
+
+
+@query("A8_greedy_modularity")
+def a8_greedy(t):
+    return A.greedy_modularity(t.k_edges)
+
+
+@query("A8_modularity_by_method")
+def a8_methods(t):
+    """Communities and modularity of the three methods."""
+    out = None
+    for name, f in (("louvain", A.louvain), ("label_propagation", A.propagate_labels), ("greedy_modularity", A.greedy_modularity)):
+        p = f(t.k_edges)
+        one = A.modularity(t.k_edges, p).select(F.lit(name).alias("method"), F.round("modularity", 6).alias("modularity")).crossJoin(p.agg(F.count_distinct("community").alias("n_communities")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("A20_baseline_modularity")
 def a20(t):
     return A.baseline_modularity(t.k_edges, t.k_nodes.select("id", F.col("node_type").alias("community")))
@@ -137,6 +158,13 @@ def a21(t):
     return A.small_world(t.k_nodes, t.k_edges)
 
 
+@query("A21_small_world_sampled")
+def a21_sampled(t):
+    """Over the graph of concepts, which is small enough for the random graphs."""
+    e = t.skos_concepts.where("broader_id is not null").select(F.col("concept_id").alias("source_id"), F.col("broader_id").alias("target_id"), F.lit("broader").alias("edge_type"), F.concat_ws(":", "concept_id", "broader_id").alias("id"))
+    return A.small_world_sampled(t.skos_concepts.select(F.col("concept_id").alias("id")), e)
+
+
 @query("A22_bootstrap")
 def a22(t):
     return A.bootstrap_density(t.k_edges)
@@ -179,6 +207,12 @@ def b2(t):
     return B.kmeans(t.embeddings, "vec_id", "embedding").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("B2_cluster_quality")
+def b2_quality(t):
+    c = B.kmeans(t.embeddings, "vec_id", "embedding")
+    return B.cluster_quality(t.embeddings.select("vec_id", "embedding").join(c, "vec_id"), "vec_id", "embedding", "cluster")
+
+
 @query("B4_pca")
 def b4(t):
     return B.pca(t.embeddings, "vec_id", "embedding", 2)
@@ -209,6 +243,11 @@ def b8(t):
     return B.walk_cooccurrence(t.k_edges).groupBy("u").agg(F.count(F.lit(1)).alias("n_contexts"))
 
 
+@query("B8_svd_embedding")
+def b8_svd(t):
+    return B.walk_embedding(t.k_edges)
+
+
 @query("B9_structural_vs_semantic")
 def b9(t):
     v = t.embeddings.select("vec_id", "embedding")

@@ -57,12 +57,12 @@ def e17(t):
 
 @query("D8_entity_resolver")
 def d8(t):
-    return M.resolve_by_vector(t.enriched_entities, "record_id", "label", "semantic_embedding").withColumn("score", F.round("score", 5))
+    return M.resolve(t.enriched_entities, "record_id", "label", "semantic_embedding").withColumn("score", F.round("score", 5))
 
 
 @query("D9_merge_candidates")
 def d9(t):
-    return M.merge_candidates(M.resolve_by_vector(t.enriched_entities, "record_id", "label", "semantic_embedding"))
+    return M.merge_candidates(M.resolve(t.enriched_entities, "record_id", "label", "semantic_embedding"))
 
 
 @query("D13_discovery_merge", "SELECT lower(trim(label)) AS label_key, lower(trim(entity_type)) AS type_key, arg_min(id, (-confidence, ord)) AS id, max(confidence) AS confidence, count(*) AS n FROM $entities GROUP BY 1, 2")
@@ -235,7 +235,7 @@ def b7(t):
 def r6(t):
     from strataweave.operators.structural import components
 
-    p = M.resolve_by_vector(t.enriched_relations, "record_id", "predicate", "semantic_embedding")
+    p = M.resolve(t.enriched_relations, "record_id", "predicate", "semantic_embedding")
     return components(p.select(F.col("a").cast("string").alias("source_id"), F.col("b").cast("string").alias("target_id")))
 
 

@@ -11,19 +11,58 @@ from pyspark.sql import functions as F
 # File types by suffix.
 SUFFIXES = {"txt": "txt", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "xml": "xml", "pdf": "pdf", "docx": "docx", "pptx": "pptx"}
 TEXT_TYPES = ("txt", "markdown", "html", "xml")
+OFFICE_TYPES = ("docx", "pptx")
 GOLD = "id string, start int, end int, text string, label string"
 
 
+def office_text(kind: str, raw: bytes) -> str:
+    """Text of an Office Open XML file: the paragraphs of a document that have text (those in tables
+    left out), or the texts of the shapes of a presentation in slide order, with blank lines
+    between. A paragraph's runs are joined, line breaks kept."""
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    name = lambda e: e.tag.rpartition("}")[2]
+
+    def written(e) -> str:
+        return "".join(t.text or "" if name(t) == "t" else "\t" if name(t) == "tab" else "\n" if name(t) == "br" else "" for t in e.iter())
+
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if kind == "docx":
+            body = next(e for e in ET.fromstring(z.read("word/document.xml")) if name(e) == "body")
+            blocks = [written(p) for p in body if name(p) == "p"]
+        else:
+            slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0]))
+            shapes = (b for n in slides for b in ET.fromstring(z.read(n)).iter() if name(b) == "txBody")
+            blocks = ["\n".join(written(p) for p in b if name(p) == "p") for b in shapes]
+    return "\n\n".join(x.strip() for x in blocks if x.strip())
+
+
 def load_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, file_type, content, error): files by their lower-case suffix. Text types are
-    decoded; html loses its markup; types without a reader and unknown suffixes have a null
-    content and an error, so a batch goes on."""
+    decoded; html loses its markup; office files give their paragraphs or shape texts; types
+    without a reader, unknown suffixes and broken files have a null content and an error, so a
+    batch goes on."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv])[suffix]
     d = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", kind.alias("file_type"), "content")
     text = F.col("content").cast("string")
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style).*?</\1>", " "), r"(?s)<[^>]+>", " "), r"\s+", " "))
-    return d.select("path", "file_type", F.when(F.col("file_type") == "html", bare).when(F.col("file_type").isin(*TEXT_TYPES), text).alias("content"), F.when(F.col("file_type").isNull(), "unknown suffix").when(~F.col("file_type").isin(*TEXT_TYPES), "no reader").alias("error"))
+    known = F.coalesce(F.col("file_type").isin(*OFFICE_TYPES), F.lit(False))
+    plain = d.where(~known).select("path", "file_type", F.when(F.col("file_type") == "html", bare).when(F.col("file_type").isin(*TEXT_TYPES), text).alias("content"), F.when(F.col("file_type").isNull(), "unknown suffix").when(~F.col("file_type").isin(*TEXT_TYPES), "no reader").alias("error"))
+
+    def unpack(batches):
+        for x in batches:
+            rows = []
+            for p, k, raw in zip(x["path"], x["file_type"], x["content"]):
+                try:
+                    rows.append((p, k, office_text(k, bytes(raw)), None))
+                except Exception as e:  # a broken file must not end the batch
+                    rows.append((p, k, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "file_type", "content", "error"])
+
+    return plain.unionByName(d.where(known).mapInPandas(unpack, "path string, file_type string, content string, error string"))
 
 
 def read_laws(spark: SparkSession, path: str) -> DataFrame:
