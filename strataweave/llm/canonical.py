@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterator
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,8 @@ from strataweave.plans.skew import join_unique
 #: Jaccard similarity of the token sets from which a list entry is a candidate. Two letters
 #: typed wrong in a word of seven leave about this.
 MIN_SIMILARITY = 0.4
-#: Forms a task of the reference side: above this many the prefix join shuffles that side.
+#: Up to so many forms the reference side of the prefix join is an index that goes to all tasks;
+#: beyond, both sides are shuffled by token. Both ways give the same rows.
 BROADCAST_FORMS = 100_000
 #: A value cut off with a stop has at least this share of the letters of what it means.
 LEAST_CUT = 0.4
@@ -170,30 +173,84 @@ def _with_tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("tokens", tok(text))
 
 
-def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(value, entry_id, similarity, edits) for values (value) and entries (entry_id, form).
-
-    Set-similarity join by prefix filter: tokens are ordered by their rarity over all
-    values and entries, only the rarest tokens that a pair of the wanted similarity must
-    share are joined, the length and positional filters prune, and the Jaccard similarity
-    is computed exactly at the first shared token only. The entry of the greatest similarity
-    is kept, of equals that of the likelier reading of the value, then the one whose spaces
-    are in the same places, then the smaller id. An exact check of its typing errors follows;
-    values that have no entry, or whose best one is off by more than a name of that length
-    is typed with, have a null entry_id and are reported. A value cut off with a stop is
-    compared with the beginnings of entries too. Null values are left out; blank ones have
-    no entry; null forms and ids are left out; repeated rows count once; an empty list maps
-    nothing. Whole values are read, of any number of words.
-    """
-    v = values.select("value").where("value is not null").distinct()
-    read = write_stage(_value_forms(v), "values")
-    r = write_stage(_with_tokens(_entry_forms(entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()), "form"), "entries").df
-    distinct = write_stage(_with_tokens(read.df.select("plain", "cut").distinct(), "plain"), "forms").df
-    everything = distinct.select(F.explode("tokens").alias("t")).unionAll(r.select(F.explode("tokens").alias("t")))
-    rarity = write_stage(everything.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "rarity").df
+class PrefixIndex:
+    """The reference side of the prefix join in one task: for each token, in the order of rarity, the
+    forms that have it in their prefix and the forms that have it at all."""
+
+    def __init__(self, forms: pd.DataFrame, rank: dict[int, int], t: float):
+        self.forms, self.rank, self.t = forms, rank, t
+        sets = [np.sort([rank[x] for x in ts]) for ts in forms["tokens"]]
+        self.m = np.array([len(x) for x in sets], np.int64)
+        self.pre = self._postings([x[: self.prefix(len(x))] for x in sets])
+        self.all = self._postings(sets)
+
+    def prefix(self, m: int) -> int:
+        return m - math.ceil(m * self.t) + 1
+
+    def _postings(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        form = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        token = np.concatenate(sets) if sets else np.empty(0, np.int64)
+        order = np.argsort(token, kind="stable")
+        return form[order], np.searchsorted(token[order], np.arange(len(self.rank) + 1))
+
+    @staticmethod
+    def _take(postings: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        form, at = postings
+        return np.concatenate([form[at[x] : at[x + 1]] for x in tokens]) if len(tokens) else np.empty(0, np.int64)
+
+    def best(self, plain: str, cut: bool, tokens: list[int]) -> tuple[int, float] | None:
+        """(form, similarity) of the greatest similarity; of equals whole entries before beginnings,
+        then the form that is the value, then the first."""
+        m = len(tokens)
+        # tokens that no form has are the rarest: they are in the prefix and match nothing
+        known = np.sort([self.rank[x] for x in tokens if x in self.rank])
+        ahead = self.prefix(m) - (m - len(known))
+        if ahead <= 0:
+            return None
+        found = np.unique(self._take(self.pre, known[:ahead]))
+        found = found[(self.m[found] >= m * self.t) & (self.m[found] <= m / self.t)]
+        if not cut:
+            found = found[~self.forms["cut"].to_numpy()[found]]
+        if not len(found):
+            return None
+        both = np.bincount(self._take(self.all, known), minlength=len(self.m))[found]
+        j = both / (m + self.m[found] - both)
+        if j.max() < self.t:
+            return None
+        top = found[j == j.max()]
+        top = top[self.forms["cut"].to_numpy()[top] == self.forms["cut"].to_numpy()[top].min()]
+        same = [f for f in top if self.forms["form"].iat[f] == plain]
+        return int(same[0] if same else top[0]), float(j.max())
+
+
+def _near_index(distinct: DataFrame, r: DataFrame, rarity: DataFrame, t: float) -> DataFrame:
+    """(plain, cut, entry_id, entry, similarity) of the most similar form, by an index of up to
+    BROADCAST_FORMS forms that goes to all tasks; only tokens of the forms are in it."""
+    spark = distinct.sparkSession
+    forms = r.select("entry_id", "plain", "form", "cut", "tokens").toPandas().sort_values(["cut", "entry_id", "plain", "form"], ignore_index=True)  # at most BROADCAST_FORMS
+    own = r.select(F.explode("tokens").alias("t")).distinct().join(rarity, "t").select("n", "t").toPandas().sort_values(["n", "t"])  # tokens of the forms
+    shared = spark.sparkContext.broadcast((forms, {int(x): i for i, x in enumerate(own["t"])}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms, rank = shared.value
+        index = PrefixIndex(forms, rank, t)
+        for b in batches:
+            out: list[tuple] = []
+            for plain_, cut, tokens_ in zip(*(b.column(i).to_pylist() for i in range(3))):
+                hit = index.best(plain_, cut, tokens_)
+                if hit:
+                    out.append((plain_, cut, forms["entry_id"].iat[hit[0]], forms["plain"].iat[hit[0]], hit[1]))
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.bool_(), pa.string(), pa.string(), pa.float64()))], names=["plain", "cut", "entry_id", "entry", "similarity"])
+
+    return distinct.select("plain", "cut", "tokens").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "plain string, cut boolean, entry_id string, entry string, similarity double")
+
+
+def _near_shuffled(distinct: DataFrame, r: DataFrame, rarity: DataFrame, min_similarity: float) -> DataFrame:
+    """The same as ``_near_index`` for forms of any number, by a join on tokens."""
     t = F.lit(min_similarity)
     # the work per form is large against its bytes, which is all that adaptive partitioning sees
-    spread = 3 * values.sparkSession.sparkContext.defaultParallelism
+    spread = 3 * distinct.sparkSession.sparkContext.defaultParallelism
 
     def prefixed(d: DataFrame, keys: list[str], side: str) -> DataFrame:
         x = d.select(*keys, F.explode("tokens").alias("t")).join(rarity, "t")
@@ -207,8 +264,6 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
     left, right = prefixed(distinct, ["plain", "cut"], "_v"), prefixed(r, ["entry_id", "plain", "form", "cut"], "_r")
     # beginnings meet only values that are cut off, whole entries all values
     right = right.withColumn("cut_v", F.explode(F.when(F.col("cut_r"), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False)))))
-    if r.count() <= BROADCAST_FORMS:
-        right = F.broadcast(right)
     need = F.ceil(t / (1 + t) * (F.col("m_v") + F.col("m_r")))
     room = F.least(F.col("m_v") - F.col("i_v"), F.col("m_r") - F.col("i_r"))  # shared from the first shared token on
     j = left.join(right, ["t", "cut_v"]).where((F.col("m_r") >= F.col("m_v") * t) & (F.col("m_r") <= F.col("m_v") / t) & (room >= need))
@@ -216,13 +271,38 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
     both = F.size(F.array_intersect("ts_v", "ts_r"))
     j = j.withColumn("similarity", both / (F.col("m_v") + F.col("m_r") - both)).where(F.col("similarity") >= t)
     best = j.groupBy("plain_v", "cut_v").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("cut_r").alias("c"), (F.col("plain_v") != F.col("form_r")).alias("o"), F.col("entry_id_r").alias("e"), F.col("plain_r").alias("p"))).alias("b"))
+    return best.select(F.col("plain_v").alias("plain"), F.col("cut_v").alias("cut"), F.col("b.e").alias("entry_id"), F.col("b.p").alias("entry"), (-F.col("b.s")).alias("similarity"))
+
+
+def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(value, entry_id, similarity, edits) for values (value) and entries (entry_id, form).
+
+    Set-similarity join by prefix filter: tokens are ordered by their rarity over all
+    values and entries, only the rarest tokens that a pair of the wanted similarity must
+    share are joined, the length and positional filters prune, and the Jaccard similarity
+    is computed exactly at the first shared token only. The entry of the greatest similarity
+    is kept, of equals that of the likelier reading of the value, then the one whose spaces
+    are in the same places, then the smaller id. An exact check of its typing errors follows;
+    values that have no entry, or whose best one is off by more than a name of that length
+    is typed with, have a null entry_id and are reported. A value cut off with a stop is
+    compared with the beginnings of entries too. Null values are left out; blank ones have
+    no entry; null forms and ids are left out; repeated rows count once; an empty list maps
+    nothing. Whole values are read, of any number of words.
+    """
+    v = values.select("value").where("value is not null").distinct()
+    read = write_stage(_value_forms(v), "values")
+    r = write_stage(_with_tokens(_entry_forms(entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()), "form"), "entries").df
+    distinct = write_stage(_with_tokens(read.df.select("plain", "cut").distinct(), "plain"), "forms").df
+    everything = distinct.select(F.explode("tokens").alias("t")).unionAll(r.select(F.explode("tokens").alias("t")))
+    rarity = write_stage(everything.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "rarity").df
+    near = _near_index if r.count() <= BROADCAST_FORMS else _near_shuffled
+    best = near(distinct, r, rarity, min_similarity)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             x["edits"] = pd.array([edits(a, c, b) for a, c, b in zip(x["plain"], x["cut"], x["entry"])], "Int32")
             yield x[x["edits"].notna()][["plain", "cut", "entry_id", "similarity", "edits"]]
 
-    best = best.select(F.col("plain_v").alias("plain"), F.col("cut_v").alias("cut"), F.col("b.e").alias("entry_id"), F.col("b.p").alias("entry"), (-F.col("b.s")).alias("similarity"))
     ok = best.mapInPandas(check, "plain string, cut boolean, entry_id string, similarity double, edits int")
     chosen = read.df.join(ok, ["plain", "cut"]).groupBy("value").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "place", "entry_id", "edits")).alias("b"))
     return v.join(chosen, "value", "left").select("value", F.col("b.entry_id").alias("entry_id"), F.round(-F.col("b.s"), 6).alias("similarity"), F.col("b.edits").alias("edits"))

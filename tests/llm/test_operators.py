@@ -62,6 +62,16 @@ def test_prefix_join_is_exact(spark):
     assert got == brute_force(set(words), e)
 
 
+def test_both_ways_of_the_prefix_join(spark, monkeypatch):
+    """The shuffled join, for long lists, gives what the index gives."""
+    words = ["".join(RNG.choice("abcde") for _ in range(RNG.randint(3, 9))) for _ in range(60)]
+    words += [w + " " + words[-i] for i, w in enumerate(words[:20])] + [w[: len(w) - 2] + "." for w in words[:20]]
+    v, e = spark.createDataFrame([(w,) for w in words], "value string"), spark.createDataFrame([(f"e{i:02d}", w) for i, w in enumerate(words[:30])], "entry_id string, form string")
+    one = sorted(map(tuple, canonical.match_list(v, e).collect()), key=str)
+    monkeypatch.setattr(canonical, "BROADCAST_FORMS", 0)
+    assert sorted(map(tuple, canonical.match_list(v, e).collect()), key=str) == one
+
+
 def test_whole_values_are_read(spark, entries):
     """All parts of a value are matched, and entries of any number of words."""
     e = entries.unionByName(spark.createDataFrame([("w5", "alpha bravo charlie delta echo")], "entry_id string, form string"))
