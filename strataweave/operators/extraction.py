@@ -215,3 +215,12 @@ def integer_value(text: str) -> int | None:
             v *= int(f)
         total += -v if term[1] == "-" else v
     return total
+
+
+def cooccurring_pairs(mentions: DataFrame, key: str, item: str) -> DataFrame:
+    """(source_id, target_id, n_docs, first_doc): items of a list that are mentioned in one document
+    (mentions: key, item), each two once whichever way round. Pairs are made within a document
+    of what the list has, and summed map-side."""
+    m = mentions.select(key, item).where(F.col(key).isNotNull() & F.col(item).isNotNull()).distinct()
+    a, b = m.withColumnRenamed(item, "source_id"), m.withColumnRenamed(item, "target_id")
+    return a.join(b, key).where("source_id < target_id").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min(key).alias("first_doc"))

@@ -297,6 +297,17 @@ def k18(t):
     return action_set(t.entities, t.relations, {}).select(F.to_json(F.struct("action", "target")).alias("json"))
 
 
+@query("K20_findings_yaml", """WITH r AS (SELECT source_id, edge_type, string_agg(DISTINCT target_id, ', ' ORDER BY target_id) AS o FROM $k_edges GROUP BY 1, 2), p AS (SELECT source_id, string_agg('      ' || edge_type || ': [' || o || ']', chr(10) ORDER BY edge_type) AS t FROM r GROUP BY 1),
+n AS (SELECT entity_id AS id, count(DISTINCT record_id) AS c, max(description) AS d FROM enriched_entities WHERE entity_id IS NOT NULL GROUP BY 1)
+SELECT k.id, concat_ws(chr(10), '  - id: ' || k.id, '    label: ' || label, '    type: ' || node_type, '    confidence: 0.80', CASE WHEN t IS NOT NULL THEN '    relations:' || chr(10) || t END, CASE WHEN c > 0 THEN '    evidence_count: ' || c END, CASE WHEN d IS NOT NULL THEN '    first_evidence: "' || translate(substr(d, 1, 100), chr(10), ' ') || '..."' END) AS yaml
+FROM $k_nodes k LEFT JOIN p ON p.source_id = k.id LEFT JOIN n USING (id)""")
+def k20(t):
+    per = t.k_edges.groupBy(F.col("source_id").alias("id"), "edge_type").agg(F.array_sort(F.collect_set("target_id")).alias("o"))
+    rel = per.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("edge_type", "o"))).alias("relations"))
+    ev = t.enriched_entities.where("entity_id is not null").groupBy(F.col("entity_id").alias("id")).agg(F.count_distinct("record_id").alias("n_evidence"), F.max("description").alias("first_evidence"))
+    return K.findings_yaml(t.k_nodes.withColumnRenamed("node_type", "entity_type").withColumn("confidence", F.lit(0.8)).join(rel, "id", "left").join(ev, "id", "left"))
+
+
 @query("K19_vector_upsert", "SELECT count(*) AS n, count(*) FILTER (vec_id >= 100000) AS added FROM (SELECT vec_id FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 100000 FROM embeddings WHERE vec_id % 5 = 0) q")
 def k19(t):
     from strataweave.operators.graph import upsert

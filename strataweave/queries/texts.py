@@ -277,6 +277,18 @@ def e13(t):
     return X.legal_relations(X.legal_entities(t.doc_words, "doc_id", "text"), "doc_id")
 
 
+_SPANS = "SELECT DISTINCT doc_id, text AS label, CASE label WHEN 'Person' THEN 'Obligation' WHEN 'Organisation' THEN 'LegalActor' WHEN 'Paragraf' THEN 'LegalReference' ELSE label END AS entity_type FROM {g} WHERE doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL"
+
+
+@query("E13_relations_of_spans", f"""WITH e AS ({_SPANS.format(g="gold_entities")})
+SELECT doc_id, doc_id AS source, 'referenziert' AS predicate, label AS target, 0.95::DOUBLE AS confidence FROM e WHERE entity_type = 'LegalReference'
+UNION ALL SELECT a.doc_id, a.label, 'zustaendig', b.label, 0.855::DOUBLE FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.entity_type = 'Behoerde' AND b.entity_type = 'Obligation'
+UNION ALL SELECT a.doc_id, a.label, 'betrifft', b.label, 0.8075::DOUBLE FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.entity_type = 'Obligation' AND b.entity_type = 'LegalActor'""")
+def e13_spans(t):
+    """All branches, over annotated spans: persons stand for obligations, organisations for actors."""
+    return X.legal_relations(t._spark.sql(_SPANS.format(g="{g}"), g=t.gold_entities), "doc_id")
+
+
 @query("E14_modalities")
 def e14(t):
     return X.legal_entities(t.doc_words, "doc_id", "text").where("entity_type in ('Obligation', 'Permission', 'Prohibition')").groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
@@ -300,6 +312,14 @@ def e24(t):
     return X.label_mentions(t.gold_documents.select("doc_id", "text").distinct(), labels, "doc_id", "text", "concept_id", "l").distinct()
 
 
+_PAIRS = "WITH d AS (SELECT DISTINCT doc_id, text FROM gold_documents WHERE text IS NOT NULL), c AS (SELECT concept_id, pref_label AS l FROM skos_concepts UNION SELECT concept_id, unnest(alt_labels) FROM skos_concepts), m AS (SELECT DISTINCT doc_id, concept_id FROM d, c WHERE length(trim(l)) > 0 AND contains(lower(text), lower(l)))"
+
+
+@query("E24_cooccurring_pairs", f"{_PAIRS} SELECT a.concept_id AS source_id, b.concept_id AS target_id, count(*) AS n_docs, min(a.doc_id) AS first_doc FROM m a JOIN m b ON a.doc_id = b.doc_id AND a.concept_id < b.concept_id GROUP BY 1, 2")
+def e24_pairs(t):
+    return X.cooccurring_pairs(e24(t), "doc_id", "concept_id")
+
+
 @query("E21_extraction_cache", "SELECT count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM (SELECT sha256(text)[1:16] IN (SELECT sha256(text)[1:16] FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL) AS hit FROM $doc_words) q")
 def e21(t):
     key = F.substring(F.sha2("text", 256), 1, 16)

@@ -90,3 +90,26 @@ def content_hash(df: DataFrame, group: str, key: str) -> DataFrame:
     ids = df.select(group, key).distinct().groupBy(group).agg(F.array_sort(F.collect_list(key)).alias("k"))
     text = F.concat(F.lit("["), F.array_join(F.transform("k", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("]"))
     return ids.select(group, F.sha2(text, 256).alias("content_hash"))
+
+
+def findings_yaml(findings: DataFrame) -> DataFrame:
+    """(id, yaml): one YAML list item per finding (id, label, entity_type, confidence, n_evidence,
+    first_evidence, relations as map<string,array<string>>); head and order are added on
+    writing. A null evidence or an empty map leaves its lines out."""
+    line = lambda name, c: F.concat(F.lit(f"    {name}: "), c)
+    pairs = F.transform(F.array_sort(F.map_entries("relations")), lambda e: F.concat(F.lit("      "), e["key"], F.lit(": ["), F.array_join(e["value"], ", "), F.lit("]")))
+    rel = F.when(F.size("relations") > 0, F.concat(F.lit("    relations:\n"), F.array_join(pairs, "\n")))
+    ev = F.when(F.col("first_evidence").isNotNull(), F.concat(F.lit('    first_evidence: "'), F.translate(F.substring("first_evidence", 1, 100), "\n", " "), F.lit('..."')))
+    parts = [F.concat(F.lit("  - id: "), "id"), line("label", F.col("label")), line("type", F.col("entity_type")), line("confidence", F.format_string("%.2f", "confidence")), rel, F.when(F.col("n_evidence") > 0, line("evidence_count", F.col("n_evidence").cast("string"))), ev]
+    return findings.select("id", F.concat_ws("\n", *parts).alias("yaml"))
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result (at most ``most`` rows, else an error) as a Markdown section: a title and a
+    table in the order of its rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda v: "" if v is None else f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    head = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
+    return "\n".join([f"## {title}", "", *head, *("| " + " | ".join(map(cell, r)) + " |" for r in rows), ""])

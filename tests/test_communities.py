@@ -162,3 +162,21 @@ def test_model_relations(spark):
     onto = spark.createDataFrame([("locatedIn", ["Facility"], ["Location"], True, False)], "predicate string, domain array<string>, range array<string>, functional boolean, inverse_functional boolean")
     got = [(r.source_id, r.predicate, r.target_id) for r in providers.model_relations(docs, ent, onto, "doc_id", "text", Relations()).collect()]
     assert got == [("e1", "locatedIn", "e2")]
+
+
+def test_settings_and_report(spark, tmp_path):
+    from strataweave.operators.settings import Experiment, Variant
+    from strataweave.sources.export import markdown_table
+
+    e = Experiment("x", [Variant("a"), Variant("b", 0.75, parameters={"k": 3})], 2, ["Wer?"])
+    e.save(str(tmp_path / "e.json"))
+    assert Experiment.load(str(tmp_path / "e.json")) == e and e.problems() == []
+    bad = Experiment(" ", [Variant("a", 1.5), Variant("a", iterations=0)], 0)
+    assert len(bad.problems()) == 5
+    bad.save(str(tmp_path / "bad.json"))
+    with pytest.raises(ValueError, match="outside"):
+        Experiment.load(str(tmp_path / "bad.json"))
+    d = spark.createDataFrame([("a|b", 0.5), (None, 2.0)], "name string, v double")
+    assert markdown_table(d, "T") == "## T\n\n| name | v |\n| --- | --- |\n| a\\|b | 0.5 |\n|  | 2 |\n"
+    with pytest.raises(ValueError):
+        markdown_table(d, "T", 1)
