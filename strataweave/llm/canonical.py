@@ -187,16 +187,19 @@ class PrefixIndex:
     def prefix(self, m: int) -> int:
         return m - math.ceil(m * self.t) + 1
 
-    def _postings(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _postings(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(form, place of the token in the form) in the order of tokens, and where each token starts."""
         form = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        place = np.concatenate([np.arange(len(x)) for x in sets]) if sets else np.empty(0, np.int64)
         token = np.concatenate(sets) if sets else np.empty(0, np.int64)
         order = np.argsort(token, kind="stable")
-        return form[order], np.searchsorted(token[order], np.arange(len(self.rank) + 1))
+        return form[order], place[order], np.searchsorted(token[order], np.arange(len(self.rank) + 1))
 
     @staticmethod
-    def _take(postings: tuple[np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
-        form, at = postings
-        return np.concatenate([form[at[x] : at[x + 1]] for x in tokens]) if len(tokens) else np.empty(0, np.int64)
+    def _take(postings: tuple[np.ndarray, np.ndarray, np.ndarray], tokens: np.ndarray) -> np.ndarray:
+        """Rows of the postings of some tokens."""
+        at = postings[2]
+        return np.concatenate([np.arange(at[x], at[x + 1]) for x in tokens]) if len(tokens) else np.empty(0, np.int64)
 
     def best(self, plain: str, cut: bool, tokens: list[int]) -> tuple[int, float] | None:
         """(form, similarity) of the greatest similarity; of equals whole entries before beginnings,
@@ -204,16 +207,20 @@ class PrefixIndex:
         m = len(tokens)
         # tokens that no form has are the rarest: they are in the prefix and match nothing
         known = np.sort([self.rank[x] for x in tokens if x in self.rank])
-        ahead = self.prefix(m) - (m - len(known))
+        ahead = min(self.prefix(m) - (m - len(known)), len(known))
         if ahead <= 0:
             return None
-        found = np.unique(self._take(self.pre, known[:ahead]))
-        found = found[(self.m[found] >= m * self.t) & (self.m[found] <= m / self.t)]
+        rows = self._take(self.pre, known[:ahead])
+        found, first = np.unique(self.pre[0][rows], return_index=True)  # the first shared token of each form
+        mine = m - len(known) + np.repeat(np.arange(ahead), np.diff(self.pre[2])[known[:ahead]])[first]
+        n = self.m[found]
+        room = np.minimum(m - mine, n - self.pre[1][rows][first])  # shared from the first shared token on
+        found = found[(n >= m * self.t) & (n <= m / self.t) & (room >= np.ceil(self.t / (1 + self.t) * (m + n) - 1e-9))]
         if not cut:
             found = found[~self.forms["cut"].to_numpy()[found]]
         if not len(found):
             return None
-        both = np.bincount(self._take(self.all, known), minlength=len(self.m))[found]
+        both = np.bincount(self.all[0][self._take(self.all, known)], minlength=len(self.m))[found]
         j = both / (m + self.m[found] - both)
         if j.max() < self.t:
             return None
@@ -279,8 +286,8 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
 
     Set-similarity join by prefix filter: tokens are ordered by their rarity over all
     values and entries, only the rarest tokens that a pair of the wanted similarity must
-    share are joined, the length and positional filters prune, and the Jaccard similarity
-    is computed exactly at the first shared token only. The entry of the greatest similarity
+    share are joined, the length and positional filters prune by the first shared token, and
+    the Jaccard similarity of what is left is computed exactly. The entry of the greatest similarity
     is kept, of equals that of the likelier reading of the value, then the one whose spaces
     are in the same places, then the smaller id. An exact check of its typing errors follows;
     values that have no entry, or whose best one is off by more than a name of that length
@@ -291,10 +298,12 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
     """
     v = values.select("value").where("value is not null").distinct()
     read = write_stage(_value_forms(v), "values")
-    r = write_stage(_with_tokens(_entry_forms(entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()), "form"), "entries").df
-    distinct = write_stage(_with_tokens(read.df.select("plain", "cut").distinct(), "plain"), "forms").df
+    refs = write_stage(_with_tokens(_entry_forms(entries.where("entry_id is not null and form is not null").select("entry_id", "form").distinct()), "form"), "entries")
+    forms = write_stage(_with_tokens(read.df.select("plain", "cut").distinct(), "plain"), "forms")
+    r, distinct = refs.df, forms.df
     everything = distinct.select(F.explode("tokens").alias("t")).unionAll(r.select(F.explode("tokens").alias("t")))
-    rarity = write_stage(everything.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "rarity").df
+    rare = write_stage(everything.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "rarity")
+    rarity = rare.df
     near = _near_index if r.count() <= BROADCAST_FORMS else _near_shuffled
     best = near(distinct, r, rarity, min_similarity)
 
@@ -303,7 +312,9 @@ def match_list(values: DataFrame, entries: DataFrame, min_similarity: float = MI
             x["edits"] = pd.array([edits(a, c, b) for a, c, b in zip(x["plain"], x["cut"], x["entry"])], "Int32")
             yield x[x["edits"].notna()][["plain", "cut", "entry_id", "similarity", "edits"]]
 
-    ok = best.mapInPandas(check, "plain string, cut boolean, entry_id string, similarity double, edits int")
+    ok = write_stage(best.mapInPandas(check, "plain string, cut boolean, entry_id string, similarity double, edits int"), "near").df
+    for stage in (refs, forms, rare):
+        stage.drop()
     chosen = read.df.join(ok, ["plain", "cut"]).groupBy("value").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "place", "entry_id", "edits")).alias("b"))
     return v.join(chosen, "value", "left").select("value", F.col("b.entry_id").alias("entry_id"), F.round(-F.col("b.s"), 6).alias("similarity"), F.col("b.edits").alias("edits"))
 

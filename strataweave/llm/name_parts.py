@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 from itertools import combinations
@@ -327,35 +326,45 @@ def triples(word: str) -> np.ndarray:
 
 class Spelling:
     """How likely letters follow each other in the names of the data: counts of letter triples,
-    smoothed by pairs. ``usual(x, y)`` is the log-probability that a name is spelled ``x``,
-    by all names but ``x`` and ``y`` themselves."""
+    smoothed by pairs. ``usual(xs, ys)`` are the log-probabilities that a name is spelled x,
+    each by all names but x and y themselves."""
 
     def __init__(self, counts: dict[int, int]):
-        self.three = counts
-        self.two: dict[int, int] = {}
-        self.head: dict[int, int] = {}
-        for t, n in counts.items():
-            self.two[t // N_SYMBOLS] = self.two.get(t // N_SYMBOLS, 0) + n
-            self.head[t % (N_SYMBOLS * N_SYMBOLS)] = self.head.get(t % (N_SYMBOLS * N_SYMBOLS), 0) + n
-        self.one: dict[int, int] = {}
-        for p, n in self.head.items():
-            self.one[p // N_SYMBOLS] = self.one.get(p // N_SYMBOLS, 0) + n
-
-    def usual(self, x: str, y: str) -> float:
-        tx, ty = triples(x).tolist(), triples(y).tolist()
-        n2 = N_SYMBOLS * N_SYMBOLS
-        out3, out2, outh, out1 = Counter(), Counter(), Counter(), Counter()
-        for t in tx + (ty if y != x else []):
-            out3[t] += 1
-            out2[t // N_SYMBOLS] += 1
-            outh[t % n2] += 1
-            out1[t % n2 // N_SYMBOLS] += 1
-        total = 0.0
-        for t in tx:
-            p, h = t // N_SYMBOLS, t % n2
-            pair = (max(0, self.head.get(h, 0) - outh[h]) + 2 / 30) / (max(0, self.one.get(h // N_SYMBOLS, 0) - out1[h // N_SYMBOLS]) + 2)
-            total += math.log((max(0, self.three.get(t, 0) - out3[t]) + 2 * pair) / (max(0, self.two.get(p, 0) - out2[p]) + 2))
-        return total
+        n = N_SYMBOLS
+        three = np.zeros(n**3)
+        three[list(counts)] = list(counts.values())
+        self.three, cube = three, three.reshape(n, n, n)
+        self.two, self.head = cube.sum(2).ravel(), cube.sum(0).ravel()  # pairs before a letter, and pairs that end with one
+        self.one = self.head.reshape(n, n).sum(1)
+
+    def usual(self, xs: list[str], ys: list[str]) -> np.ndarray:
+        out = np.zeros(len(xs))
+        tx, ty = [triples(x) for x in xs], [triples(y) if y != x else triples(x)[:0] for x, y in zip(xs, ys)]
+        size = np.array([len(x) * (len(x) + len(y)) for x, y in zip(tx, ty)], np.int64)
+        order, lo = np.argsort(size, kind="stable"), 0
+        while lo < len(order):  # pairs of about one size at a time, so that little is padded
+            hi = min(len(order), lo + max(1, 2_000_000 // int(size[order[min(len(order) - 1, lo + 2000)]] + 1)))
+            rows = order[lo:hi]
+            out[rows] = self._usual([tx[r] for r in rows], [ty[r] for r in rows])
+            lo = hi
+        return out
+
+    def _usual(self, tx: list[np.ndarray], ty: list[np.ndarray]) -> np.ndarray:
+        n = N_SYMBOLS
+        x = np.full((len(tx), max(map(len, tx))), -1, np.int64)
+        z = np.full((len(tx), x.shape[1] + max(map(len, ty))), -1, np.int64)
+        for i, (a, b) in enumerate(zip(tx, ty)):
+            x[i, : len(a)], z[i, : len(a)], z[i, len(a) : len(a) + len(b)] = a, a, b
+        live = x >= 0
+
+        def left(table: np.ndarray, part) -> np.ndarray:
+            """What a table counts for each triple of x beside the triples of x and y."""
+            own = ((part(x)[:, :, None] == part(z)[:, None, :]) & (z >= 0)[:, None, :]).sum(2)
+            return np.maximum(0, table[part(np.maximum(x, 0))] - own)
+
+        pair = (left(self.head, lambda t: t % (n * n)) + 2 / 30) / (left(self.one, lambda t: t % (n * n) // n) + 2)
+        p = (left(self.three, lambda t: t) + 2 * pair) / (left(self.two, lambda t: t // n) + 2)
+        return np.where(live, np.log(p), 0.0).sum(1)
 
 
 # Share of names typed with 0, 1, ... errors, as logarithms; and of one error among all places
@@ -364,8 +373,9 @@ _ERRORS = [math.log(x) for x in (0.6, 0.2, 0.1, 0.06, 0.04)]
 _CHOICES = 60
 
 
-def mistyped(n: int, d: int, letters: int, usual: float) -> float:
+def mistyped(n, d, letters, usual):
     """Log-odds that a spelling on ``n`` records, ``d`` edits from another one, is that one typed
     wrong (the same way each time) and not a name of its own, which has the log-probability
-    ``usual``. Every record tells against the error; a name that is usual is rather one."""
-    return n * (_ERRORS[d] - d * math.log(_CHOICES * max(letters, 1))) - usual
+    ``usual``. Every record tells against the error; a name that is usual is rather one.
+    For numbers or arrays of them."""
+    return n * (np.array(_ERRORS)[d] - d * np.log(_CHOICES * np.maximum(letters, 1))) - usual

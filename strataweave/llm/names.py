@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataweave.llm.components import link_groups
 from strataweave.llm.name_parts import KIND_WORDS, LONG, Spelling, edit_keys, end_keys, fold, given_alike, hash_text, initials, is_given, is_short_for, mistyped, name_words, organisation, osa, osa_all, person, triples
-from strataweave.plans.lineage import write_stage
+from strataweave.plans.lineage import Stage, write_stage
 from strataweave.plans.skew import join_spread, join_unique
 
 PERSON, ORGANISATION = "P", "O"
@@ -93,8 +93,8 @@ def _number(word: str) -> str:
     return "".join(filter(str.isdigit, word))
 
 
-def cores_alike(base: DataFrame) -> DataFrame:
-    """(kind, core, like, d): every two cores of profiles (kind, core, n) that can be spellings of
+def cores_alike(base: DataFrame) -> Stage:
+    """Written (kind, core, like, d): every two cores of profiles (kind, core, n) that can be spellings of
     one, with the edits between them, either way round, and each with itself.
 
     ``edit_keys`` gives any two within three edits (and long ones within four) a common key,
@@ -103,7 +103,8 @@ def cores_alike(base: DataFrame) -> DataFrame:
     with equal given names, share one of ``end_keys`` with the given name. What shares a key is verified: its edits are counted, numbers must be equal, and one of
     the two must be rather the other typed wrong than a name of its own (``mistyped``), by
     how usual its letters are among all cores and how many records have it."""
-    cores = write_stage(base.groupBy("kind", "core").agg(F.sum("n").alias("n"), F.collect_set("a").alias("as")).withColumn("id", F.monotonically_increasing_id()), "cores").df
+    written = write_stage(base.groupBy("kind", "core").agg(F.sum("n").alias("n"), F.collect_set("a").alias("as")).withColumn("id", F.monotonically_increasing_id()), "cores")
+    cores = written.df
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -164,10 +165,9 @@ def cores_alike(base: DataFrame) -> DataFrame:
                 limit = most_edits(kind, np.minimum(t["core"].str.len(), t["like"].str.len()).to_numpy())
                 d = osa_all(t["core"].tolist(), t["like"].tolist(), limit)
                 t = t.assign(d=d)[d <= limit]
-                ok = []
-                for c, e, n, m, d in zip(t["core"], t["like"], t["n"], t["m"], t["d"]):
-                    odds = max(mistyped(n, d, len(c), spelled[kind].usual(c, e)), mistyped(m, d, len(e), spelled[kind].usual(e, c)))
-                    ok.append(_number(c) == _number(e) and odds >= by_chance[kind])
+                c, e, d = t["core"].tolist(), t["like"].tolist(), t["d"].to_numpy()
+                one, two = (mistyped(t[n].to_numpy(), d, np.array(list(map(len, x))), spelled[kind].usual(x, y)) for n, x, y in (("n", c, e), ("m", e, c)))
+                ok = (np.maximum(one, two) >= by_chance[kind]) & np.array([_number(x) == _number(y) for x, y in zip(c, e)], bool)
                 yield t.loc[ok, ["kind", "core", "like", "d"]]
 
     parts = int(cores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -175,8 +175,12 @@ def cores_alike(base: DataFrame) -> DataFrame:
     two = keyed.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "x long, y long").distinct()
     named = two.join(cores.select(F.col("id").alias("x"), "kind", "core", "n"), "x").join(cores.select(F.col("id").alias("y"), F.col("kind").alias("kind2"), F.col("core").alias("like"), F.col("n").alias("m")), "y").where("kind = kind2")
     # the work per pair is large against its bytes, which is all that adaptive partitioning sees
-    one = write_stage(named.select("kind", "core", "like", "n", "m").repartition(parts).mapInPandas(verify, "kind string, core string, like string, d int"), "alike").df
-    return one.unionByName(one.select("kind", F.col("like").alias("core"), F.col("core").alias("like"), "d")).unionByName(cores.select("kind", "core", F.col("core").alias("like"), F.lit(0).alias("d")))
+    found = write_stage(named.select("kind", "core", "like", "n", "m").repartition(parts).mapInPandas(verify, "kind string, core string, like string, d int"), "alike")
+    one = found.df
+    out = write_stage(one.unionByName(one.select("kind", F.col("like").alias("core"), F.col("core").alias("like"), "d")).unionByName(cores.select("kind", "core", F.col("core").alias("like"), F.lit(0).alias("d"))), "alike")
+    for stage in (written, found):
+        stage.drop()
+    return out
 
 
 def parts_alike(kind: str, a1, b1, a2, b2) -> tuple[int, int]:
@@ -217,8 +221,9 @@ def link_names(records: DataFrame) -> DataFrame:
     """
     kinds, givens = common_words(records)
     recs = write_stage(profiles(records, kinds, givens).distinct(), "names").df
-    base = write_stage(recs.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", "a", "b", "core", "ini")), F.count(F.lit(1)).alias("n")), "profiles").df
-    alike = write_stage(cores_alike(base), "alike")
+    base = write_stage(recs.groupBy("pid").agg(*(F.first(c).alias(c) for c in ("kind", "a", "b", "core", "ini")), F.count(F.lit(1)).alias("n")), "profiles")
+    profiles_, base = base, base.df
+    alike = cores_alike(base)
     # a record that can be read two ways holds its profiles together
     two_ways = recs.groupBy("key").agg(F.min("pid").alias("src"), F.max("pid").alias("dst")).where("src < dst").select("src", "dst")
     assign = write_stage(base.select("pid", F.col("pid").alias("cid"), F.lit(True).alias("moved")), "assign")
@@ -269,7 +274,8 @@ def link_names(records: DataFrame) -> DataFrame:
         if not merged and not first:
             break
         first = False
-    alike.drop()
+    for stage in (alike, profiles_):
+        stage.drop()
     return join_unique(recs.select("key", "pid"), assign.df.select("pid", F.col("cid").alias("group_id")), "pid").select("key", "group_id").distinct()
 
 

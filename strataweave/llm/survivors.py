@@ -72,11 +72,11 @@ def prepared(df: DataFrame) -> DataFrame:
     ).where(F.col("record_id").isNotNull())
 
 
-def slim(df: DataFrame) -> DataFrame:
+def slim(df: DataFrame) -> Stage:
     """``prepared`` with the description as its hash and length, written once: all steps read that,
     and ``with_text`` puts the text of the surviving ones back."""
     rows = prepared(df).withColumns({"length": F.length("description"), "description": F.hex(F.xxhash64("description"))})
-    return write_stage(rows, "records").df
+    return write_stage(rows, "records")
 
 
 def with_text(out: DataFrame, df: DataFrame, value: str) -> DataFrame:
@@ -88,8 +88,8 @@ def with_text(out: DataFrame, df: DataFrame, value: str) -> DataFrame:
     return out.withColumn("__h", F.col(value)).join(text, ["entity_id", "__h"], "left").withColumn(value, F.col("__t")).drop("__h", "__t")
 
 
-def facts(rows: DataFrame) -> DataFrame:
-    """A row per distinct value of a field of an entity: the sources that assert it, those
+def facts(rows: DataFrame) -> Stage:
+    """A written row per distinct value of a field of an entity: the sources that assert it, those
     that cover the field but don't, whether it is usable, and its completeness."""
     f = lambda name, value, ok, measure: F.struct(F.lit(name).alias("field"), value.cast("string").alias("value"), ok.alias("ok"), measure.cast("double").alias("measure"))
     one = F.lit(1.0)
@@ -103,18 +103,21 @@ def facts(rows: DataFrame) -> DataFrame:
     # a description goes through the shuffles as its hash; ``with_text`` puts the text back
     claims = rows.where("record_id is not null").select("entity_id", "source", "at", F.explode(fields).alias("f")).where("f.value is not null").select("entity_id", "source", "at", "f.*")
     values = claims.groupBy("entity_id", "field", "value").agg(F.max("ok").alias("ok"), F.max("measure").alias("measure"), F.array_sort(F.collect_set("source")).alias("yes"), F.max("at").alias("at"))
-    values = write_stage(values, "values").df.withColumn("covered", F.concat_ws("|", "field", "entity_id"))
+    written = write_stage(values, "values")
+    values = written.df.withColumn("covered", F.concat_ws("|", "field", "entity_id"))
     cover = values.select("covered", F.explode("yes").alias("s")).groupBy("covered").agg(F.collect_set("s").alias("all"))
-    return join_unique(values, cover, "covered").withColumn("no", F.array_sort(F.array_except("all", "yes"))).drop("covered", "all")
+    out = write_stage(join_unique(values, cover, "covered").withColumn("no", F.array_sort(F.array_except("all", "yes"))).drop("covered", "all"), "facts")
+    written.drop()
+    return out
 
 
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def infer_quality(all_facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, Stage]:
-    """(facts with the posterior p of every value, written table (k, sens, fpr) with k = field|source)
-    by expectation-maximisation until no rate moves by more than ``tolerance``.
+def infer_quality(all_facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, Stage, Stage]:
+    """(facts with the posterior p of every value, written table (k, sens, fpr) with k = field|source,
+    written posteriors, which the first reads) by expectation-maximisation until no rate moves by more than ``tolerance``.
 
     Latent truth per value; per field and source a sensitivity (asserts a true value) and a
     specificity (doesn't assert a false one); per field the share of true values among the
@@ -171,7 +174,7 @@ def infer_quality(all_facts: DataFrame, tolerance: float = TOLERANCE) -> tuple[D
             break
     judged = write_stage(posteriors().select("pattern", "p"), "posteriors")
     patterns.drop()
-    return join_unique(known, judged.df, "pattern").drop("pattern"), rates
+    return join_unique(known, judged.df, "pattern").drop("pattern"), rates, judged
 
 
 def surviving_values(judged: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -208,9 +211,12 @@ def survivors(df: DataFrame, threshold: float = 0.5, text: bool = True) -> DataF
     rows with a null record_id are left out; repeated rows count once; an empty table gives
     no rows.
     """
-    rows = slim(df)
-    judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
+    rows = slim(df).df
+    f = facts(rows)
+    judged, *used = infer_quality(f.df)
     wide = write_stage(surviving_values(judged, threshold), "survivors").df
+    for stage in (f, *used):
+        stage.drop()
     groups = rows.groupBy("entity_id").agg((F.min("record_id") < F.max("record_id")).alias("grouped"))
     out = groups.join(wide, "entity_id", "left").join(whole_survivors(rows, wide), "entity_id", "left").select(
         "entity_id", "n_values", F.col("description.value").alias("description"), F.col("discovery_confidence.measure").alias("discovery_confidence"), F.col("evidence_count.measure").cast("int").alias("evidence_count"),
@@ -222,14 +228,18 @@ def survivors(df: DataFrame, threshold: float = 0.5, text: bool = True) -> DataF
 
 def values_judged_true(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(entity_id, field, value, probability): every value of every field judged true."""
-    rows = slim(df)
-    judged, _ = infer_quality(write_stage(facts(rows), "facts").df)
+    judged, rates, _ = infer_quality(facts(slim(df).df).df)
+    rates.drop()
     true = judged.where("ok").select("entity_id", "field", "value", F.round("p", 6).alias("probability")).where(F.col("probability") >= threshold)
     return with_text(true.where("field = 'description'"), df, "value").unionByName(true.where("field <> 'description'")).select("entity_id", "field", "value", "probability")
 
 
 def source_quality(df: DataFrame) -> DataFrame:
     """(field, source, sensitivity, specificity) as inferred."""
-    _, rates = infer_quality(write_stage(facts(slim(df)), "facts").df)
+    rows = slim(df)
+    f = facts(rows.df)
+    _, rates, judged = infer_quality(f.df)
+    for stage in (rows, f, judged):
+        stage.drop()
     field, cut = F.substring_index("k", "|", 1), F.locate("|", F.col("k"))
     return rates.df.where(cut > 0).select(field.alias("field"), F.expr("substring(k, locate('|', k) + 1)").alias("source"), F.round("sens", 6).alias("sensitivity"), F.round(1 - F.col("fpr"), 6).alias("specificity"))

@@ -299,7 +299,9 @@ def test_usual_names_are_not_errors():
         for t in name_parts.triples(w).tolist():
             n[t] = n.get(t, 0) + 1
     s = name_parts.Spelling(n)
-    odds = lambda x, y, d, k=1: name_parts.mistyped(k, d, len(x), s.usual(x, y))
+    odds = lambda x, y, d, k=1: name_parts.mistyped(k, d, len(x), s.usual([x], [y])[0])
+    many = s.usual(made + ["a" * 300], made[1:] + ["bqrpxlhuber", made[0]])  # alone or together
+    assert all(abs(many[i] - s.usual([x], [y])[0]) < 1e-9 for i, (x, y) in enumerate(zip(made + ["a" * 300], made[1:] + ["bqrpxlhuber", made[0]])))
     assert odds("barpelhuber", "fenpelhuber", 2) < 0 < odds("bqrpxlhuber", "barpelhuber", 2) and odds("bqrpxlhuber", "barpelhuber", 2, 3) < 0
 
 
