@@ -318,28 +318,29 @@ _SYMBOLS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789
 N_SYMBOLS = len(_SYMBOLS) + 2
 
 
-def triples(word: str) -> np.ndarray:
-    """The letter triples of a word with its edges, as numbers below N_SYMBOLS cubed."""
-    c = np.array([0, 0, *(_SYMBOLS.get(x, N_SYMBOLS - 1) for x in word), 0])
-    return (c[:-2] * N_SYMBOLS + c[1:-1]) * N_SYMBOLS + c[2:]
+def fours(word: str) -> np.ndarray:
+    """The runs of four letters of a word with its edges, as numbers below N_SYMBOLS to the fourth."""
+    c = np.array([0, 0, 0, *(_SYMBOLS.get(x, N_SYMBOLS - 1) for x in word), 0], np.int64)
+    return ((c[:-3] * N_SYMBOLS + c[1:-2]) * N_SYMBOLS + c[2:-1]) * N_SYMBOLS + c[3:]
 
 
 class Spelling:
-    """How likely letters follow each other in the names of the data: counts of letter triples,
-    smoothed by pairs. ``usual(xs, ys)`` are the log-probabilities that a name is spelled x,
-    each by all names but x and y themselves."""
+    """How likely letters follow each other in the names of the data: counts of runs of four
+    letters, smoothed by those of three and two. ``usual(xs, ys)`` are the log-probabilities
+    that a name is spelled x, each by all names but x and y themselves."""
 
     def __init__(self, counts: dict[int, int]):
         n = N_SYMBOLS
-        three = np.zeros(n**3)
-        three[list(counts)] = list(counts.values())
-        self.three, cube = three, three.reshape(n, n, n)
-        self.two, self.head = cube.sum(2).ravel(), cube.sum(0).ravel()  # pairs before a letter, and pairs that end with one
-        self.one = self.head.reshape(n, n).sum(1)
+        self.four = np.zeros(n**4, np.float32)
+        self.four[list(counts)] = list(counts.values())
+        cube = self.four.reshape(n, n, n, n)
+        self.before3, last3 = cube.sum(3).ravel(), cube.sum(0)
+        self.last3, self.before2, last2 = last3.ravel(), last3.sum(2).ravel(), last3.sum(0)
+        self.last2, self.before1 = last2.ravel(), last2.sum(1)
 
     def usual(self, xs: list[str], ys: list[str]) -> np.ndarray:
         out = np.zeros(len(xs))
-        tx, ty = [triples(x) for x in xs], [triples(y) if y != x else triples(x)[:0] for x, y in zip(xs, ys)]
+        tx, ty = [fours(x) for x in xs], [fours(y) if y != x else fours(x)[:0] for x, y in zip(xs, ys)]
         size = np.array([len(x) * (len(x) + len(y)) for x, y in zip(tx, ty)], np.int64)
         order, lo = np.argsort(size, kind="stable"), 0
         while lo < len(order):  # pairs of about one size at a time, so that little is padded
@@ -358,12 +359,13 @@ class Spelling:
         live = x >= 0
 
         def left(table: np.ndarray, part) -> np.ndarray:
-            """What a table counts for each triple of x beside the triples of x and y."""
+            """What a table counts for each run of x beside those of x and y."""
             own = ((part(x)[:, :, None] == part(z)[:, None, :]) & (z >= 0)[:, None, :]).sum(2)
             return np.maximum(0, table[part(np.maximum(x, 0))] - own)
 
-        pair = (left(self.head, lambda t: t % (n * n)) + 2 / 30) / (left(self.one, lambda t: t % (n * n) // n) + 2)
-        p = (left(self.three, lambda t: t) + 2 * pair) / (left(self.two, lambda t: t // n) + 2)
+        two = (left(self.last2, lambda t: t % n**2) + 2 / 30) / (left(self.before1, lambda t: t % n**2 // n) + 2)
+        three = (left(self.last3, lambda t: t % n**3) + 2 * two) / (left(self.before2, lambda t: t % n**3 // n) + 2)
+        p = (left(self.four, lambda t: t) + 2 * three) / (left(self.before3, lambda t: t // n) + 2)
         return np.where(live, np.log(p), 0.0).sum(1)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.llm.components import link_groups
-from strataweave.llm.name_parts import KIND_WORDS, LONG, Spelling, edit_keys, end_keys, fold, given_alike, hash_text, initials, is_given, is_short_for, mistyped, name_words, organisation, osa, osa_all, person, triples
+from strataweave.llm.name_parts import KIND_WORDS, LONG, Spelling, edit_keys, end_keys, fold, fours, given_alike, hash_text, initials, is_given, is_short_for, mistyped, name_words, organisation, osa, osa_all, person
 from strataweave.plans.lineage import Stage, write_stage
 from strataweave.plans.skew import join_spread, join_unique
 
@@ -109,12 +109,12 @@ def cores_alike(base: DataFrame) -> Stage:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for kind, t in x.groupby("kind"):
-                at, n = np.unique(np.concatenate([triples(c) for c in t["core"]]), return_counts=True)
+                at, n = np.unique(np.concatenate([fours(c) for c in t["core"]]), return_counts=True)
                 yield pd.DataFrame({"kind": kind, "t": at, "n": n})
 
     counts = cores.select("kind", "core").mapInPandas(count, "kind string, t long, n long").groupBy("kind", "t").agg(F.sum("n").alias("n"))
     usual: dict[str, dict[int, int]] = {}
-    for r in counts.toLocalIterator():  # at most N_SYMBOLS cubed a kind
+    for r in counts.toLocalIterator():  # at most N_SYMBOLS to the fourth a kind
         usual.setdefault(r["kind"], {})[r["t"]] = r["n"]
     # how many names share their kind or given name with a name: what it could be mistaken for
     same = base.select("kind", "a", "core").distinct().groupBy("kind", "a").count().groupBy("kind").agg((F.sum(F.col("count").cast("double") ** 2) / F.sum("count")).alias("m"))

@@ -296,7 +296,7 @@ def test_usual_names_are_not_errors():
     made = [a + b + c for a in ("ank", "bar", "dro", "fen", "gli", "hus") for b in ("kom", "pel", "sta", "tro", "vis") for c in ("moeller", "berg", "thal", "huber")]
     n = {}
     for w in made:
-        for t in name_parts.triples(w).tolist():
+        for t in name_parts.fours(w).tolist():
             n[t] = n.get(t, 0) + 1
     s = name_parts.Spelling(n)
     odds = lambda x, y, d, k=1: name_parts.mistyped(k, d, len(x), s.usual([x], [y])[0])
