@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from strataweave.plans.lineage import write_stage
+from strataweave.operators import whole
+from strataweave.plans.lineage import materialize, write_stage
 from strataweave.plans.skew import hot_keys, join_unique
 
 #: Edges up to which a metric that needs the whole graph at once runs on the driver.
@@ -418,26 +419,34 @@ def bridges(edges: DataFrame, most: int = 50) -> DataFrame:
     return edges.sparkSession.createDataFrame(sorted(out)[:most], "a string, b string")
 
 
-def non_backtracking(edges: DataFrame, rounds: int = 60, tolerance: float = 1e-6) -> DataFrame:
+def non_backtracking(edges: DataFrame, rounds: int = 500, tolerance: float = 1e-9, task_edges: int = whole.TASK_EDGES) -> DataFrame:
     """(id, x): leading eigenvector of the non-backtracking matrix summed by edge source, the
     greatest scaled to 1. The step uses sums by node less the reverse edge, so its cost is
-    the number of edges, not of edge pairs. If the sum of changes is not under the number of
-    arcs * tolerance after ``rounds`` rounds, that is an error."""
-    arcs = both_ways(simple(edges))
-    last = write_stage(arcs.withColumn("x", F.lit(1.0)), "nb")
+    the number of edges, not of edge pairs. Up to ``task_edges`` edges one task runs Arnoldi's
+    method; beyond, each round of the power iteration is written. If it isn't within
+    ``tolerance``, relative to the vector, after ``rounds`` rounds, that is an error."""
+    pairs = write_stage(simple(edges), "simple").df
+    m = pairs.count()
+    if m <= task_edges:
+        done = materialize(whole.in_one_task(pairs, lambda a, b, n: whole.non_backtracking(a, b, n, rounds, tolerance), "x", "double"), "nb")
+        if not done.where(F.isnan("x")).isEmpty():
+            raise RuntimeError(f"nb: not within tolerance after {rounds} rounds")
+        return done
+    n = pairs.select(F.explode(F.array("a", "b")).alias("id")).agg(F.count_distinct("id")).first()[0]
+    if m == n - components(pairs.selectExpr("a as source_id", "b as target_id")).agg(F.count_distinct("component")).first()[0]:
+        return both_ways(pairs).select(F.col("u").alias("id")).distinct().withColumn("x", F.lit(0.0))  # trees have no other eigenvalue than 0
+    last = write_stage(both_ways(pairs).withColumn("x", F.lit(1.0)), "nb")
     cur = last.df
-    n = cur.count()
     for _ in range(rounds):
         into = cur.groupBy(F.col("u").alias("v")).agg(F.sum("x").alias("s"))
         rev = cur.select(F.col("v").alias("u"), F.col("u").alias("v"), F.col("x").alias("r"))
-        raw = write_stage(cur.join(into, "v").join(rev, ["u", "v"]).select("u", "v", "x", (F.col("s") - F.col("r")).alias("y")), "nb")
+        # the matrix and 1: other eigenvalues may be as large as the first, but not with 1 added
+        raw = write_stage(cur.join(into, "v").join(rev, ["u", "v"]).select("u", "v", "x", (F.col("s") - F.col("r") + F.col("x")).alias("y")), "nb")
         norm = raw.df.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
         last.drop()
-        if not norm:
-            return raw.df.select(F.col("u").alias("id")).distinct().withColumn("x", F.lit(0.0))
-        change = raw.df.agg(F.sum(F.abs(F.col("y") / norm - F.col("x")))).first()[0]
+        change, all_ = raw.df.agg(F.sum(F.abs(F.col("y") / norm - F.col("x"))), F.sum("x")).first()
         last, cur = raw, raw.df.select("u", "v", (F.col("y") / norm).alias("x"))
-        if change < n * tolerance:
+        if change <= all_ * tolerance:
             break
     else:
         raise RuntimeError(f"nb: not within tolerance after {rounds} rounds")
