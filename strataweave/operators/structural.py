@@ -428,7 +428,7 @@ def non_backtracking(edges: DataFrame, rounds: int = 500, tolerance: float = 1e-
     pairs = write_stage(simple(edges), "simple").df
     m = pairs.count()
     if m <= task_edges:
-        done = materialize(whole.in_one_task(pairs, lambda a, b, n: whole.non_backtracking(a, b, n, rounds, tolerance), "x", "double"), "nb")
+        done = materialize(whole.in_one_task(pairs, lambda a, b, names: whole.non_backtracking(a, b, len(names), rounds, tolerance), "x", "double"), "nb")
         if not done.where(F.isnan("x")).isEmpty():
             raise RuntimeError(f"nb: not within tolerance after {rounds} rounds")
         return done
@@ -583,16 +583,20 @@ def small_world_sampled(nodes: DataFrame, edges: DataFrame, graphs: int = 10, se
 LEAST_GAIN = 1e-6
 
 
-def louvain(edges: DataFrame) -> DataFrame:
-    """(id, community): communities by Louvain's two phases, as joins.
+def louvain(edges: DataFrame, task_edges: int = whole.TASK_EDGES) -> DataFrame:
+    """(id, community): communities by Louvain's two phases.
 
     Every node looks at the communities around it and moves to the one of the greatest gain
     of modularity, the least of equals; in a round only half of the nodes move, chosen by a
     hash, so two neighbours seldom change places. When a pass over both halves adds less than
     LEAST_GAIN, communities become the nodes of a smaller graph and the moves start again,
     until that adds nothing. Rounds are written; only sums over all nodes come to the driver.
+    Up to ``task_edges`` edges one task takes the same steps in memory.
     A community is named by its least node; self-loops and repeated edges don't count."""
-    arcs = write_stage(both_ways(simple(edges)).withColumn("w", F.lit(1.0)), "arcs")
+    pairs = write_stage(simple(edges), "simple").df
+    if pairs.count() <= task_edges:
+        return materialize(whole.in_one_task(pairs, lambda a, b, names: whole.louvain(a, b, len(names), whole.marks(names), LEAST_GAIN), "community", "id"), "communities")
+    arcs = write_stage(both_ways(pairs).withColumn("w", F.lit(1.0)), "arcs")
     m2 = arcs.df.agg(F.sum("w")).first()[0]
     ids = write_stage(arcs.df.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "communities")
     if not m2:
@@ -611,7 +615,7 @@ def louvain(edges: DataFrame) -> DataFrame:
                 gain = F.round(F.col("w") - F.col("k") * (F.col("t") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / m2, 9)
                 scored = seen.join(own, "u").join(total, "c").withColumn("g", gain)
                 top = scored.groupBy(F.col("u").alias("id")).agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("mine"), F.col("g"))).alias("stay"))
-                turn_now = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == half
+                turn_now = F.shiftright(F.crc32(F.col("id").cast("string")), turn // 2 % 32).bitwiseAND(F.lit(1)) == half
                 new = d.join(top, "id").select("id", "k", F.when(turn_now & (-F.col("b.g") > F.col("stay")), F.col("b.c")).otherwise(F.col("c")).alias("c"))
                 nxt = write_stage(new, "moves")
                 deg.drop()
@@ -637,11 +641,15 @@ def louvain(edges: DataFrame) -> DataFrame:
     return ids.df.join(ids.df.groupBy("community").agg(F.min("id").alias("least")), "community").select("id", F.col("least").alias("community"))
 
 
-def greedy_modularity(edges: DataFrame) -> DataFrame:
+def greedy_modularity(edges: DataFrame, task_edges: int = whole.TASK_EDGES) -> DataFrame:
     """(id, community): communities merge with the neighbour of the greatest gain of modularity,
     all pairs that are each other's best in one round, until no merge would gain. A community
-    is named by its least node; self-loops and repeated edges don't count."""
-    arcs = write_stage(both_ways(simple(edges)).withColumn("w", F.lit(1.0)), "arcs")
+    is named by its least node; self-loops and repeated edges don't count. Up to
+    ``task_edges`` edges one task takes the same steps in memory."""
+    pairs = write_stage(simple(edges), "simple").df
+    if pairs.count() <= task_edges:
+        return materialize(whole.in_one_task(pairs, lambda a, b, names: whole.greedy_modularity(a, b, len(names)), "community", "id"), "communities")
+    arcs = write_stage(both_ways(pairs).withColumn("w", F.lit(1.0)), "arcs")
     m2 = arcs.df.agg(F.sum("w")).first()[0]
     ids = write_stage(arcs.df.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "communities")
     while m2:
@@ -662,4 +670,4 @@ def greedy_modularity(edges: DataFrame) -> DataFrame:
         for s in (arcs, ids, merged):
             s.drop()
         arcs, ids = new_arcs, new_ids
-    return ids.df
+    return ids.df.select("id", "community")

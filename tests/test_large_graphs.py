@@ -48,3 +48,14 @@ def test_non_backtracking_of_trees(spark, task_edges):
     d = edges_of(spark, [("a", "b"), ("b", "c"), ("b", "d")])
     assert {r.id: r.x for r in structural.non_backtracking(d, task_edges=task_edges).collect()} == dict.fromkeys("abcd", 0.0)
     assert structural.non_backtracking(d.limit(0), task_edges=task_edges).count() == 0
+
+
+@pytest.mark.parametrize("method", [structural.louvain, structural.greedy_modularity])
+def test_communities_in_one_task_and_by_joins(spark, method):
+    """The same rows, and no round of jobs in the first case."""
+    d = edges_of(spark, [*random_pairs(30, 0.1), ("n001", "n001"), ("n000", "n001")]).coalesce(1)
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = ran()
+    one = {tuple(r) for r in method(d).collect()}
+    assert ran() - before < 20
+    assert one == {tuple(r) for r in method(d, task_edges=0).collect()} and len({c for _, c in one}) > 1
