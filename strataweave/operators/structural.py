@@ -298,50 +298,40 @@ def _sources(spark, n: int, per: int = 64) -> DataFrame:
     return spark.range(0, n, 1, max(1, -(-n // per)))
 
 
+#: Pairs of a source and a node that a task follows at once.
+PATH_PAIRS = 1_000_000
+
+
 def path_centralities(edges: DataFrame) -> DataFrame:
-    """(id, betweenness, closeness), normalised: one breadth-first search per source (Brandes),
-    sources spread over the cluster, the adjacency sent once. For graphs of up to
-    DRIVER_EDGES edges."""
+    """(id, betweenness, closeness), normalised: a breadth-first search from every node (Brandes),
+    many in step as arrays, sources spread over the cluster, the adjacency sent once. For
+    graphs of up to DRIVER_EDGES edges."""
     names, adj = _adjacency(edges)
     n = len(names)
     spark = edges.sparkSession
     if n == 0:
         return spark.createDataFrame([], "id string, betweenness double, closeness double")
-    shared = spark.sparkContext.broadcast(adj)
+    size = np.array([len(x) for x in adj])
+    shared = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(size)]).astype(np.int32), np.concatenate(adj).astype(np.int32)))
+    step = max(1, min(64, PATH_PAIRS // n))
 
     def run(batches):
-        adj = shared.value
-        total, rows = np.zeros(len(adj)), []
+        start, beside = shared.value
+        n = len(start) - 1
+        total, ids, close = np.zeros(n), [], []
         for x in batches:
-            for s in x["id"]:
-                dist, sigma, order, preds = {s: 0}, {s: 1.0}, [], {}
-                level = [s]
-                while level:
-                    order += level
-                    nxt: dict[int, float] = {}
-                    for v in level:
-                        for w in adj[v]:
-                            if w not in dist or dist[w] == dist[v] + 1 and w in nxt:
-                                if w not in dist:
-                                    dist[w] = dist[v] + 1
-                                    nxt[w] = 0.0
-                                    preds[w] = []
-                                nxt[w] += sigma[v]
-                                preds[w].append(v)
-                    sigma.update(nxt)
-                    level = list(nxt)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in preds.get(w, ()):
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] += delta[w]
-                far, k = sum(dist.values()), len(dist) - 1
-                rows.append((int(s), (k / far) * (k / (len(adj) - 1)) if far else 0.0))
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"i": [*at, *(r[0] for r in rows)], "b": [*total[at], *([0.0] * len(rows))], "c": [*([0.0] * len(at)), *(r[1] for r in rows)]})
-
-    parts = _sources(spark, n).mapInPandas(run, "i long, b double, c double").groupBy("i").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
+            for s in range(0, len(x), step):
+                sources = x["id"].to_numpy()[s : s + step]
+                through, far, met = whole.shortest_paths(start, beside, sources)
+                total += through
+                ids.append(sources)
+                close.append(np.where(far > 0, met / np.maximum(far, 1) * (met / (n - 1)), 0.0))
+        at, own = np.flatnonzero(total), np.concatenate([*ids, np.zeros(0, np.int64)])
+        yield pd.DataFrame({"i": np.concatenate([at, own]), "b": np.concatenate([total[at], np.zeros(len(own))]), "c": np.concatenate([np.zeros(len(at)), *close])})
+
+    # a task returns a row for each node that lies on a path, so there are few tasks
+    tasks = max(1, min(-(-n // 64), 8 * spark.sparkContext.defaultParallelism))
+    parts = spark.range(0, n, 1, tasks).mapInPandas(run, "i long, b double, c double").groupBy("i").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     norm = (n - 1) * (n - 2) if n > 2 else 1
     ids = spark.createDataFrame(pd.DataFrame({"i": range(n), "id": names}))
     return ids.join(parts, "i").select("id", (F.col("b") / norm).alias("betweenness"), F.col("c").alias("closeness"))
