@@ -6,11 +6,14 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataweave.functions.text import norm
 from strataweave.operators.structural import components
+from strataweave.plans.lineage import materialize
 
 # Weights of rules and model, bonus of agreement, least confidence kept.
 RULES, MODEL, AGREEMENT, KEPT = 0.7, 0.5, 0.15, 0.4
@@ -71,8 +74,13 @@ def discovery_merge(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return best.select("label_key", "type_key", "b.label", "b.entity_type", "b.confidence", "n"), ev
 
 
-#: Rows of a block of the exact comparison; a task holds two blocks and their products.
-BLOCK_ROWS = 8192
+#: Least and greatest number of rows of a block of the exact comparison; a task holds two blocks
+#: and the products of a tile. A row is shuffled once for each block, so many rows need few blocks.
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCKS = 8192, 131_072, 8
+
+
+#: By how much a cosine in single precision may be too small.
+SLACK = 1e-4
 
 
 def block_pairs(df: DataFrame, key: str, rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
@@ -93,24 +101,27 @@ def resolve(df: DataFrame, key: str, label: str, vector: str | None, threshold:
     vector column at all, and a null label is empty.
 
     Exact: blocks of rows meet, cosines are products of matrices, and only pairs whose cosine
-    leaves the threshold in reach of the labels have their labels compared. Where labels
-    alone reach it, a bound from counted letters goes before."""
+    leaves the threshold in reach of the labels have their labels compared. Products are of
+    single precision less SLACK first, then of double precision. Where labels alone reach
+    the threshold, a bound from counted letters goes before."""
     dim_ok = (lambda v: F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)) & (F.size(v) > 0)) if vector else None
-    v = F.when(dim_ok(F.col(vector)), F.col(vector).cast("array<double>")) if vector else F.lit(None).cast("array<double>")
-    x = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(label, F.lit("")).alias("l"), F.coalesce(v, F.array().cast("array<double>")).alias("v")).dropDuplicates(["k"])
+    element = "float" if vector and df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    v = F.when(dim_ok(F.col(vector)), F.col(vector).cast(f"array<{element}>")) if vector else F.lit(None).cast("array<double>")
+    x = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.coalesce(label, F.lit("")).alias("l"), F.coalesce(v, F.array().cast(f"array<{element}>")).alias("v")).dropDuplicates(["k"])
     if vector and edit_weight < threshold:
         x = x.where(F.size("v") > 0)  # without a vector they stay below the threshold
-    groups, _ = block_pairs(x, "k")
+    x = materialize(x, "resolve")
+    groups, _ = block_pairs(x, "k", min(MOST_BLOCK_ROWS, max(BLOCK_ROWS, -(-x.count() // BLOCKS))))
     kind = x.schema["k"].dataType.simpleString()
-
-    def unit(vs: pd.Series) -> np.ndarray:
-        dim = max((len(t) for t in vs), default=0)
-        m = np.zeros((len(vs), max(1, dim)))
-        for i, t in enumerate(vs):
-            if len(t) == dim and dim:
-                m[i] = t
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n > 0, n, 1)
+    floor = (threshold - edit_weight) / (1 - edit_weight) - SLACK if edit_weight < 1 else -2.0
+
+    def matrix(t: pa.Table, far: int) -> np.ndarray:
+        v = t["v"].combine_chunks()
+        size = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        m = np.zeros((len(size), far), flat.dtype)
+        m[size == far] = flat[np.repeat(size == far, size)].reshape(-1, far)
+        return m
 
     def letters(ls: list[str]) -> np.ndarray:
         m = np.zeros((len(ls), 128), np.float32)
@@ -119,41 +130,52 @@ def resolve(df: DataFrame, key: str, label: str, vector: str | None, threshold:
                 m[i, ord(c) & 127] += 1
         return m
 
-    def compare(p: pd.DataFrame) -> pd.DataFrame:
-        one = p[p["left"]]
-        two = p[~p["left"]] if len(p) > len(one) else one
-        same = two is one
-        ka, kb, la, lb = one["k"].tolist(), two["k"].tolist(), one["l"].tolist(), two["l"].tolist()
-        dims = {len(t) for t in p["v"]}
-        far = max(dims) if dims else 0
-        va, vb = (unit(d["v"].map(lambda t: t if len(t) == far else [])) for d in (one, two))
-        ca, cb = letters(la), letters(lb)
-        na, nb = ca.sum(1), cb.sum(1)
+    def compare(p: pa.Table) -> pa.Table:
+        left = p["left"].to_numpy()
+        same = p["bi"][0].as_py() == p["bj"][0].as_py()
+        one = p.filter(pa.array(left))
+        two = one if same else p.filter(pa.array(~left))
+        far = (pc.max(pc.list_value_length(p["v"])).as_py() or 0) if edit_weight < 1 else 0
+        ka, kb, la, lb = one["k"].to_pylist(), two["k"].to_pylist(), one["l"].to_pylist(), two["l"].to_pylist()
+        va, vb = (matrix(t, far) if far else np.zeros((t.num_rows, 1), np.float32) for t in (one, two))
+        na, nb = (np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64)) for m in (va, vb))
+        na, nb = (np.where(n > 0, n, 1) for n in (na, nb))
+        fa, fb = ((m / n[:, None]).astype(np.float32) for m, n in ((va, na), (vb, nb)))
         out = []
-        for s in range(0, len(ka), 512):
-            cos = va[s : s + 512] @ vb.T if far else np.zeros((len(ka[s : s + 512]), len(kb)))
-            need = (threshold - (1 - edit_weight) * cos) / edit_weight if edit_weight else np.where((1 - edit_weight) * cos >= threshold, -1, 2)
-            at = np.argwhere(need <= 1 + 1e-12)
-            if same:
-                at = at[at[:, 0] + s < at[:, 1]]
-            if len(at):
-                i, j = at[:, 0], at[:, 1]
-                bound = np.concatenate([np.minimum(ca[i[t : t + 20000] + s], cb[j[t : t + 20000]]).sum(1) for t in range(0, len(i), 20000)])
-                size = na[i + s] + nb[j]
-                at = at[np.where(size > 0, 2 * bound / np.maximum(size, 1), 1.0) >= need[i, j] - 1e-6]
-            for i, j in at.tolist():
-                a, b = (ka[s + i], la[s + i]), (kb[j], lb[j])
+
+        def near(i: np.ndarray, j: np.ndarray) -> None:
+            cos = np.einsum("ij,ij->i", va[i], vb[j], dtype=np.float64) / na[i] / nb[j]
+            need = (threshold - (1 - edit_weight) * cos) / edit_weight if edit_weight else np.where(cos >= threshold, -1, 2)
+            ok = need <= 1 + 1e-12
+            i, j, cos, need = i[ok], j[ok], cos[ok], need[ok]
+            ca, cb = letters([la[r] for r in i]), letters([lb[r] for r in j])
+            size = ca.sum(1) + cb.sum(1)
+            ok = np.where(size > 0, 2 * np.minimum(ca, cb).sum(1) / np.maximum(size, 1), 1.0) >= need - 1e-6
+            for r, q, c in zip(i[ok].tolist(), j[ok].tolist(), cos[ok].tolist()):
+                a, b = (ka[r], la[r]), (kb[q], lb[q])
                 a, b = (a, b) if a[0] < b[0] else (b, a)
-                score = (1 - edit_weight) * float(cos[i, j]) + edit_weight * SequenceMatcher(None, a[1], b[1]).ratio()
+                score = (1 - edit_weight) * c + edit_weight * SequenceMatcher(None, a[1], b[1]).ratio()
                 if score >= threshold:
                     out.append((a[0], b[0], score))
-        return pd.DataFrame(out, columns=["a", "b", "score"])
 
-    return groups.groupBy("bi", "bj").applyInPandas(compare, f"a {kind}, b {kind}, score double")
+        for s in range(0, len(ka), 512):
+            for t in range(s if same else 0, len(kb), 2048):
+                tile = fa[s : s + 512] @ fb[t : t + 2048].T
+                i, j = np.divmod(np.flatnonzero(tile >= floor), tile.shape[1])
+                i, j = i + s, j + t
+                if same:
+                    i, j = i[i < j], j[i < j]
+                for r in range(0, len(i), 20000):
+                    near(i[r : r + 20000], j[r : r + 20000])
+        a, b, score = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, p.schema.field("k").type), "b": pa.array(b, p.schema.field("k").type), "score": pa.array(score, pa.float64())})
+
+    return groups.groupBy("bi", "bj").applyInArrow(compare, f"a {kind}, b {kind}, score double")
 
 
 def merge_candidates(pairs: DataFrame, least: int = 2) -> DataFrame:
     """(component, n, score): groups of matched pairs with their mean score."""
+    pairs = materialize(pairs, "pairs")  # read twice, and found by much work
     c = components(pairs.select(F.col("a").cast("string").alias("source_id"), F.col("b").cast("string").alias("target_id")))
     size = c.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     mean = pairs.select(F.col("a").cast("string").alias("id"), "score").join(c, "id").groupBy("component").agg(F.round(F.avg("score"), 6).alias("score"))

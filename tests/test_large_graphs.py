@@ -97,3 +97,17 @@ def test_paths_are_fast():
     for s in range(0, 2_000, 50):
         whole.shortest_paths(start, beside, np.arange(s, s + 50))
     assert time.process_time() - began < 60
+
+
+def test_resolver_repeats_rows_few_times(spark, monkeypatch):
+    """A row is shuffled once for each block, however many rows there are, and no pair is lost."""
+    from strataweave.operators import merging
+
+    rng = np.random.default_rng(7)
+    base, blocks, plain = rng.standard_normal((60, 6)), [], merging.block_pairs
+    d = spark.createDataFrame([(i, f"label {i // 2}", (base[i // 2] + 0.05 * rng.standard_normal(6)).tolist()) for i in range(120)], "id long, label string, v array<double>").selectExpr("id", "label", "cast(v as array<float>) as v")
+    whole_ = {(r.a, r.b) for r in merging.resolve(d, "id", "label", "v").collect()}
+    monkeypatch.setattr(merging, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(merging, "block_pairs", lambda df, key, rows=4: blocks.append(plain(df, key, rows)) or blocks[-1])
+    got = [(r.a, r.b) for r in merging.resolve(d, "id", "label", "v").collect()]
+    assert blocks[0][1] <= 8 and len(got) == len(set(got)) and set(got) == whole_ >= {(i, i + 1) for i in range(0, 120, 2)}
