@@ -146,11 +146,18 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return ids.join(up, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def propagate_labels(edges: DataFrame, rounds: int = 10, task_edges: int = whole.TASK_EDGES) -> DataFrame:
     """(id, community): every node takes the label most frequent around it, the least of
     equals; synchronous rounds, each written; stops when no label changes, and warns if some
-    still do after the last round (labels may alternate for ever)."""
-    arcs = both_ways(simple(edges))
+    still do after the last round (labels may alternate for ever). Up to ``task_edges`` edges
+    one task takes the same rounds in memory."""
+    pairs = write_stage(simple(edges), "simple").df
+    if pairs.count() <= task_edges:
+        done = materialize(whole.in_one_task(pairs, lambda a, b, names: whole.propagate_labels(a, b, len(names), rounds), "community old", "id"), "labels")
+        if not done.where("community <> old").isEmpty():
+            warnings.warn(f"labels still change after {rounds} rounds", stacklevel=2)
+        return done.select("id", "community")
+    arcs = both_ways(pairs)
     last = write_stage(arcs.select(F.col("u").alias("id")).distinct().withColumn("community", F.col("id")), "labels")
     cur = last.df
     for _ in range(rounds):

@@ -111,3 +111,48 @@ def test_resolver_repeats_rows_few_times(spark, monkeypatch):
     monkeypatch.setattr(merging, "block_pairs", lambda df, key, rows=4: blocks.append(plain(df, key, rows)) or blocks[-1])
     got = [(r.a, r.b) for r in merging.resolve(d, "id", "label", "v").collect()]
     assert blocks[0][1] <= 8 and len(got) == len(set(got)) and set(got) == whole_ >= {(i, i + 1) for i in range(0, 120, 2)}
+
+
+def labels_by_hand(pairs, rounds):
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    label = {x: x for x in near}
+    for _ in range(rounds):
+        votes = {x: [label[y] for y in near[x]] for x in near}
+        label = {x: min(v, key=lambda c: (-v.count(c), c)) for x, v in votes.items()}
+    return label
+
+
+@pytest.mark.parametrize("task_edges", [10**6, 0])
+def test_labels_in_one_task_and_by_joins(spark, task_edges):
+    """Round by round as by hand; no round of jobs where one task does; a warning only where labels still change."""
+    import warnings
+
+    pairs = [*random_pairs(30, 0.1), ("n001", "n001"), ("n000", "n001"), ("n001", "n000"), ("é", "z"), ("z", "Z")]
+    d, clique = edges_of(spark, pairs), edges_of(spark, [(a, b) for a in "abcd" for b in "abcd"])
+    for rounds in (1, 3):
+        with pytest.warns(UserWarning, match="labels still change"):
+            assert {r.id: r.community for r in structural.propagate_labels(d, rounds, task_edges=task_edges).collect()} == labels_by_hand(pairs, rounds)
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="labels still change")
+        assert {r.id: r.community for r in structural.propagate_labels(clique, task_edges=task_edges).collect()} == dict.fromkeys("abcd", "a")
+        assert structural.propagate_labels(d.limit(0), task_edges=task_edges).count() == 0
+
+
+def test_modularity_by_method(spark, monkeypatch):
+    """The rows of the form by joins, without a round of jobs."""
+    from functools import partial
+
+    from strataweave import core_queries
+
+    run = lambda: {tuple(r) for r in core_queries.queries()["A8_modularity_by_method"](spark, "/root/testdata/sf0.001").collect()}
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    before = ran()
+    one = run()
+    assert ran() - before < 60
+    for name in ("louvain", "propagate_labels", "greedy_modularity"):
+        monkeypatch.setattr(structural, name, partial(getattr(structural, name), task_edges=0))
+    assert one == run() and {x[0] for x in one} == {"louvain", "label_propagation", "greedy_modularity"}
